@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from shelfline.llm import sharding
+from shelfline.llm import decontamination, sharding, warc
 
 
 def queries() -> dict:
-    return {"op6_sharding": sharding.op6_sharding}
+    return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op3_warc": warc.op3_warc,
+        "op6_sharding": sharding.op6_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op3_warc": warc.OP3_SQL}
