@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination, sharding, warc
+from shelfline.llm import decontamination, mixing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_warc": warc.op3_warc,
+        "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
     }
 
