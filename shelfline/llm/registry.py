@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination, mixing, sharding, warc
+from shelfline.llm import decontamination, mixing, sharding, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_tokens": tokens.op2_tokens,
         "op3_warc": warc.op3_warc,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
