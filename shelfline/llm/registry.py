@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination, mixing, sharding, tokens, warc
+from shelfline.llm import decontamination, mixing, neighbours, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,14 @@ def queries() -> dict:
         "op3_warc": warc.op3_warc,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op9_quality": quality.op9_quality,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op3_warc": warc.OP3_SQL}
+    return {
+        "op1_decontamination": decontamination.OP1_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op10_neighbours": neighbours.OP10_SQL,
+    }
