@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination, mixing, neighbours, quality, sharding, tokens, warc
+from shelfline.llm import decontamination, mixing, near_dedup, neighbours, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_tokens": tokens.op2_tokens,
         "op3_warc": warc.op3_warc,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op9_quality": quality.op9_quality,
