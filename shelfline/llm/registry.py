@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination, mixing, near_dedup, neighbours, pii, quality, sharding, tokens, warc
+from shelfline.llm import chat, decontamination, mixing, near_dedup, neighbours, pii, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_chat": chat.op7_chat,
         "op8_pii": pii.op8_pii,
         "op9_quality": quality.op9_quality,
         "op10_neighbours": neighbours.op10_neighbours,
