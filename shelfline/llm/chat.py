@@ -26,7 +26,7 @@ STATES = ("start", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: Other names of roles.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "developer": "system"}
-MERGE, RELABEL, UNKNOWN, INSERT = 1, 3, 1, 2
+MERGE, RELABEL, UNKNOWN, INSERT = 1, 4, 1, 2
 #: Empty turns between two states; pairs that are missing are illegal.
 BETWEEN = {
     (START, SYSTEM): (), (START, USER): (), (START, ASSISTANT): (USER,),
