@@ -32,6 +32,8 @@ FRAME_TOKENS = 1 << 18
 LANES = 1024
 CHECKPOINT = 128
 PRECISION = 20
+#: Parts whose starts are sent to every task, at most (16 bytes each); more are joined by shuffle.
+MOST_SENT = 1_000_000
 #: Bytes that one pass over pieces takes; distinct pieces that a worker remembers.
 WINDOW_BYTES = 1 << 20
 REMEMBERED = 1_200_000
@@ -379,6 +381,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "doc_id", "start", "n_tokens", "ids"],
                 )
 
+    if bases.count() <= MOST_SENT:
+        bases = F.broadcast(bases)
     read = frames.mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids binary")
     return read.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
