@@ -6,9 +6,11 @@ sorted, and cut into frames of whole documents.  A frame holds LANES interleaved
 words, and is a self-contained byte string: header, checkpoints (word offset, checksum and all states at every
 CHECKPOINT steps) and words.  Frames decode apart from each other, and so do the segments between checkpoints.
 
-Tokenising: texts are cut before every space that follows a non-space.  Byte-level BPE always breaks there, so
-the library's ids of the pieces, one after another, are its ids of the text; each worker asks the library once
-for each distinct piece it meets (up to a bound) and looks up the others.
+Tokenising: texts are cut before every space that follows a non-space, and between an ASCII letter and ASCII
+punctuation.  Byte-level BPE always breaks there, so the library's ids of the pieces, one after another, are its
+ids of the text; each worker asks the library once for each distinct piece it meets (up to a bound) and looks up
+the others.  For the same reason it may ask for many pieces in one string, and tell them apart by the bytes that
+each id stands for.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import stored, table, work_path
+from shelfline.llm.hashing import span_hashes, texts_of
 
 END_ID = 2
 #: Bytes of text in a part, about; tokens in a frame, about.
@@ -34,28 +37,18 @@ CHECKPOINT = 128
 PRECISION = 20
 #: Parts whose starts are sent to every task, at most (16 bytes each); more are joined by shuffle.
 MOST_SENT = 1_000_000
-#: Bytes that one pass over pieces takes; distinct pieces that a worker remembers.
+#: Bytes that one pass over pieces takes; pieces in one request; distinct pieces that a worker remembers.
 WINDOW_BYTES = 1 << 20
+JOINED = 512
 REMEMBERED = 1_200_000
 
 # --- tokenising --------------------------------------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C13
-_OF_BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+PUNCTUATION = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 _workers: dict[str, "PieceTokenizer"] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
-
-
 class PieceTokenizer:
     """Ids of byte strings, from the library's ids of their pieces, remembered by 64-bit hashes of the pieces."""
 
@@ -65,8 +58,9 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
-        self.up = _powers(_BASE, WINDOW_BYTES)
-        self.down = _powers(pow(_BASE, -1, 1 << 64), WINDOW_BYTES)
+        vocabulary = self.library.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each id: a character stands for one
+        self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
@@ -76,16 +70,35 @@ class PieceTokenizer:
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _ask(self, pieces: list[bytes]) -> list[list[int]]:
+    def _ask(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The library's ids of each piece."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids in each piece)."""
+        plain = [len(p) > 1 and p[0] == 32 and p[1] > 32 and p[-1] > 32 and p[-1] != 127 for p in pieces]
+        many = [p for p, ok in zip(pieces, plain) if ok]
+        runs = [b"".join(many[i : i + JOINED]) for i in range(0, len(many), JOINED)]
+        joined = np.concatenate([np.empty(0, dtype=np.uint32), *self._ask(runs)])
+        ends = np.cumsum(self.width[joined])
+        bounds = np.cumsum([len(p) for p in many])
+        last = np.searchsorted(ends, bounds)
+        if len(many) and not (ends[last] == bounds).all():
+            raise AssertionError("an id crosses a break between pieces")
+        single = self._ask([p for p, ok in zip(pieces, plain) if not ok])
+        n = np.empty(len(pieces), dtype=np.int64)
+        plain = np.array(plain, dtype=bool)
+        n[plain] = np.diff(last + 1, prepend=0)
+        n[~plain] = [len(x) for x in single]
+        out = np.empty(int(n.sum()), dtype=np.uint32)
+        of_plain = np.repeat(plain, n)
+        out[of_plain] = joined
+        out[~of_plain] = np.concatenate([np.empty(0, dtype=np.uint32), *single])
+        return out, n
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self._forget()
-        found = self._ask(pieces)
-        n = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.array([i for x in found for i in x], dtype=np.uint32)
+        flat, n = self._ids_of(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -95,30 +108,24 @@ class PieceTokenizer:
         self.n = np.insert(self.n, into, n)
         self.used += len(flat)
 
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key among those remembered, whether it is there)."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool))
+
     def _window(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces one after another, ids in each piece); starts and ends are offsets in data."""
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_OF_BYTE[data] * self.up[: len(data)], out=sums[1:])
-        keys = (sums[ends] - sums[starts]) * self.down[starts]
-        keys ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
 
-        def known() -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool))
-
-        at, there = known()
+        at, there = self._known(keys)
         if not there.all():
-            before = len(self.keys)
             new = np.flatnonzero(~there)
+            if len(self.keys) + len(new) > REMEMBERED:
+                self._forget()
+                new = np.arange(len(keys))
             raw = data.tobytes()
             self._learn(keys[new], [raw[starts[i] : ends[i]] for i in first[new]])
-            at, there = known()
-            if not there.all():  # the memory was full and is new
-                assert before
-                new = np.flatnonzero(~there)
-                self._learn(keys[new], [raw[starts[i] : ends[i]] for i in first[new]])
-                at, _ = known()
+            at, _ = self._known(keys)
         n, at = self.n[at][which], self.at[at][which]
         before = np.cumsum(n) - n
         return self.ids[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
@@ -129,6 +136,7 @@ class PieceTokenizer:
         cut = np.zeros(size + 1, dtype=bool)
         if size:
             cut[1:size] = (data[1:] == 32) & (data[:-1] > 32) & (data[:-1] != 127)
+            cut[1:size] |= PUNCTUATION[data[1:]] & LETTER[data[:-1]]
             cut[offsets] = True
             cut[size] = True
         edges = np.flatnonzero(cut)
@@ -138,7 +146,7 @@ class PieceTokenizer:
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + WINDOW_BYTES, side="right")))
             a, b = int(starts[i]), int(ends[j - 1])
             if b - a > WINDOW_BYTES:  # one piece without a break
-                ids = np.array(self._ask([data[a:b].tobytes()])[0], dtype=np.uint32)
+                ids = self._ask([data[a:b].tobytes()])[0]
                 n = np.array([len(ids)])
             else:
                 ids, n = self._window(data[a:b], starts[i:j] - a, ends[i:j] - a)
@@ -161,14 +169,6 @@ def _binary_array(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts, offsets) of a binary column without nulls."""
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, dtype=np.uint8)
-    return data, offsets - offsets[0]
-
-
 def tokenised(docs: DataFrame, vocabulary: str, bounds: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, doc_id, n_tokens, ids) for every document; ids are little-endian 16-bit, part counts bounds up to the id."""
     narrow = docs.select(
@@ -182,7 +182,7 @@ def tokenised(docs: DataFrame, vocabulary: str, bounds: list[int], id_col: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, counts = _workers[vocabulary].encode(*_texts(batch.column(1)))
+            ids, counts = _workers[vocabulary].encode(*texts_of(batch.column(1)))
             doc_id = batch.column(0)
             part = np.searchsorted(limits, doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +299,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(_texts(batch.column(0))[0].view("<u2"), minlength=1 << 16)
+            total += np.bincount(texts_of(batch.column(0))[0].view("<u2"), minlength=1 << 16)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["id", "n"])
 
