@@ -1,11 +1,443 @@
-"""Every query over the reference's data model, with the SQL that checks it."""
+"""Every query over the product-monitoring model, with the SQL that checks it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfline.functions import text as X
+from shelfline.operators import catalog as C
+from shelfline.operators import changes as G
+from shelfline.operators import relational as R
+from shelfline.operators import resolution as E
+from shelfline.operators import telemetry as T
+from shelfline.plans import sql as S
+from shelfline.sources import adapters as A
+
+HOURS = 168
+INCIDENTS = ["http_error", "network_error", "blocked", "unknown_state"]
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(names: str | None = None, sql: str | None = None):
+    """Registers a query under its function's name, with SQL over the adapters `names` if there is any."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = S.using(names or "", sql)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _now(spark: SparkSession, d: str):
+    return T.latest(A.table(spark, d, "events"), "ts")
+
+
+# --- telemetry ---------------------------------------------------------------------------------------------
+
+
+@query("products checks", f"SELECT site, {S.SITE_AGG} FROM checks JOIN products ON product_uuid = uuid, now WHERE checked_at >= t - INTERVAL 168 HOUR GROUP BY site")
+def health_by_site(spark: SparkSession, d: str) -> DataFrame:
+    return T.health_by_site(A.checks(spark, d), A.products(spark, d), _now(spark, d), HOURS)
+
+
+@query("checks", "SELECT strftime(checked_at, '%Y-%m-%dT%H:00') AS bucket, count(*) AS total, count(*) FILTER (status = 'error') AS errors, avg(response_time_ms) FILTER (status = 'ok') AS avg_ms FROM checks, now WHERE checked_at >= t - INTERVAL 168 HOUR GROUP BY 1")
+def checks_per_hour(spark, d):
+    return T.per_hour(A.checks(spark, d), _now(spark, d), HOURS)
+
+
+@query("checks", "SELECT strftime(checked_at, '%Y-%m-%dT%H:00') AS bucket, round_even(avg(confidence), 1) AS avg_confidence FROM checks, now WHERE checked_at >= t - INTERVAL 48 HOUR AND confidence IS NOT NULL GROUP BY 1")
+def confidence_per_hour(spark, d):
+    return T.confidence_per_hour(A.checks(spark, d), _now(spark, d))
+
+
+@query("checks", "SELECT avg(response_time_ms) FILTER (fetch_source = 'http') AS http_ms, avg(response_time_ms) FILTER (fetch_source = 'browser') AS browser_ms FROM checks, now WHERE checked_at >= t - INTERVAL 168 HOUR AND status = 'ok'")
+def avg_by_fetch_source(spark, d):
+    return T.avg_by_fetch_source(A.checks(spark, d), _now(spark, d), HOURS)
+
+
+_IN = "checked_at >= t - INTERVAL 168 HOUR"
+
+
+@query("checks", f"SELECT product_uuid, count(*) FILTER ({_IN}) AS checks, count(*) FILTER ({_IN} AND status = 'error') AS errors, avg(response_time_ms) FILTER ({_IN} AND status = 'ok') AS avg_response_ms, avg(confidence) FILTER ({_IN}) AS avg_confidence, count(*) AS total_checks, max(checked_at) FILTER (status = 'error') AS last_error_at FROM checks, now GROUP BY product_uuid")
+def product_health(spark, d):
+    return T.product_health(A.checks(spark, d), _now(spark, d), HOURS)
+
+
+@query("products checks", "SELECT site, max(checked_at) AS last_check_at, arg_max(status, (checked_at, id)) AS last_status, arg_max(id, (checked_at, id)) FILTER (status = 'error') AS last_error_id, avg(response_time_ms) FILTER (status = 'ok' AND checked_at >= t - INTERVAL 24 HOUR) AS avg_response_ms, count(*) AS total FROM checks JOIN products ON product_uuid = uuid, now GROUP BY site")
+def site_stats(spark, d):
+    return T.site_stats(A.checks(spark, d), A.products(spark, d), _now(spark, d))
+
+
+@query("products checks", "SELECT site, max(checked_at) AS last_check_at FROM checks JOIN products ON product_uuid = uuid GROUP BY site")
+def last_check_by_site(spark, d):
+    return T.with_site(A.checks(spark, d), A.products(spark, d)).groupBy("site").agg(F.max("checked_at").alias("last_check_at"))
+
+
+@query("checks", "SELECT product_uuid, confidence, 20 - n AS position FROM (SELECT *, row_number() OVER (PARTITION BY product_uuid ORDER BY checked_at DESC, id DESC) AS n FROM checks WHERE confidence IS NOT NULL) WHERE n <= 20")
+def last_confidences(spark, d):
+    return T.last_confidences(A.checks(spark, d))
+
+
+def _with(names: str, ctes: str, select: str) -> tuple[str, str]:
+    """SQL of adapters and further CTEs."""
+    return names, ", " + ctes + "\n" + select
+
+
+@query(*_with("products checks", S.WINDOWS, "SELECT * FROM win"))
+def recent_and_baseline(spark, d):
+    return T.windows(A.checks(spark, d), A.products(spark, d), _now(spark, d))
+
+
+@query(*_with("products checks", S.WINDOWS, " UNION ALL ".join([*map(S._drift, ("browser_checks", "unknown_states", "http_403")), "SELECT site, 'slowdown' FROM win WHERE recent_checks >= 20 AND baseline_checks >= 20 AND recent_ms > 0 AND baseline_ms > 0 AND recent_ms > baseline_ms * 1.5", "SELECT site, 'confidence' FROM win WHERE baseline_confidence - recent_confidence >= 8"])))
+def anomalies(spark, d):
+    return T.anomalies(T.windows(A.checks(spark, d), A.products(spark, d), _now(spark, d)))
+
+
+@query(*_with("products checks engine_events", S.CARDS, "SELECT site, score, score_status, main_issue, penalty_0, penalty_1, penalty_2, penalty_3, penalty_4, penalty_5 FROM scored"))
+def health_score(spark, d):
+    return _cards(spark, d).select("site", "score", "score_status", "main_issue", *[f"penalty_{i}" for i in range(6)])
+
+
+def _cards(spark, d):
+    checks, products, now = A.checks(spark, d), A.products(spark, d), _now(spark, d)
+    sites = products.select("site").union(spark.createDataFrame([("site_new",)], "site string")).distinct()
+    watched = products.groupBy("site").agg(F.count_if("enabled").alias("products"))
+    last = T.with_site(checks, products).groupBy("site").agg(F.max("checked_at").alias("last_check_at"))
+    return T.plugin_cards(sites, T.health_by_site(checks, products, now, HOURS), T.kinds_by_source(A.engine_events(spark, d), now, HOURS), last, watched)
+
+
+@query(*_with("products checks engine_events", S.CARDS, "SELECT *, CASE WHEN checks > 0 THEN round_even(100 * (checks - errors) / CAST(checks AS DOUBLE), 1) END AS success_rate FROM scored"))
+def plugin_cards(spark, d):
+    return _cards(spark, d)
+
+
+@query(*_with("products checks engine_events", S.CARDS, "SELECT s AS score, CASE WHEN s >= 90 THEN 'healthy' WHEN s >= 70 THEN 'degraded' ELSE 'unhealthy' END AS status FROM (SELECT CAST(round_even((sum(score) * 3 + 100 + 88) / CAST(count(*) * 3 + 2 AS DOUBLE), 0) AS INTEGER) AS s FROM scored)"))
+def system_score(spark, d):
+    return T.system_score(_cards(spark, d), T.kinds_by_source(A.engine_events(spark, d), _now(spark, d), HOURS), pending=12)
+
+
+@query("engine_events", "SELECT source, kind, count(*) AS n FROM engine_events, now WHERE created_at >= t - INTERVAL 168 HOUR GROUP BY ALL")
+def events_counts_by_source(spark, d):
+    return T.kinds_by_source(A.engine_events(spark, d), _now(spark, d), HOURS)
+
+
+@query("engine_events", "SELECT strftime(created_at, '%Y-%m-%dT%H:00') AS bucket, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in INCIDENTS) + f" FROM engine_events, now WHERE created_at >= t - INTERVAL 168 HOUR AND kind IN {tuple(INCIDENTS)} GROUP BY 1")
+def incidents_per_hour(spark, d):
+    return T.events_per_hour(A.engine_events(spark, d), INCIDENTS, _now(spark, d), HOURS)
+
+
+@query("engine_events", "SELECT kind, avg(duration_ms) AS avg_duration_ms FROM engine_events WHERE duration_ms IS NOT NULL GROUP BY kind")
+def avg_durations(spark, d):
+    return T.average_durations(A.engine_events(spark, d))
+
+
+@query("engine_events", """SELECT coalesce(product_uuid, source) AS subject, CAST(floor(epoch(created_at) / 30) AS BIGINT) AS cycle, min(created_at) AS started_at, count(*) AS steps, arg_min(source, id) AS source,
+  CASE WHEN bool_or(kind IN ('unknown_state', 'blocked', 'locale_mismatch')) THEN 'non résolu' WHEN bool_or(kind IN ('browser_fallback', 'browser_render')) THEN 'rattrapé par le navigateur' WHEN bool_or(kind = 'network_error') THEN 'échec réseau' ELSE 'isolé' END AS outcome
+  FROM engine_events, now WHERE created_at >= t - INTERVAL 168 HOUR AND severity <> 'info' GROUP BY 1, 2""")
+def incident_chains(spark, d):
+    return T.incident_chains(A.engine_events(spark, d), _now(spark, d), HOURS)
+
+
+# --- lists, pages and counts -------------------------------------------------------------------------------
+
+_PAGE = "SELECT alerts.id, alerts.product_uuid, site, change_type, created_at FROM alerts LEFT JOIN products ON alerts.product_uuid = uuid"
+
+
+@query("alerts products", f"{_PAGE} ORDER BY created_at DESC, alerts.id LIMIT 50 OFFSET 50")
+def alerts_page_outer_join(spark, d):
+    joined = A.alerts(spark, d).join(A.products(spark, d), F.col("product_uuid") == F.col("uuid"), "left")
+    rows = joined.select("id", "product_uuid", "site", "change_type", "created_at")
+    return R.page(rows, {"date": "created_at", "type": "change_type"}, "created_at", "id", sort="nonsense", number=2, size=50)
+
+
+@query("alerts products", "SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50.0) AS INTEGER)) AS pages FROM alerts LEFT JOIN products ON product_uuid = uuid WHERE site = 'site_0'")
+def alerts_page_count(spark, d):
+    joined = A.alerts(spark, d).join(A.products(spark, d), F.col("product_uuid") == F.col("uuid"), "left")
+    return R.page_count(R.filtered(joined, {"site": "site_0"}), 50)
+
+
+@query("alerts", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM alerts GROUP BY 1")
+def alerts_per_day(spark, d):
+    return A.alerts(spark, d).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("alerts", "SELECT count(*) AS total, count(*) FILTER (notified) AS notified, count(screenshot_path) AS screenshots, max(created_at) AS last_created_at, arg_max(id, (created_at, id)) FILTER (notified) AS last_notified_id FROM alerts")
+def alerts_counts(spark, d):
+    newest = F.struct("created_at", "id")
+    return A.alerts(spark, d).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("notified").alias("notified"), F.count("screenshot_path").alias("screenshots"),
+        F.max("created_at").alias("last_created_at"), F.max(F.when(F.col("notified"), newest))["id"].alias("last_notified_id"),
+    )
+
+
+@query("products", "SELECT uuid, site FROM products WHERE enabled AND site IN ('site_1', 'site_2') AND uuid ILIKE '%1%' ORDER BY site, uuid LIMIT 20")
+def products_page_search(spark, d):
+    rows = R.filtered(A.products(spark, d), {"enabled": True}, ("uuid", "1"), {"site": ["site_1", "site_2"]}).select("uuid", "site")
+    return R.page(rows, {"site": "site"}, "site", "uuid", sort="site", order="asc", size=20)
+
+
+@query("products", "SELECT DISTINCT site FROM products")
+def distinct_sites(spark, d):
+    return A.products(spark, d).select("site").distinct()
+
+
+@query("checks", "SELECT coalesce(availability, 'unknown') AS availability, count(*) AS n FROM (SELECT arg_max(coalesce(availability, 'unknown'), (checked_at, id)) AS availability FROM checks GROUP BY product_uuid) GROUP BY 1")
+def availability_counts(spark, d):
+    """Latest snapshots as JSON, read back by field."""
+    payload = F.to_json(F.struct(F.coalesce("availability", F.lit("unknown")).alias("availability"), "status"))
+    latest = A.checks(spark, d).groupBy("product_uuid").agg(F.max_by(payload, F.struct("checked_at", "id")).alias("payload"))
+    field = F.coalesce(F.get_json_object("payload", "$.availability"), F.lit("unknown"))
+    return latest.groupBy(field.alias("availability")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("products", "SELECT uuid, CASE WHEN r IS NULL THEN 'added' WHEN de IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT uuid, site AS de FROM products WHERE enabled) FULL JOIN (SELECT uuid, CASE WHEN ends_with(uuid, '3') THEN 'old' ELSE site END AS r FROM products WHERE NOT ends_with(uuid, '7')) USING (uuid) WHERE r IS NULL OR de IS NULL OR r <> de")
+def reconcile_watchers(spark, d):
+    products = A.products(spark, d)
+    running = products.filter(~F.col("uuid").endswith("7")).select("uuid", F.when(F.col("uuid").endswith("3"), "old").otherwise(F.col("site")).alias("site"))
+    return R.reconciled(products.filter("enabled"), running, "uuid", "site")
+
+
+@query("checks", "SELECT count(*) AS kept FROM checks, now WHERE checked_at >= t - INTERVAL 14 DAY")
+def retention(spark, d):
+    return C.retained(A.checks(spark, d), "checked_at", _now(spark, d), 14).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("checks", "SELECT product_uuid, id, status FROM (SELECT *, row_number() OVER (PARTITION BY product_uuid ORDER BY checked_at, id) AS n FROM checks) WHERE n = 1")
+def first_check_of_each(spark, d):
+    return R.first_of(A.checks(spark, d), "product_uuid", "checked_at", "id").select("product_uuid", "id", "status")
+
+
+@query("engine_events", "SELECT id, source, kind, created_at FROM engine_events ORDER BY created_at DESC, id DESC LIMIT 100")
+def recent_events(spark, d):
+    return R.recent(A.engine_events(spark, d), "created_at", "id", 100).select("id", "source", "kind", "created_at")
+
+
+# --- changes -----------------------------------------------------------------------------------------------
+
+
+@query(*_with("readings", S.CHANGES, f"SELECT *, {S.LABEL} AS label FROM ch"))
+def change_events(spark, d):
+    return G.change_events(A.readings(spark, d))
+
+
+@query(*_with("readings", S.CHANGES, "SELECT product_uuid, id, string_agg(s, '|' ORDER BY s) AS signature FROM (SELECT *, change_type || '=' || coalesce(new_value, '') AS s FROM ch) GROUP BY ALL"))
+def change_signatures(spark, d):
+    return G.signatures(G.change_events(A.readings(spark, d)))
+
+
+@query(*_with("readings", S._SEEN, "SELECT product_uuid, checked_at, availability, price FROM conc WHERE o_id IS NULL"))
+def baseline_rows(spark, d):
+    return G.baselines(A.readings(spark, d))
+
+
+@query()
+def confirmed_changes(spark, d):
+    return G.confirmed(A.readings(spark, d))
+
+
+@query("readings", "SELECT id, left(sha256(concat_ws('|', availability, action, CASE WHEN page_exists THEN 'buybox' ELSE '' END, seller_type, CASE WHEN seller_type = 'official' THEN lower(trim(coalesce(seller_name, ''))) ELSE '' END, coalesce(price, ''), 'EUR', '', '1')), 16) AS business_hash FROM readings")
+def business_hash(spark, d):
+    return G.business_hash(A.readings(spark, d)).select("id", "business_hash")
+
+
+_INC = """SELECT id, product_uuid, kind, CASE WHEN kind IN ('http_error', 'blocked') THEN 'error' ELSE 'warning' END AS severity, detail FROM (
+  SELECT id, product_uuid, CASE WHEN http_status IN (403, 429) THEN 'blocked' ELSE 'unknown_state' END AS kind, CASE WHEN http_status IN (403, 429) THEN 'HTTP ' || http_status ELSE 'état indéterminé' END AS detail FROM checks WHERE http_status IN (403, 429) OR availability = 'unknown'
+  UNION ALL SELECT id, product_uuid, 'low_confidence', 'confiance ' || confidence FROM checks WHERE confidence < 60
+  UNION ALL SELECT id, product_uuid, 'browser_fallback', 'analyse infructueuse ou accès refusé en HTTP' FROM checks WHERE fetch_source = 'browser' AND status = 'ok'
+  UNION ALL SELECT id, product_uuid, CASE WHEN http_status = 404 THEN 'page_missing' ELSE 'http_error' END, 'HTTP ' || http_status FROM checks WHERE http_status >= 400)"""
+
+
+@query("checks", _INC)
+def check_incidents(spark, d):
+    return G.check_incidents(A.checks(spark, d))
+
+
+# --- offers and catalog ------------------------------------------------------------------------------------
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT * FROM state"))
+def offer_upsert_state(spark, d):
+    return C.offer_state(A.offer_events(spark, d))
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT * FROM hist"))
+def offer_history(spark, d):
+    return C.offer_history(A.offer_events(spark, d))
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT canonical_url, seen_at, seq, previous, status FROM (SELECT *, lag(status) OVER (PARTITION BY canonical_url ORDER BY seen_at, seq) AS previous FROM (SELECT *, CASE WHEN new_availability IN ('in_stock', 'preorder') THEN 'active' WHEN new_availability = 'unavailable' THEN 'unavailable' ELSE 'unknown' END AS status FROM runs)) WHERE previous <> status"))
+def offer_status_transitions(spark, d):
+    return C.status_transitions(A.offer_events(spark, d))
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT product_uuid, site, row_number() OVER w AS rank, round_even((epoch(first_seen_at) - first_value(epoch(first_seen_at)) OVER w) / 3600, 1) AS delay_hours FROM state WINDOW w AS (PARTITION BY product_uuid ORDER BY first_seen_at, site, canonical_url)"))
+def propagation(spark, d):
+    return C.propagation(C.offer_state(A.offer_events(spark, d)))
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT product_uuid, site AS best_site, r AS best_rank FROM (SELECT *, row_number() OVER (PARTITION BY product_uuid ORDER BY r, first_seen_at, site, canonical_url) AS n FROM (SELECT *, CASE availability WHEN 'in_stock' THEN 0 WHEN 'preorder' THEN 1 END AS r FROM state) WHERE r IS NOT NULL) WHERE n = 1"))
+def best_offer_site(spark, d):
+    return C.best_offer(C.offer_state(A.offer_events(spark, d)))
+
+
+@query(*_with("offer_events", S.RUNS, "SELECT product_uuid, first_seen_at AS seen_at, 'Nouvelle fiche' AS label, site AS detail, 0 AS origin FROM state UNION ALL SELECT product_uuid, hist.seen_at, 'Offre modifiée', concat_ws(' · ', hist.availability, hist.price), 1 FROM hist JOIN state USING (canonical_url)"))
+def story_timeline(spark, d):
+    events = A.offer_events(spark, d)
+    return C.story(C.offer_state(events), C.offer_history(events))
+
+
+@query(*_with("catalog offer_events", "x AS (SELECT 1)", "SELECT uuid, name FROM catalog WHERE EXISTS (SELECT 1 FROM offer_events o WHERE o.product_uuid = uuid AND availability = 'in_stock')"))
+def catalog_with_offers_semi(spark, d):
+    offers = A.offer_events(spark, d).filter("availability = 'in_stock'").select(F.col("product_uuid").alias("uuid"))
+    return A.catalog_products(spark, d).select("uuid", "name").join(offers, "uuid", "left_semi")
+
+
+@query("catalog", "SELECT count(*) AS total, count(ean) AS ean, count(mpn) AS mpn, count(manufacturer_sku) AS manufacturer_sku, count(asin) AS asin, count(model_number) AS model_number FROM catalog")
+def identifier_coverage(spark, d):
+    return C.identifier_coverage(A.catalog_products(spark, d))
+
+
+@query("catalog", "SELECT uuid, coalesce(nullif(brand, ''), 'Maison') AS brand, coalesce(nullif(ean, ''), CASE WHEN created_seq % 2 = 0 THEN 'filled' END) AS ean FROM catalog")
+def enrich_fill_blanks(spark, d):
+    catalog = A.catalog_products(spark, d)
+    other = catalog.select("uuid", F.lit("Maison").alias("brand"), F.when(F.col("created_seq") % 2 == 0, "filled").alias("ean"))
+    return C.enrich(catalog, other, ["brand", "ean"])
+
+
+@query("offer_events", "SELECT coalesce(CASE WHEN CAST(substr(product_uuid, 2) AS INTEGER) % 10 = 0 THEN 'p1' END, product_uuid) AS product_uuid, count(*) AS offers FROM offer_events GROUP BY 1")
+def merged_offers(spark, d):
+    merges = A.catalog_products(spark, d).filter("created_seq % 10 = 0").select(F.col("uuid").alias("source_uuid"), F.lit("p1").alias("target_uuid"))
+    return C.reassigned(A.offer_events(spark, d), merges).groupBy("product_uuid").agg(F.count(F.lit(1)).alias("offers"))
+
+
+@query("search_attempts", "SELECT product_uuid, status, attempts, site, CASE WHEN status IN ('not_found', 'error') THEN CAST(floor(least(1800 * pow(1.5, attempts), 21600)) AS BIGINT) END AS retry_seconds FROM search_attempts")
+def retry_schedule(spark, d):
+    return C.retry_schedule(A.search_attempts(spark, d))
+
+
+@query("search_attempts", "SELECT status, count(*) AS n FROM search_attempts GROUP BY status")
+def attempts_by_status(spark, d):
+    return A.search_attempts(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- discovery ---------------------------------------------------------------------------------------------
+
+_CANON = S.canonical()
+
+
+@query("discoveries", f"SELECT page_id, seq, {_CANON} AS canonical, {S.slug('(' + _CANON + ')')} AS slug FROM discoveries")
+def canonical_urls(spark, d):
+    canonical = X.canonical_url(F.col("url"))
+    return A.discoveries(spark, d).select("page_id", "seq", canonical.alias("canonical")).withColumn("slug", X.product_slug(F.col("canonical")))
+
+
+_FP = f"left(sha256(lower(site) || ':url:' || {_CANON}), 32)"
+
+
+def _fingerprinted(spark, d):
+    found = A.discoveries(spark, d).withColumn("canonical", X.canonical_url(F.col("url")))
+    print_, _ = X.fingerprint(F.col("site"), F.col("canonical"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return C.sightings(found, print_)
+
+
+@query("discoveries", f"SELECT {_FP} AS fingerprint, count(*) AS times_seen, arg_max(title, (seq, page_id)) FILTER (title <> '') AS title, arg_max(url, (seq, page_id)) AS url, max(site) AS site FROM discoveries GROUP BY 1")
+def discovery_sightings(spark, d):
+    return _fingerprinted(spark, d)
+
+
+@query("discoveries", f"SELECT DISTINCT {_FP} AS fingerprint, 'gone' AS status FROM discoveries WHERE page_id % 10 <> 0 AND {_FP} NOT IN (SELECT {_FP} FROM discoveries WHERE page_id % 4 <> 1)")
+def mark_missing(spark, d):
+    found = A.discoveries(spark, d).withColumn("canonical", X.canonical_url(F.col("url")))
+    print_, _ = X.fingerprint(F.col("site"), F.col("canonical"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    found = found.withColumn("fingerprint", print_)
+    return C.mark_missing(found.filter("page_id % 10 <> 0").select("fingerprint").distinct(), found.filter("page_id % 4 <> 1"))
+
+
+@query("catalog", "SELECT created_seq AS page_id, name AS title, CASE WHEN contains(lower(name), 'red') THEN 'exclude' WHEN contains(lower(name), 'a') THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN contains(lower(name), 'red') THEN 'red' WHEN contains(lower(name), 'a') THEN 'a' ELSE '' END AS matched FROM catalog")
+def rules_decision(spark, d):
+    titles = A.catalog_products(spark, d).select(F.col("created_seq").alias("page_id"), F.col("name").alias("title"))
+    return E.rules_decision(titles, ["a"], ["red"])
+
+
+# --- resolution --------------------------------------------------------------------------------------------
+
+
+@query("catalog", f"SELECT uuid, {S.name_norm('name')} AS name_norm, {S.name_key('name')} AS name_key FROM catalog")
+def name_keys(spark, d):
+    return E.with_names(A.catalog_products(spark, d)).select("uuid", "name_norm", "name_key")
+
+
+@query("catalog", "SELECT uuid, ean, true AS valid, ean AS normalised, CASE WHEN ean LIKE '0%' THEN substr(ean, 2) END AS upc FROM catalog WHERE ean IS NOT NULL")
+def gtin_check(spark, d):
+    ean = F.col("ean")
+    spaced = F.concat(F.substring(ean, 1, 3), F.lit("-"), F.substring(ean, 4, 20))
+    rows = A.catalog_products(spark, d).filter("ean is not null")
+    return rows.select("uuid", "ean", X.is_valid_gtin(ean).alias("valid"), X.normalise_ean(spaced).alias("normalised"), X.normalise_upc(ean).alias("upc"))
+
+
+@query(*_with("drafts", S.LADDER, "SELECT * FROM best"))
+def match_ladder(spark, d):
+    return E.match_ladder(A.drafts(spark, d), A.catalog_products(spark, d))
+
+
+@query(*_with("drafts", S.LADDER, "SELECT draft_id, uuid, score, method, CASE WHEN score >= 90 THEN 'merge' WHEN score >= 70 THEN 'suggest' ELSE 'new' END AS decision FROM drafts LEFT JOIN best USING (draft_id)"))
+def match_decision(spark, d):
+    drafts = A.drafts(spark, d)
+    return E.decided(drafts, E.match_ladder(drafts, A.catalog_products(spark, d)))
+
+
+@query(*_with("drafts", S.LADDER, "SELECT decision, count(*) AS n, round_even(avg(score), 1) AS mean_score FROM (SELECT score, CASE WHEN score >= 90 THEN 'merge' WHEN score >= 70 THEN 'suggest' ELSE 'new' END AS decision FROM drafts LEFT JOIN best USING (draft_id)) GROUP BY 1"))
+def suggestion_stats(spark, d):
+    drafts = A.drafts(spark, d)
+    decided = E.decided(drafts, E.match_ladder(drafts, A.catalog_products(spark, d)))
+    return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("score"), 1).alias("mean_score"))
+
+
+@query()
+def name_similarity_pairs(spark, d):
+    return E.similar_names(A.catalog_products(spark, d).withColumn("block", F.concat_ws("/", "release_date", "collection")), "block")
+
+
+@query("catalog", """SELECT uuid, kind, value, priority, row_number() OVER (PARTITION BY uuid ORDER BY priority DESC, o) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY uuid, lower(value) ORDER BY priority DESC, o) AS n FROM (
+    SELECT uuid, 'ean' AS kind, ean AS value, 100 AS priority, 0 AS o FROM catalog UNION ALL SELECT uuid, 'asin', asin, 93, 1 FROM catalog UNION ALL SELECT uuid, 'mpn', mpn, 92, 2 FROM catalog
+    UNION ALL SELECT uuid, 'manufacturer_sku', manufacturer_sku, 90, 3 FROM catalog UNION ALL SELECT uuid, 'model_number', model_number, 88, 4 FROM catalog
+    UNION ALL SELECT uuid, 'brand_model', brand || ' ' || coalesce(model_number, mpn), 80, 20 FROM catalog UNION ALL SELECT uuid, 'canonical_name', name, 70, 21 FROM catalog) WHERE trim(value) <> '') WHERE n = 1""")
+def search_keys(spark, d):
+    return E.search_keys(A.catalog_products(spark, d))
+
+
+_FACTS = "facts AS (SELECT 'p' || l_partkey AS uuid, CASE WHEN l_linenumber % 2 = 0 THEN 'ean' ELSE 'brand' END AS field, CASE WHEN l_quantity < 5 THEN ' ' ELSE 'v' || CAST(l_suppkey AS VARCHAR) END AS value, CAST(l_quantity * 3 AS INTEGER) - 10 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
+
+
+@query(*_with("", _FACTS, "SELECT uuid, field, value, confidence FROM (SELECT uuid, field, value, c AS confidence, row_number() OVER (PARTITION BY uuid, field ORDER BY c DESC, seq) AS n FROM (SELECT *, greatest(0, least(100, confidence)) AS c FROM facts WHERE trim(value) <> '')) WHERE n = 1"))
+def identity_merge_best(spark, d):
+    facts = A.table(spark, d, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey")).alias("uuid"), F.when(F.col("l_linenumber") % 2 == 0, "ean").otherwise("brand").alias("field"),
+        F.when(F.col("l_quantity") < 5, " ").otherwise(F.concat(F.lit("v"), F.col("l_suppkey"))).alias("value"),
+        (F.expr("cast(l_quantity * 3 as int)") - 10).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    return E.merged_identity(facts)
+
+
+@query("discoveries", "SELECT site, count(*) AS seen, count(*) FILTER (title = '') AS untitled, count(DISTINCT page_id) AS pages FROM discoveries GROUP BY site")
+def scan_report(spark, d):
+    return A.discoveries(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("title") == "").alias("untitled"), F.countDistinct("page_id").alias("pages"))
+
+
+@query("checks", "SELECT id, CASE WHEN status = 'error' THEN '{\"type\":\"check_failed\",\"product\":\"' || product_uuid || '\"}' ELSE '{\"type\":\"check_completed\",\"product\":\"' || product_uuid || '\"}' END AS message FROM checks")
+def client_messages(spark, d):
+    kind = F.when(F.col("status") == "error", "check_failed").otherwise("check_completed")
+    return A.checks(spark, d).select("id", F.to_json(F.struct(kind.alias("type"), F.col("product_uuid").alias("product"))).alias("message"))
