@@ -11,8 +11,9 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    so many that a pair sharing `must_share` values meets in one of them.
 4. Each list's most central document (most of its values occur elsewhere) is compared with the whole list.
    That links most of a group of copies in one step for each copy, whatever the group's size.
-5. Pairs of a list not yet connected, of which each side could still have a partner of a size that occurs in
-   the list, are compared as well, each where it first meets; others can't be similar.  Before the exact
+5. Pairs of a list not yet connected are compared as well, each in the list where it first meets.  There it has
+   in common what comes from that value on at most; a side that so can't reach the threshold with any size
+   that occurs in the list is left out.  Before the exact
    comparison the union of both sketches estimates similarity, and pairs far below the threshold go.
 6. Links, all confirmed on full sets, are joined to components.
 
@@ -33,6 +34,8 @@ from shelfline.llm.hashing import span_hashes, texts_of
 
 #: Values in the sketch that finds suspects, and in the sketch that finds pairs.
 SHORT, LONG = 32, 512
+#: Ids that are sent to every task to thin a table out before it is joined, at most (8 bytes each).
+MOST_SENT = 2_000_000
 #: The chance of overlooking a pair exactly at the threshold, for each of both sketches.
 MISS = 1e-9
 GROUP_BYTES = 1 << 20
@@ -160,9 +163,10 @@ def suspects(reps: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(value, uid, n, central, rare): inverted lists of the rarest shared values of long sketches.
+    """(value, uid, n, remaining, central, rare): inverted lists of the rarest shared values of long sketches.
 
-    central: the share of a document's sketch that occurs elsewhere; rare: all its listed values.
+    central: the share of a document's sketch that occurs elsewhere; rare: all its listed values, rarest first;
+    remaining: its shared values from this one on.
     """
     kinds = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
 
@@ -190,12 +194,21 @@ def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
             F.transform(F.slice("values", F.lit(1), F.size("values") - F.col("needed") + 1), lambda x: x["value"]).alias("rare"),
         )
     )
-    return by_doc.select("uid", "n", "shared", "central", "rare", F.explode("rare").alias("value"))
+    listed = by_doc.select("uid", "n", "shared", "central", "rare", F.posexplode("rare").alias("at", "value"))
+    return listed.withColumn("remaining", (F.col("shared") - F.col("at")).cast("long")).drop("shared", "at")
+
+
+def only(df: DataFrame, uids: DataFrame) -> DataFrame:
+    """Rows of `df` whose uid is in `uids` (distinct): few enough ids are sent to the tasks, so `df` stays where it is."""
+    if uids.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        uids = F.broadcast(uids)
+    return df.join(uids, "uid", "left_semi")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, k: int, similarity: float) -> DataFrame:
     """`pairs` (a, b) whose full sets reach the similarity; those far below it by their union sketch go first."""
     least = must_share(k, similarity)
+    sets = only(sets, checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()))
     left = sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
     hundredths = round(similarity * 100)
@@ -241,6 +254,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _reach(common: F.Column, n: F.Column, m: F.Column, similarity: float) -> F.Column:
+    """Whether sets of n and m with so many in common reach the similarity."""
+    return common >= F.lit(similarity - 1e-9) * (n + m - common)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -256,8 +274,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     classes = real.groupBy("set_key").agg(F.min("uid").alias("rep"))
     # Of each class one row goes on: the one whose id is the smallest.
     reps = stored(real.join(classes, (F.col("uid") == F.col("rep")) & (real["set_key"] == classes["set_key"])).groupBy("uid").agg(F.min(F.struct("n", "sketch")).alias("own")).select("uid", "own.*"), "reps", compression="zstd")
-    suspected = suspects(reps, SHORT, similarity)
-    texts = own.join(suspected, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
+    suspected = checkpointed(suspects(reps, SHORT, similarity))
+    texts = only(own, suspected)
+    if not drawn.groupBy("uid").count().filter("uid is not null and count > 1").isEmpty():
+        texts = texts.groupBy("uid").agg(F.min("text").alias("text"))
     sets = stored(full_sets(texts, words), "sets", compression="zstd")
     listed = checkpointed(lists(sets, LONG, similarity))
 
@@ -268,17 +288,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     by_value = checkpointed(by_value.filter("length > 1").select("value", F.col("hub.uid").alias("hub"), "least_n", "most_n"))
     spread = listed.join(by_value, "value")
     to_hubs = spread.filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
-    first = checkpointed(linked(to_hubs, sets, LONG, similarity))
+    first = checkpointed(linked(checkpointed(to_hubs), sets, LONG, similarity))
     labels = components(first)
 
-    # What could still have a partner: the best partner's size is the number of shared values, or the nearest in the list.
-    size = F.greatest(F.least(F.col("shared").cast("long"), F.col("most_n")), F.col("least_n"))
-    common = F.least(F.col("shared").cast("long"), size)
-    reachable = (F.col("n") > int(LONG * similarity)) | (common >= F.lit(similarity - 1e-9) * (F.col("n") + size - common))
+    # The most a document can have in common with another that it first meets here, and with which size best.
+    size = F.greatest(F.least("remaining", "most_n"), F.col("least_n"))
+    sampled = F.col("n") > int(LONG * similarity)
+    reachable = sampled | _reach(F.least("remaining", size), F.col("n"), size, similarity)
     rest = spread.filter(reachable).join(labels, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     # A list whose members are all connected already has nothing left to find.
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
-    rest = checkpointed(rest.join(several, "value", "left_semi").select("value", "uid", "n", "component", "rare", "hub"))
+    rest = checkpointed(rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "rare", "hub"))
     x, y = rest.alias("x"), rest.alias("y")
     met = (
         (F.col("x.value") == F.col("y.value"))
@@ -287,10 +307,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         & (F.col("x.uid") != F.col("x.hub"))
         & (F.col("y.uid") != F.col("y.hub"))
         & (F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n"))
+        & (
+            (F.greatest("x.n", "y.n") > int(LONG * similarity))
+            | _reach(F.least("x.remaining", "y.remaining"), F.col("x.n"), F.col("y.n"), similarity)
+        )
         & (F.array_intersect("x.rare", "y.rare")[0] == F.col("x.value"))
     )
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    second = linked(others, sets, LONG, similarity)
+    second = linked(checkpointed(others), sets, LONG, similarity)
     final = components(first.union(second))
 
     by_class = classes.join(final, F.col("rep") == F.col("uid"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

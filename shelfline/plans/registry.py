@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.functions import html as H
 from shelfline.functions import text as X
 from shelfline.operators import catalog as C
 from shelfline.operators import changes as G
@@ -13,6 +14,7 @@ from shelfline.operators import resolution as E
 from shelfline.operators import telemetry as T
 from shelfline.plans import sql as S
 from shelfline.sources import adapters as A
+from shelfline.streaming import monitor as M
 
 HOURS = 168
 INCIDENTS = ["http_error", "network_error", "blocked", "unknown_state"]
@@ -441,3 +443,40 @@ def scan_report(spark, d):
 def client_messages(spark, d):
     kind = F.when(F.col("status") == "error", "check_failed").otherwise("check_completed")
     return A.checks(spark, d).select("id", F.to_json(F.struct(kind.alias("type"), F.col("product_uuid").alias("product"))).alias("message"))
+
+
+# --- pages and streams -------------------------------------------------------------------------------------
+
+
+@query("", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS page_lang, left(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 120) AS title FROM pages")
+def page_titles(spark, d):
+    parts = H.page_parts("html")
+    return A.table(spark, d, "pages").select("page_id", parts.alias("p")).select("page_id", F.col("p.lang").alias("page_lang"), F.col("p.title").alias("title"))
+
+
+@query()
+def page_states(spark, d):
+    return H.with_state(A.table(spark, d, "pages").select("page_id", "html")).drop("html")
+
+
+@query()
+def page_identifiers(spark, d):
+    return H.identifiers(A.table(spark, d, "pages").select("page_id", "html")).drop("html")
+
+
+@query("", "SELECT page_id, CASE WHEN contains(html, '€') THEN NULL END AS price FROM pages WHERE NOT contains(html, '€')")
+def page_prices(spark, d):
+    pages = A.table(spark, d, "pages").filter(~F.contains("html", F.lit("€")))
+    return pages.select("page_id", X.price_eur(F.col("html")).alias("price"))
+
+
+@query("checks", "SELECT strftime(checked_at, '%Y-%m-%dT%H:00') AS bucket, count(*) AS total, count(*) FILTER (status = 'error') AS errors, avg(response_time_ms) FILTER (status = 'ok') AS avg_ms FROM checks GROUP BY 1")
+def stream_checks_per_hour(spark, d):
+    events = M.arriving(spark, d, A.table(spark, d, "events"), "events*.parquet")
+    return M.run_to_table(M.checks_per_hour(A.checks_of(events)), "complete")
+
+
+@query()
+def stream_confirmed_changes(spark, d):
+    events = M.arriving(spark, d, A.table(spark, d, "events"), "events*.parquet")
+    return M.run_to_table(M.confirmed(A.readings_of(events)))

@@ -28,12 +28,17 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks_of(table(spark, sf_dir, "events"))
+
+
+def checks_of(events: DataFrame) -> DataFrame:
+    """Checks from events, a stream or a table."""
     kind, k = F.col("event_type"), F.col("k")
     availability = (
         F.when(kind == "view", "unknown").when(kind == "click", "unavailable").when(kind == "signup", "preorder").when(kind == "purchase", "in_stock")
     )
     status = F.when(k < 6, 403).when(k < 9, 429).when(k < 14, 404).when(k < 18, 503).otherwise(200)
-    return table(spark, sf_dir, "events").withColumn("k", _k()).select(
+    return events.withColumn("k", _k()).select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("u"), F.col("user_id")).alias("product_uuid"),
         F.when(kind == "error", "error").otherwise("ok").alias("status"),
@@ -66,6 +71,11 @@ def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page readings in order: what change detection compares."""
+    return readings_of(table(spark, sf_dir, "events"))
+
+
+def readings_of(events: DataFrame) -> DataFrame:
+    """Readings from events, a stream or a table."""
     kind = F.col("event_type")
     availability = (
         F.when(kind == "view", "unknown").when(kind == "click", "unavailable").when(kind == "signup", "preorder").when(kind == "purchase", "in_stock")
@@ -75,7 +85,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.expr("cast(round(value * 100) as bigint) div 100").cast("string")
     price = F.concat(whole, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
     seller = F.when(F.col("event_id") % 7 == 0, "unknown").when(F.col("event_id") % 3 == 0, "third_party").otherwise("official")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("product_uuid"),
         F.col("event_id").alias("id"),
         F.col("ts").alias("checked_at"),
