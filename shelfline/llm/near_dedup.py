@@ -11,10 +11,11 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    so many that a pair sharing `must_share` values meets in one of them.
 4. Each list's most central document (most of its values occur elsewhere) is compared with the whole list.
    That links most of a group of copies in one step for each copy, whatever the group's size.
-5. Pairs of a list not yet connected are compared as well, each in the list where it first meets.  There it has
-   in common what comes from that value on at most; a side that so can't reach the threshold with any size
-   that occurs in the list is left out.  Before the exact
-   comparison the union of both sketches estimates similarity, and pairs far below the threshold go.
+5. Pairs of a list not yet connected are compared as well.  In the list where it first meets, a pair has in
+   common what comes from that value on at most; a side that so can't reach the threshold with any size that
+   occurs in the list is left out.  Pairs that meet within the HEAD rarest values of both are taken once.
+   Before the exact comparison the union of both sketches estimates similarity, and pairs far below the
+   threshold go.
 6. Links, all confirmed on full sets, are joined to components.
 
 Nothing is capped: a list may have any length, and every pair that could be linked is linked or connected.
@@ -34,6 +35,8 @@ from shelfline.llm.hashing import span_hashes, texts_of
 
 #: Values in the sketch that finds suspects, and in the sketch that finds pairs.
 SHORT, LONG = 32, 512
+#: Listed values that travel with each entry of a list, so that most pairs are taken in one of their lists only.
+HEAD = 16
 #: Ids that are sent to every task to thin a table out before it is joined, at most (8 bytes each).
 MOST_SENT = 2_000_000
 #: The chance of overlooking a pair exactly at the threshold, for each of both sketches.
@@ -163,10 +166,10 @@ def suspects(reps: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(value, uid, n, remaining, central, rare): inverted lists of the rarest shared values of long sketches.
+    """(uid, n, shared, central, rare): for each document that may have partners, its values to be listed.
 
-    central: the share of a document's sketch that occurs elsewhere; rare: all its listed values, rarest first;
-    remaining: its shared values from this one on.
+    shared: how many values of its long sketch occur elsewhere; central: their share of the sketch; rare: the
+    rarest of them, rarest first.
     """
     kinds = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
 
@@ -180,7 +183,7 @@ def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
 
     postings = sets.filter("n > 0").select("uid", "n", "hashes").mapInArrow(cut, "uid long, n long, value long")
     whole = F.least("n", F.lit(k))
-    by_doc = (
+    return (
         shared_values(postings)
         .groupBy("uid", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
@@ -194,8 +197,12 @@ def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
             F.transform(F.slice("values", F.lit(1), F.size("values") - F.col("needed") + 1), lambda x: x["value"]).alias("rare"),
         )
     )
-    listed = by_doc.select("uid", "n", "shared", "central", "rare", F.posexplode("rare").alias("at", "value"))
-    return listed.withColumn("remaining", (F.col("shared") - F.col("at")).cast("long")).drop("shared", "at")
+
+
+def entries(listed: DataFrame) -> DataFrame:
+    """(value, uid, n, central, remaining): inverted lists; remaining: a document's shared values from this one on."""
+    each = listed.select("uid", "n", "shared", "central", F.posexplode("rare").alias("at", "value"))
+    return each.select("value", "uid", "n", "central", (F.col("shared") - F.col("at")).cast("long").alias("remaining"))
 
 
 def only(df: DataFrame, uids: DataFrame) -> DataFrame:
@@ -279,14 +286,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     if not drawn.groupBy("uid").count().filter("uid is not null and count > 1").isEmpty():
         texts = texts.groupBy("uid").agg(F.min("text").alias("text"))
     sets = stored(full_sets(texts, words), "sets", compression="zstd")
-    listed = checkpointed(lists(sets, LONG, similarity))
+    listed = stored(lists(sets, LONG, similarity), "lists", compression="zstd")
 
     rank = F.struct(-F.col("central"), "uid")
-    by_value = listed.groupBy("value").agg(
+    by_value = entries(listed).groupBy("value").agg(
         F.min(rank).alias("hub"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("length")
     )
-    by_value = checkpointed(by_value.filter("length > 1").select("value", F.col("hub.uid").alias("hub"), "least_n", "most_n"))
-    spread = listed.join(by_value, "value")
+    by_value = by_value.filter("length > 1").select("value", F.col("hub.uid").alias("hub"), "least_n", "most_n")
+    by_value = stored(by_value, "hubs", compression="zstd")
+    spread = entries(listed).join(by_value, "value")
     to_hubs = spread.filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
     first = checkpointed(linked(checkpointed(to_hubs), sets, LONG, similarity))
     labels = components(first)
@@ -298,7 +306,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rest = spread.filter(reachable).join(labels, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     # A list whose members are all connected already has nothing left to find.
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
-    rest = checkpointed(rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "rare", "hub"))
+    rest = rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "hub")
+    rest = stored(rest, "rest", compression="zstd")
+    rest = rest.join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
+    common = F.array_intersect("x.head", "y.head")
     x, y = rest.alias("x"), rest.alias("y")
     met = (
         (F.col("x.value") == F.col("y.value"))
@@ -311,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             (F.greatest("x.n", "y.n") > int(LONG * similarity))
             | _reach(F.least("x.remaining", "y.remaining"), F.col("x.n"), F.col("y.n"), similarity)
         )
-        & (F.array_intersect("x.rare", "y.rare")[0] == F.col("x.value"))
+        & F.coalesce(F.get(common, F.lit(0)) == F.col("x.value"), F.lit(True))
     )
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     second = linked(checkpointed(others), sets, LONG, similarity)
