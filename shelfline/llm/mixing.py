@@ -204,7 +204,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         "uid", "id", F.col("source").alias("of"), F.col("block").alias("part"), (start - F.col("at")).alias("start"),
         (F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - start).alias("taken"),
     )
-    rows = slots.join(pieces, slots["source"].eqNullSafe(pieces["of"]) & (slots["block"] == pieces["part"])).drop("of", "part")
+    # Spark takes the size of the slots for that of the few counts they come from, and would broadcast them.
+    rows = slots.hint("merge").join(pieces, slots["source"].eqNullSafe(pieces["of"]) & (slots["block"] == pieces["part"])).drop("of", "part")
     own = targets.select(F.col("source").alias("of"), "source_size", "target")
     documents = placed.join(own, placed["source"].eqNullSafe(own["of"])).drop("of")
     return Mixture(documents, targets, rows)
