@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from shelfline.llm.common import renamed_apart, stored, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one automaton, at most: a worker needs some 360 MB for 1 MB of distinct words.
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of words stay (A-Z as a-z), all others become a space.
 WORD_BYTES = bytes(
