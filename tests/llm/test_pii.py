@@ -98,3 +98,45 @@ def test_disclosure_by_brute_force(spark):
 def test_empty_repeated_and_null_ids(spark, tmp_path, rows):
     got = P.op8_pii(spark, save(spark, tmp_path, documents=documents(spark, rows))).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in got] == [(i, 1, "email:0:6") for i, _, _ in rows]
+
+
+def whole_texts(rows, alpha, least):
+    """Term spans by brute force: a term counts with every entity of its document and is marked wherever it stands."""
+    import math
+
+    def base(text):
+        return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute(text))]
+
+    def free(text):
+        spans = base(text)
+        return [m for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+
+    texts = [t or "" for _, t, _ in rows]
+    has, holds, both = {}, {}, {}
+    for i, text in enumerate(texts):
+        terms = {w[0].lower() for w in free(text) if re.search(r"[^\W\d_]", w[0])}
+        for t in {w.lower() for w in re.findall(r"[^\W_]+", text)}:
+            holds.setdefault(t, set()).add(i)
+        for e in {f"{k}:{text[a:b].lower()}" for k, a, b in base(text)}:
+            has.setdefault(e, set()).add(i)
+            for t in terms:
+                both.setdefault((e, t), set()).add(i)
+    n, action = len(rows), {}
+    for (e, t), where in both.items():
+        pmi, ic = math.log2(n * len(where) / (len(has[e]) * len(holds[t]))), math.log2(n / len(has[e]))
+        if len(where) >= least and pmi >= alpha * ic:
+            action[t] = "remove" if pmi - ic >= -1e-9 or action.get(t) == "remove" else "generalise"
+    return [[(w.start(), w.end(), action[w[0].lower()]) for w in free(text) if w[0].lower() in action] for text in texts]
+
+
+def test_terms_count_and_are_marked_over_whole_texts(spark):
+    far = sentence(500, 40)  # more than 64 code points between name and address
+    rows = [(i, f"Dear Zebulon, {far} {sentence(i, 300)} write to zeb@y.org", "s") for i in range(3)]
+    rows += [(10, f"{far} zebulon was here, ZEBULON", "s"), (11, "x zeb@y.org\uffffquux 1.2.3.4abc", "s"), (12, "quux\uffff zeb@y.org 1.2.3.4abc", "s")]
+    rows += [(20 + i, f"plain {sentence(i, 30)} é🙂 abc", "s") for i in range(60)] + [(3, rows[0][1], "s"), (3, rows[0][1], "s"), (None, "zebulon", None), (99, None, "s")]
+    docs = documents(spark, rows).repartition(5)
+    for alpha, least in ((P.ALPHA, P.LEAST_DOCS), (0.4, 1), (1.0, 3)):
+        got = {(r.doc_id, r.text): [(s.start, s.end, s.action) for s in r.pii_spans if s.kind == "term"] for r in P.sanitise(docs, alpha=alpha, least_docs=least).collect()}
+        assert got == {(i, t): spans for (i, t, _), spans in zip(rows, whole_texts(rows, alpha, least))}
+    clean = {r.doc_id: r.pii_text for r in P.sanitise(docs).collect()}
+    assert "zebulon" not in clean[0].lower() and "zebulon" not in clean[10].lower()
