@@ -46,13 +46,20 @@ def decided(drafts: DataFrame, matches: DataFrame) -> DataFrame:
     return drafts.select("draft_id").join(matches, "draft_id", "left").withColumn("decision", decision)
 
 
-def similar_names(catalog: DataFrame, block: str) -> DataFrame:
-    """Pairs of products of one block (release date, collection) whose names are close."""
-    named = with_names(catalog).select("uuid", "name_norm", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word"), block)
-    left, right = named.alias("x"), named.alias("y")
-    # Names this close share a word, so words and blocks together are the join's keys.
-    met = (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.uuid") < F.col("y.uuid"))
-    pairs = left.join(right, met).select(F.col("x.uuid").alias("a"), F.col("y.uuid").alias("b"), F.col("x.name_norm").alias("l"), F.col("y.name_norm").alias("r")).distinct()
+def similar_names(catalog: DataFrame, *blocks: str) -> DataFrame:
+    """Pairs of products whose names are close and that share any of `blocks` (release date, collection), once each.
+
+    A join of its own for each block, so none is a disjunction; a missing or blank block is shared with nobody.
+    """
+    named = with_names(catalog).select("uuid", "name_norm", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word"), *blocks)
+
+    def met(block: str) -> DataFrame:
+        left, right = named.filter(F.trim(block) != "").alias("x"), named.filter(F.trim(block) != "").alias("y")
+        # Names this close share a word, so words and blocks together are the join's keys.
+        keys = (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.uuid") < F.col("y.uuid"))
+        return left.join(right, keys).select(F.col("x.uuid").alias("a"), F.col("y.uuid").alias("b"), F.col("x.name_norm").alias("l"), F.col("y.name_norm").alias("r"))
+
+    pairs = reduce(DataFrame.unionByName, map(met, blocks)).distinct()
     return pairs.withColumn("similarity", similarity("l", "r")).filter(F.col("similarity") >= NAME_FLOOR).select("a", "b", "similarity")
 
 

@@ -409,7 +409,8 @@ def suggestion_stats(spark, d):
 
 @query()
 def name_similarity_pairs(spark, d):
-    return E.similar_names(A.catalog_products(spark, d).withColumn("block", F.concat_ws("/", "release_date", "collection")), "block")
+    catalog = A.catalog_products(spark, d).withColumn("collection", F.lower(F.trim("collection")))
+    return E.similar_names(catalog, "release_date", "collection")
 
 
 @query("catalog", """SELECT uuid, kind, value, priority, row_number() OVER (PARTITION BY uuid ORDER BY priority DESC, o) AS rank FROM (
