@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.text import name_key, normalise_name, similarity
 
 #: Identifier strategies and what a hit is worth.
-IDENTIFIERS = (("ean", 100), ("mpn", 95), ("asin", 93), ("manufacturer_sku", 92), ("model_number", 88))
+IDENTIFIERS = (("ean", 100), ("upc", 98), ("isbn", 96), ("mpn", 95), ("asin", 93), ("manufacturer_sku", 92), ("manufacturer_ref", 90), ("model_number", 88))
 MERGE, SUGGEST, NAME_FLOOR = 90, 70, 0.82
 #: Search keys by priority.
 KEYS = (("ean", 100), ("asin", 93), ("mpn", 92), ("manufacturer_sku", 90), ("model_number", 88))
@@ -24,23 +24,40 @@ def match_ladder(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     """The best match of each draft: (draft_id, uuid, score, method); drafts without any are left out.
 
     Every rung is an equi-join of its own, so no rung needs a nested loop; the highest score wins, then the
-    earliest product.
+    earliest product.  A field that drafts or catalog do not carry counts as missing in every row.
     """
     d, c = with_names(drafts), with_names(catalog)
+    carried = lambda field: field in d.columns and field in c.columns
     rungs = []
     for field, score in IDENTIFIERS:
-        left = d.filter(F.col(field).isNotNull()).select("draft_id", F.col(field).alias("v"))
-        right = c.filter(F.col(field).isNotNull()).select("uuid", "created_seq", F.col(field).alias("v"))
+        if not carried(field):
+            continue
+        left = d.filter(F.col(field) != "").select("draft_id", F.col(field).alias("v"))
+        right = c.filter(F.col(field) != "").select("uuid", "created_seq", F.col(field).alias("v"))
         rungs.append(left.join(right, "v").select("draft_id", "uuid", "created_seq", F.lit(score).alias("score"), F.lit(field).alias("method")))
     brand = F.lower(F.trim("brand"))
     left, right = d.select("draft_id", "name_key", brand.alias("b")), c.select("uuid", "created_seq", "name_key", brand.alias("b"))
     rungs.append(left.filter("b <> ''").join(right, ["name_key", "b"]).select("draft_id", "uuid", "created_seq", F.lit(85).alias("score"), F.lit("name_brand").alias("method")))
     rungs.append(left.join(right.drop("b"), "name_key").select("draft_id", "uuid", "created_seq", F.lit(70).alias("score"), F.lit("name_only").alias("method")))
+    if carried("release_date"):
+        rungs.append(close_names(d, c, F.col("release_date")).withColumns({"score": F.lit(80), "method": F.lit("name_release_date")}))
+    if carried("collection"):
+        rungs.append(close_names(d, c, F.lower(F.trim("collection"))).withColumns({"score": F.lit(75), "method": F.lit("name_collection")}))
     best = F.min(F.struct(-F.col("score"), "created_seq", "uuid", "method"))
     found = reduce(DataFrame.unionByName, rungs).groupBy("draft_id").agg(best.alias("m"))
     return found.select("draft_id", "m.uuid", (-F.col("m.col1")).alias("score"), "m.method")
 
 
+def close_names(drafts: DataFrame, catalog: DataFrame, block: F.Column) -> DataFrame:
+    """(draft_id, uuid, created_seq) of products whose block is the draft's and whose names are close to its name."""
+    word = F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word")
+    left = drafts.select("draft_id", F.col("name_norm").alias("l"), block.alias("block"), word).filter("block <> ''")
+    right = catalog.select("uuid", "created_seq", F.col("name_norm").alias("r"), block.alias("block"), word).filter("block <> ''")
+    # Names this close share a word, so words and blocks together are the join's keys.
+    pairs = left.join(right, ["block", "word"]).select("draft_id", "uuid", "created_seq", "l", "r").distinct()
+    return pairs.filter(similarity("l", "r") >= NAME_FLOOR).select("draft_id", "uuid", "created_seq")
+
+
 def decided(drafts: DataFrame, matches: DataFrame) -> DataFrame:
     decision = F.when(F.col("score") >= MERGE, "merge").when(F.col("score") >= SUGGEST, "suggest").otherwise("new")
     return drafts.select("draft_id").join(matches, "draft_id", "left").withColumn("decision", decision)
