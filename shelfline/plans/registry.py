@@ -467,8 +467,7 @@ def page_identifiers(spark, d):
 
 @query("", "SELECT page_id, CASE WHEN contains(html, '€') THEN NULL END AS price FROM pages WHERE NOT contains(html, '€')")
 def page_prices(spark, d):
-    pages = A.table(spark, d, "pages").filter(~F.contains("html", F.lit("€")))
-    return pages.select("page_id", X.price_eur(F.col("html")).alias("price"))
+    return A.table(spark, d, "pages").select("page_id", X.price_eur(F.col("html")).alias("price"))
 
 
 @query("checks", "SELECT strftime(checked_at, '%Y-%m-%dT%H:00') AS bucket, count(*) AS total, count(*) FILTER (status = 'error') AS errors, avg(response_time_ms) FILTER (status = 'ok') AS avg_ms FROM checks GROUP BY 1")
