@@ -11,14 +11,20 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    so many that a pair sharing `must_share` values meets in one of them.
 4. Each list's most central document (most of its values occur elsewhere) is compared with the whole list.
    That links most of a group of copies in one step for each copy, whatever the group's size.
-5. Pairs of a list not yet connected are compared as well.  In the list where it first meets, a pair has in
-   common what comes from that value on at most; a side that so can't reach the threshold with any size that
-   occurs in the list is left out.  Pairs that meet within the HEAD rarest values of both are taken once.
-   Before the exact comparison the union of both sketches estimates similarity, and pairs far below the
-   threshold go.
+5. Pairs of a list not yet connected are compared as well.  Of its whole set a document can share only what
+   occurs in documents of other components, and that count bounds the sizes its partners may have.  Copies of
+   one text with edits of their own, too far from each other, so have no partners among themselves, whatever
+   the group's size.  In the list where it first meets, a pair has in common what comes from that value on at
+   most; a side that so can't reach the threshold with any size that occurs in the list is left out.  Pairs
+   that meet within the HEAD rarest values of both are taken once.  Before the exact comparison the union of
+   both sketches estimates similarity, and pairs far below the threshold go.
 6. Links, all confirmed on full sets, are joined to components.
 
 Nothing is capped: a list may have any length, and every pair that could be linked is linked or connected.
+
+Shingles stand as 64-bit hashes throughout, and equal sets are recognised by their size and two 64-bit sums.
+Two of s different shingles share a hash with a chance of about s**2 / 2**65; even then an intersection is off
+by one.  Two different sets share both sums with a chance of 2**-128 for each pair.
 """
 
 from __future__ import annotations
@@ -144,6 +150,23 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(lambda b: _batches(rows(b), kinds, 200), "uid long, n long, hashes binary")
 
 
+def postings_of(sets: DataFrame, k: int | None = None) -> DataFrame:
+    """A row for each of the k smallest hashes (all without k) of each set: the columns before hashes, and value."""
+    kept = [f for f in sets.schema.fields if f.name != "hashes"]
+    names = [*[f.name for f in kept], "value"]
+
+    def cut(batches):
+        for batch in batches:
+            values = [np.frombuffer(raw, dtype="<i8")[:k] for raw in batch.column(len(kept)).to_pylist()]
+            if values:
+                each = [len(v) for v in values]
+                columns = [np.repeat(batch.column(i).to_numpy(), each) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(values))], names=names)
+
+    out = ", ".join(f"{name} long" for name in names)
+    return sets.filter("n > 0").select(*[f.name for f in kept], "hashes").mapInArrow(cut, out)
+
+
 def shared_values(postings: DataFrame) -> DataFrame:
     """`postings` (value, ...) whose value occurs in two or more rows, with df: how many."""
     counts = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -171,20 +194,9 @@ def lists(sets: DataFrame, k: int, similarity: float) -> DataFrame:
     shared: how many values of its long sketch occur elsewhere; central: their share of the sketch; rare: the
     rarest of them, rarest first.
     """
-    kinds = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
-
-    def cut(batches):
-        for batch in batches:
-            values = [np.frombuffer(raw, dtype="<i8")[:k] for raw in batch.column(2).to_pylist()]
-            if values:
-                each = [len(v) for v in values]
-                columns = [np.repeat(batch.column(i).to_numpy(), each) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(values))], schema=kinds)
-
-    postings = sets.filter("n > 0").select("uid", "n", "hashes").mapInArrow(cut, "uid long, n long, value long")
     whole = F.least("n", F.lit(k))
     return (
-        shared_values(postings)
+        shared_values(postings_of(sets.select("uid", "n", "hashes"), k))
         .groupBy("uid", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
         .withColumn("needed", _needed(k, similarity))
@@ -261,6 +273,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def partner_sizes(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(uid, most): the largest set that each of `members` (uid, component) can be linked to in another component.
+
+    A link of sets of n and m has similarity / (1 + similarity) * (n + m) shingles in common at least, and a
+    member has no more in common with other components than the values of its whole set that occur there.
+    Members that reach no size at all are left out.
+    """
+    own = only(sets, members.select("uid")).join(members, "uid").select("uid", "n", "component", "hashes")
+    postings = postings_of(own)
+    there = postings.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    common = postings.join(there, "value", "left_semi").groupBy("uid", "n").agg(F.count(F.lit(1)).alias("common"))
+    most = F.floor(F.lit((1 + similarity) / similarity + 1e-9) * F.col("common")) - F.col("n")
+    return common.select("uid", "n", most.alias("most")).filter(F.col("most") >= F.lit(similarity - 1e-9) * F.col("n")).select("uid", "most")
+
+
 def _reach(common: F.Column, n: F.Column, m: F.Column, similarity: float) -> F.Column:
     """Whether sets of n and m with so many in common reach the similarity."""
     return common >= F.lit(similarity - 1e-9) * (n + m - common)
@@ -308,7 +335,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
     rest = rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "hub")
     rest = stored(rest, "rest", compression="zstd")
-    rest = rest.join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
+    sizes = checkpointed(partner_sizes(sets, rest.select("uid", "component").distinct(), similarity))
+    rest = rest.join(sizes, "uid").join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
     common = F.array_intersect("x.head", "y.head")
     x, y = rest.alias("x"), rest.alias("y")
     met = (
@@ -317,6 +345,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.uid") != F.col("x.hub"))
         & (F.col("y.uid") != F.col("y.hub"))
+        & (F.col("x.n") <= F.col("y.most"))
+        & (F.col("y.n") <= F.col("x.most"))
         & (F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n"))
         & (
             (F.greatest("x.n", "y.n") > int(LONG * similarity))

@@ -78,3 +78,17 @@ def test_empty_null_ids_and_clashes(spark):
 def test_must_share_is_monotone():
     assert N.must_share(32, 0.85) < N.must_share(32, 0.95) <= 32
     assert 350 < N.must_share(512, 0.85) < 435
+
+
+def test_distant_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Copies with edits of their own, each too far from every other: the pairs compared stay in proportion to them."""
+    rng, base, rows = random.Random(5), sentence(11, 620).split(), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(0, 620, 4), rng.choice([17, 20, 24])):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    compared, plain = [], N.linked
+    monkeypatch.setattr(N, "linked", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    assert found(spark, rows, words=3, similarity=0.85)[0] == brute(rows, 3, 85)
+    assert sum(compared) < 10 * len(rows) < len(rows) ** 2 / 4
