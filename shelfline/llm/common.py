@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
         found = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,6 +42,29 @@ def stored(df: DataFrame, kind: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator stores and no longer reads once it has returned; `clear` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, kind: str, **options: str) -> DataFrame:
+        self.paths.append(path := work_path(self.spark, kind))
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that `work_path` named, in whatever file system it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df.checkpoint()` in the shared folder: cuts the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -51,6 +77,14 @@ def others(df: DataFrame, reserved: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def renamed_apart(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
     """`df` without the columns that an operator is about to add under the same names."""
     return df.select(*[F.col(f"`{c}`") for c in others(df, reserved)])

@@ -25,15 +25,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash, modulo 2**64, of data[starts[i]:ends[i]] with its length mixed in.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A polynomial hash, modulo 2**64, of data[starts[i]:ends[i]] with its length mixed in; one for each odd base.
 
     One running sum over the bytes gives every span's polynomial times a power of its start, which an inverse
     power takes away again.
     """
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_OF_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    out = (sums[ends] - sums[starts]) * powers(pow(_BASE, -1, 1 << 64), len(data) + 1)[starts]
+    np.cumsum(_OF_BYTE[data] * powers(base, len(data)), out=sums[1:])
+    out = (sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(data) + 1)[starts]
     return out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -10,13 +10,16 @@ Tokenising: texts are cut before every space that follows a non-space, and betwe
 punctuation.  Byte-level BPE always breaks there, so the library's ids of the pieces, one after another, are its
 ids of the text; each worker asks the library once for each distinct piece it meets (up to a bound) and looks up
 the others.  For the same reason it may ask for many pieces in one string, and tell them apart by the bytes that
-each id stands for.
+each id stands for.  Texts are cut first where the vocabulary's added tokens stand, as the library does.
+
+Pieces are known by two 64-bit hashes: a piece whose first hash is that of another is asked for itself.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import zlib
 
@@ -25,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stored, table, work_path
+from shelfline.llm.common import Scratch, table, work_path
 from shelfline.llm.hashing import span_hashes, texts_of
 
 END_ID = 2
 #: Bytes of text in a part, about; tokens in a frame, about.
 PART_BYTES = 16 << 20
+#: Parts at most (their bounds go to every task); beyond it parts grow, and are sorted and framed from disk.
+MOST_PARTS = 1 << 16
+#: Ids are written in 16 bits.
+MOST_IDS = 1 << 16
 FRAME_TOKENS = 1 << 18
 LANES = 1024
 CHECKPOINT = 128
@@ -41,6 +48,8 @@ MOST_SENT = 1_000_000
 WINDOW_BYTES = 1 << 20
 JOINED = 512
 REMEMBERED = 1_200_000
+#: The base of the second hash of a piece.
+SECOND = 0xD1342543DE82EF95
 
 # --- tokenising --------------------------------------------------------------------------------------------
 
@@ -49,15 +58,27 @@ PUNCTUATION = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256
 _workers: dict[str, "PieceTokenizer"] = {}
 
 
+def opened(path: str):
+    """The library's tokenizer at `path`; ValueError for one that this module can't write or cut texts for."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    if max(library.get_vocab().values()) >= MOST_IDS:
+        raise ValueError(f"the vocabulary has ids over {MOST_IDS - 1}")
+    for token in library.get_added_tokens_decoder().values():
+        if token.lstrip or token.rstrip or token.single_word or not token.content or re.search(r"\s", token.content):
+            raise ValueError(f"added token {token.content!r} takes more than its own characters")
+    return library
+
+
 class PieceTokenizer:
-    """Ids of byte strings, from the library's ids of their pieces, remembered by 64-bit hashes of the pieces."""
+    """Ids of byte strings, from the library's ids of their pieces, remembered by hashes of the pieces."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.library = opened(path)
+        added = sorted((t.content.encode() for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         vocabulary = self.library.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each id: a character stands for one
         self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
@@ -65,6 +86,7 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
+        self.second = np.empty(0, dtype=np.uint64)
         self.at = np.empty(0, dtype=np.int64)
         self.n = np.empty(0, dtype=np.int64)
         self.ids = np.empty(1 << 16, dtype=np.uint32)
@@ -97,13 +119,14 @@ class PieceTokenizer:
         out[~of_plain] = np.concatenate([np.empty(0, dtype=np.uint32), *single])
         return out, n
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, second: np.ndarray, pieces: list[bytes]) -> None:
         flat, n = self._ids_of(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
         into = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, into, keys)
+        self.second = np.insert(self.second, into, second)
         self.at = np.insert(self.at, into, self.used + np.cumsum(n) - n)
         self.n = np.insert(self.n, into, n)
         self.used += len(flat)
@@ -116,7 +139,7 @@ class PieceTokenizer:
     def _window(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces one after another, ids in each piece); starts and ends are offsets in data."""
         keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-
+        second = span_hashes(data, starts, ends, SECOND)
         at, there = self._known(keys)
         if not there.all():
             new = np.flatnonzero(~there)
@@ -124,12 +147,24 @@ class PieceTokenizer:
                 self._forget()
                 new = np.arange(len(keys))
             raw = data.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]] for i in first[new]])
+            self._learn(keys[new], second[first[new]], [raw[starts[i] : ends[i]] for i in first[new]])
             at, _ = self._known(keys)
+        if (self.second[at][which] != second).any():  # different pieces of one hash
+            raw = data.tobytes()
+            return self._ids_of([raw[a:b] for a, b in zip(starts, ends)])
         n, at = self.n[at][which], self.at[at][which]
         before = np.cumsum(n) - n
         return self.ids[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray):
+        """(start, end) of every added token that stands in one text, leftmost and then longest first."""
+        raw, at = data.tobytes(), 0
+        while self.added and (hit := self.added.search(raw, at)):
+            inside = np.searchsorted(offsets, hit.start(), side="right") == np.searchsorted(offsets, hit.end(), side="left")
+            if inside:
+                yield hit.span()
+            at = hit.end() if inside else hit.start() + 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END_ID; ids in each text with the end) of data[offsets[i]:offsets[i+1]]."""
         size = len(data)
@@ -139,6 +174,9 @@ class PieceTokenizer:
             cut[1:size] |= PUNCTUATION[data[1:]] & LETTER[data[:-1]]
             cut[offsets] = True
             cut[size] = True
+            for a, b in self._added(data, offsets):
+                cut[a:b] = False
+                cut[[a, b]] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]
         all_ids, all_n, i = [], [], 0
@@ -317,14 +355,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     """Write the ids of all `docs` in ascending id order below `path`: tables `frames` and `frequencies`.
 
     Ids of documents are integers; null ids come first, repeated ids follow each other in the order of their
-    tokens.  A null or empty text is its end id alone; an empty table writes empty tables; a vocabulary of
-    over 65,536 ids is refused; columns other than the two named play no part.
+    tokens.  A null or empty text is its end id alone; a text of any length is one document of one frame; an
+    empty table writes empty tables; a vocabulary with ids over 65,535 is refused (ValueError), as is one whose
+    added tokens take white space around them; columns other than the two named play no part.
     """
-    spark = docs.sparkSession
+    opened(vocabulary)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.octet_length(F.col(f"`{text_col}`")).alias("size"))
-    parts = max(1, math.ceil((own.agg(F.sum("size")).first()[0] or 0) / PART_BYTES))
+    parts = min(MOST_PARTS, max(1, math.ceil((own.agg(F.sum("size")).first()[0] or 0) / PART_BYTES)))
     bounds = own.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    tokens = stored(tokenised(docs, vocabulary, sorted({int(b) for b in bounds}), id_col, text_col), "tokens", compression="zstd")
+    tokens = scratch.stored(tokenised(docs, vocabulary, sorted({int(b) for b in bounds}), id_col, text_col), "tokens", compression="zstd")
 
     rows = id_counts(tokens).collect()  # a row for each id of the vocabulary at most
     slots = frequencies(_table_of(rows))
@@ -354,8 +394,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         if held:
             yield made()
 
-    dealt = tokens.select("part", "doc_id", "ids").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    dealt = tokens.select("part", "doc_id", "ids").repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     dealt.mapInArrow(encode, FRAMES_DDL).write.option("compression", "uncompressed").parquet(f"{path}/frames")
+    scratch.clear()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

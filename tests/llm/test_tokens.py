@@ -1,17 +1,20 @@
+import json
 import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from shelfline.llm import tokens as K  # noqa: E402
-from tests.llm.helpers import EMPTY, documents  # noqa: E402
+from tests.llm.helpers import EMPTY, documents, save, sentence  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = K.PieceTokenizer(PATH)
+LIBRARY = tokenizers.Tokenizer.from_file(PATH)  # as it comes, apart from the operator's own
 
 
 def own_ids(texts):
@@ -22,7 +25,7 @@ def own_ids(texts):
 
 
 def library_ids(texts):
-    return [e.ids + [K.END_ID] for e in TOKENIZER.library.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids + [K.END_ID] for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
 TEXT = st.text(alphabet=st.sampled_from("ab Z'st  \n\t.,!09é ñ漢🙂-_|<>"), max_size=60)
@@ -35,8 +38,8 @@ def test_pieces_give_the_librarys_ids(texts):
     assert own_ids(texts) == library_ids(texts)
 
 
-def test_special_strings_are_text_and_memory_is_bounded(monkeypatch):
-    texts = ["a <|endoftext|> b", "it's we'll  they're \n\n ok. (x) 3.14", "x" * 3000, " lead", "trail "]
+def test_added_tokens_and_bounded_memory(monkeypatch):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "|>", "<<|endoftext|>>", "it's we'll  they're \n\n ok. (x) 3.14", "x" * 3000, " lead", "trail "]
     monkeypatch.setattr(K, "REMEMBERED", 5)
     monkeypatch.setattr(K, "WINDOW_BYTES", 64)
     TOKENIZER._forget()
@@ -95,3 +98,29 @@ def test_files_round_trip(spark, tmp_path, monkeypatch, part_bytes):
 def test_empty_table(spark, tmp_path):
     K.write_tokens(documents(spark, []), f"{tmp_path}/t", PATH)
     assert K.read_tokens(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    plain = K.span_hashes
+    monkeypatch.setattr(K, "span_hashes", lambda data, starts, ends, *base: plain(data, starts, ends, *base) if base else (ends - starts).astype(np.uint64))
+    TOKENIZER._forget()
+    texts = ["one two six ten", "red dog cat", "é ü"]
+    assert own_ids(texts) == library_ids(texts)
+    TOKENIZER._forget()
+
+
+def test_refused_vocabularies(spark, tmp_path):
+    big = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+    big["model"] = {"type": "WordLevel", "vocab": {f"w{i}": i for i in range(70_000)}, "unk_token": "w0"}
+    (tmp_path / "big.json").write_text(json.dumps(big))
+    with pytest.raises(ValueError, match="65535"):
+        K.write_tokens(documents(spark, [(1, "w1", "s")]), f"{tmp_path}/t", f"{tmp_path}/big.json")
+
+
+def test_op2_on_long_and_odd_texts(spark, tmp_path):
+    rows = [(9, sentence(1, 30_000), "s"), (2, "x" * 200_000, "s"), (5, "a <|endoftext|> b", "s"), *EMPTY[:2], (7, "é" * 9, None)]
+    got = sorted((tuple(r) for r in K.op2_tokens(spark, save(spark, tmp_path, documents=documents(spark, rows))).collect()))
+    at = 0
+    for row, (i, ids) in zip(got, sorted((i, x) for (i, _, _), x in zip(rows, library_ids([t or "" for _, t, _ in rows])))):
+        assert row == (i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
