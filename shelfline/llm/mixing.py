@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stored, table
+from shelfline.llm.common import stored, table, unused
 
 #: Tokens in a block; slots in an output shard at least; documents in a bucket, about.
 BLOCK = 64
@@ -66,14 +66,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def placed_documents(docs: DataFrame, seed: int, n_rows: int) -> DataFrame:
-    """`docs` (uid, id, source, size) plus `at`: the tokens before each document in its source's stream."""
+    """`docs` (uid, id, source, size, content) plus `at`: the tokens before each document in its source's stream.
+
+    The order hashes ids and contents, so it does not depend on how the table is laid out; uid only parts rows
+    that are equal in all of them, which may change places.
+    """
     buckets = max(1, n_rows // BUCKET_ROWS)
-    h = F.xxhash64(F.lit(seed), "id", "uid")
+    h = F.xxhash64(F.lit(seed), "id", "content")
     bucketed = docs.withColumn("bucket", F.pmod(h, F.lit(buckets))).withColumn("h", h)
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "content", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     own = bucketed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     matched = own["source"].eqNullSafe(starts["source"]) & (own["bucket"] == starts["bucket"])
     return own.join(starts, matched).select(*[own[c] for c in docs.columns], (starts["start"] + own["inside"]).alias("at"))
@@ -172,7 +176,7 @@ def placed_slots(counts: DataFrame, seed: int) -> DataFrame:
 class Mixture:
     """What `mix` returns; all tables are narrow.
 
-    documents: uid, id, source, size, source_size, target, at.  targets: source, source_size, n_docs, target.
+    documents: uid, id, source, size, content, source_size, target, at.  targets: source, source_size, n_docs, target.
     rows: shard, source, slot, pass, block, uid, id, start, taken: the tokens start..start+taken-1 of a document.
     """
 
@@ -186,15 +190,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Null or empty texts have no tokens and are never taken; a null source is a source of its own and comes
     last; rows that repeat, ids included, are documents of their own; an empty table gives an empty mixture;
-    other columns play no part.  Equal inputs and seeds give equal mixtures.
+    other columns play no part.  Equal rows and seeds give equal mixtures, however
+    the table is split into files or partitions.
     """
     sized = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), token_count(F.col(f"`{text_col}`")).alias("size")
-    )
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), token_count(F.col(f"`{text_col}`")).alias("size"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("content"),
+    )
     sized = stored(sized.withColumn("uid", F.monotonically_increasing_id()), "mixing")
     targets = stored(source_targets(sized), "mixing-targets")
     n_rows = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    placed = placed_documents(sized.select("uid", "id", "source", "size"), seed, n_rows)
+    placed = placed_documents(sized.select("uid", "id", "source", "size", "content"), seed, n_rows)
     slots = placed_slots(drawn_counts(targets, block, seed), seed)
     pieces = placed.filter("size > 0").select(
         "uid", "id", "source", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block")
@@ -235,9 +241,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     share = taken.groupBy("id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     u = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 20)) / (1 << 20)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + u)).cast("int")
-    share = share.select(F.col("id").alias("__id"), copies.alias("__copies")).filter("__copies > 0")
-    kept = docs.join(share, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    own_id, n, copy = (unused(name, docs) for name in ("__id", "__copies", "__copy"))
+    share = share.select(F.col("id").alias(own_id), copies.alias(n)).filter(F.col(n) > 0)
+    kept = docs.join(share, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

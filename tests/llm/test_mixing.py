@@ -69,3 +69,35 @@ def test_documents_and_empty(spark):
     assert max(n for i, n in counts.items() if i != 500) <= 3 and counts[500] <= 9
     assert M.mix(documents(spark, [])).rows.count() == 0
     assert M.taken_by_document(M.mix(documents(spark, EMPTY))).filter("taken > 0").count() == 1  # "!!" is a token
+
+
+def test_layout_of_the_table_plays_no_part(spark):
+    rows, docs = corpus(spark)
+    seen = []
+    for laid in (docs.coalesce(1), docs.repartition(7), docs.orderBy(M.F.desc("text")).repartition(3)):
+        taken = M.taken_by_document(M.mix(laid)).select("id", "source", "size", "taken")
+        seen.append(sorted((tuple(r) for r in taken.collect()), key=str))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+
+
+def test_taken_by_brute_force(spark):
+    """Every slot's block, cut out of plain lists of words, gives what each document is taken for."""
+    rows, docs = corpus(spark)
+    mixture = M.mix(docs.filter("doc_id <> 500"))
+    at = {r.id: (r.source, r.at, r.size) for r in mixture.documents.collect()}
+    streams = {}
+    for i, (source, start, size) in sorted(at.items(), key=lambda x: (str(x[1][0]), x[1][1], x[1][2])):
+        stream = streams.setdefault(source, [])
+        assert start == len(stream) or not size
+        stream += [i] * size
+    want = dict.fromkeys(at, 0)
+    for source, block in {(r.source, r.slot): (r.source, r.block) for r in mixture.rows.collect()}.values():
+        for i in streams[source][block * M.BLOCK : (block + 1) * M.BLOCK]:
+            want[i] += 1
+    assert {r.id: r.taken for r in M.taken_by_document(mixture).collect()} == want
+
+
+def test_very_long_text(spark):
+    docs = documents(spark, [(1, "word " * 50_000, "a"), (2, "b", "b")])
+    taken = {r.id: r.taken for r in M.taken_by_document(M.mix(docs)).collect()}
+    assert taken[2] == 3 and abs(taken[1] - 49_998) <= M.BLOCK
