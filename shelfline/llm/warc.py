@@ -3,6 +3,7 @@
 Archives are written by Spark's text writer, a record for each row, with the blank line that ends a WARC
 record as line separator and gzip around each file.  They are read with Spark's binary-file reader and parsed
 record by record by Content-Length, so payloads may hold anything.  Any file system Spark reaches will do.
+A task starts a new file after FILE_BYTES of payload, so no reader holds much more than that and one record.
 
 Captures with equal payloads of at least `least_bytes` bytes are stored once: the one with the smallest
 page_id is a response, the others are revisits that refer to it and hold no payload.
@@ -12,16 +13,18 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.llm.common import stored, table, work_path
+from shelfline.llm.common import removed, stored, table, work_path
 
 LEAST_BYTES = 100
-#: Records in one archive file, at most.
-FILE_RECORDS = 12_000
+#: Payload in one archive file, about; the last record may exceed it.
+FILE_BYTES = 48 << 20
 #: The capture time written when the input has none.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,7 +127,22 @@ def records_of(captures: DataFrame) -> DataFrame:
     metadata = _record(
         "metadata", _urn(F.md5(F.concat(own, F.lit("metadata")))), [target, linked, F.lit("Content-Type: application/warc-fields")], fields
     )
-    return captures.select(F.explode(F.array(request, main, metadata)).alias("value"))
+    kept = [c for c in captures.columns if c == "chunk"]
+    return captures.select(*kept, F.explode(F.array(request, main, metadata)).alias("value"))
+
+
+def with_chunks(captures: DataFrame) -> DataFrame:
+    """`captures` with chunk: which of its task's files a capture goes to, by the payload before it."""
+
+    def cut(batches):
+        before = 0
+        for batch in batches:
+            sizes = pc.if_else(pc.is_valid(batch.column("refers_to")), 0, batch.column("size")).to_numpy(zero_copy_only=False)
+            ends = before + np.cumsum(sizes)
+            before = int(ends[-1]) if len(ends) else before
+            yield batch.append_column("chunk", pa.array((ends - sizes) // FILE_BYTES))
+
+    return captures.mapInArrow(cut, T.StructType([*captures.schema.fields, T.StructField("chunk", T.LongType())]))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -132,10 +150,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
 
     A null html is an empty payload; a null url leaves the target out; rows that repeat page_id, url and html
     exactly are captures of their own with equal record ids; other columns are left aside; an empty table
-    writes no records.
+    writes no records; a payload of any length is one record.
     """
-    writer = records_of(with_roles(pages, least_bytes)).write
-    writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer = records_of(with_chunks(with_roles(pages, least_bytes))).write.partitionBy("chunk")
+    writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _unzipped(content: bytes) -> bytes:
@@ -199,18 +217,21 @@ def _parse(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below `path`, with the columns of RECORD."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_parse, RECORD)
 
 
 def assembled(records: DataFrame) -> DataFrame:
     """One nested row for each capture: its response or revisit with the request and metadata concurrent to it.
 
-    Columns: capture_id, target_uri, response (struct with size and digest of the payload as read), request and
-    metadata (structs, null where the archive has none; of several, the one with the smallest record id).
+    Columns: capture_id, target_uri, response (struct with size and digest of the payload as read, and intact: whether
+    that is the digest the record states, null where it states none in SHA-256 hex or holds no payload), request
+    and metadata (structs, null where the archive has none; of several, the one with the smallest record id).
     """
     detail = records.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    part = F.struct("record_id", "type", "date", "refers_to", "stated_digest", "size", "digest", "fields", "payload")
+    stated = F.regexp_extract(F.lower("stated_digest"), "^sha256:([0-9a-f]{64})$", 1)
+    detail = detail.withColumn("intact", F.when((F.col("type") != "revisit") & (stated != ""), stated == F.col("digest")))
+    part = F.struct("record_id", "type", "date", "refers_to", "stated_digest", "size", "digest", "intact", "fields", "payload")
     main = detail.filter(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "target_uri", part.alias("response"))
 
     def linked(kind: str) -> DataFrame:
@@ -227,7 +248,10 @@ def unlinked(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives, read back, and joined to one row for each capture."""
+    """Every page written to archives, read back, and joined to one row for each capture.
+
+    A payload that is not what its record's digest says ends the query with an error.
+    """
     path = work_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     captures = stored(
@@ -236,15 +260,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("metadata.fields")["pageId"].cast("long").alias("page_id"),
             F.col("response.type").alias("record_type"),
             F.col("response.refers_to").alias("refers"),
-            F.col("response.stated_digest").alias("stated"),
             F.col("response.size").alias("size"),
-            F.col("response.digest").alias("digest"),
+            F.when(F.coalesce("response.intact", F.lit(True)), F.col("response.digest"))
+            .otherwise(F.raise_error(F.lit("a payload differs from its stated digest"))).alias("digest"),
         ),
         "captures",
     )
+    removed(spark, path)
+    # Both sides of the join below are stored tables, so Spark may split the revisits of one page over tasks.
     first = captures.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("refers")).agg(
         F.min("page_id").alias("refers_to"), F.min("size").alias("first_size"), F.min("digest").alias("first_digest")
     )
+    first = stored(first, "responses")
     revisit = F.col("record_type") == "revisit"
     return captures.join(first, "refers", "left").select(
         "page_id",

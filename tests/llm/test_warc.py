@@ -62,3 +62,23 @@ def test_written_records_are_concurrent(spark, tmp_path):
     kinds = {r.type: r for r in W.read_archives(spark, f"{tmp_path}/w").withColumn("n", F.length("payload")).collect()}
     assert set(kinds) == {"request", "response", "metadata"}
     assert kinds["request"].concurrent_to == kinds["metadata"].concurrent_to == kinds["response"].record_id
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 3_000_000)
+    rows = [(i, f"http://h/{i}", f"{i} " + "y" * 1_000_000) for i in range(12)]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    W.write_archives(pages, f"{tmp_path}/w")
+    files = [p for p in (tmp_path / "w").rglob("*.gz")]
+    assert len(files) == 4 and all(len(gzip.decompress(p.read_bytes())) < 4_100_000 for p in files)
+    assert W.read_archives(spark, f"{tmp_path}/w").filter("type = 'response'").agg(F.sum(F.length("payload"))).first()[0] == sum(len(h) for *_, h in rows)
+
+
+def test_stated_digests_are_compared(spark, tmp_path):
+    http, good = "Content-Type: application/http; msgtype=response", hashlib.sha256(b"body").hexdigest()
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    digests = {"<a>": f"sha256:{good}", "<b>": "sha256:" + "0" * 64, "<c>": "sha1:ABC", "<d>": f"SHA256:{good.upper()}"}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/x.gz").write_bytes(gzip.compress(b"".join(record("response", k, block, http, f"WARC-Payload-Digest: {d}") for k, d in digests.items())))
+    got = {r.capture_id: r.response.intact for r in W.assembled(W.read_archives(spark, f"{tmp_path}/w")).collect()}
+    assert got == {"<a>": True, "<b>": False, "<c>": None, "<d>": True}
