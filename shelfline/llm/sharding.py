@@ -67,14 +67,14 @@ def shuffle_into_shards(
     df = renamed_apart(df, ["shard", "slot"])
     n, n_bytes = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_size_of(df)), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, math.ceil(n_bytes / bucket_bytes))
-    scatter = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]), F.lit(buckets)).alias("bucket")
+    scatter = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]), F.lit(buckets)).cast("int").alias("bucket")
     starts = _bucket_starts(df.groupBy(scatter).agg(F.count(F.lit(1)).alias("n")))
 
     atomic = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
     order = [F.col(f"rec.`{c}`") for c in [*key, *[c for c in atomic if c not in key]]]
     ordered = (
         df.select(scatter, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rec"))
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, "bucket")
         .sortWithinPartitions("bucket", *order)
     )
     # The sort above fixes what the seeded draw sees, so that a task run again draws the same order.

@@ -47,3 +47,21 @@ def test_op6_reads_what_it_wrote(spark, tmp_path):
     laid_out(got)
     assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows}
     assert S.op6_sharding(spark, save(spark, tmp_path / "e", documents=documents(spark, []))).count() == 0
+
+
+def test_brute_force_scatter_and_shuffle(spark):
+    """Buckets laid end to end, each some order of the rows that hash to it, are cut into shards one after another."""
+    docs = documents(spark, [(i, f"text {i}", "s") for i in range(333)])
+    bucket = {r.doc_id: r.b for r in docs.selectExpr("doc_id", f"pmod(xxhash64(17, doc_id), {S.LEAST_BUCKETS}) AS b").collect()}
+    got = sorted(S.shuffle_into_shards(docs, ["doc_id"]).collect(), key=lambda r: (r.shard, r.slot))
+    assert [bucket[r.doc_id] for r in got] == sorted(bucket.values())
+    want = [(shard, slot) for shard in range(8) for slot in range(len([at for at in range(333) if at * 8 // 333 == shard]))]
+    assert [(r.shard, r.slot) for r in got] == want
+    inside = [r.doc_id for r in got]
+    assert any(a > b for a, b in zip(inside, inside[1:]) if bucket[a] == bucket[b])
+
+
+def test_very_long_text(spark):
+    docs = documents(spark, [(1, "x" * 3_000_000, "s"), *[(i, "y", "s") for i in range(2, 20)]])
+    rows = S.shuffle_into_shards(docs, ["doc_id"]).collect()
+    assert sum(laid_out(rows)) == 19 and max(len(r.text) for r in rows) == 3_000_000
