@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.llm.common import renamed_apart, table
+from shelfline.llm.common import renamed_apart, table, unused
 from shelfline.llm.hashing import span_hashes, texts_of
 
 BITS = 18
@@ -139,16 +139,17 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     """
     docs = renamed_apart(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    texts = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    texts = docs.withColumn(unused("__text", docs), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
 
     def rate(batches):
         w = shared.value.astype(np.float64)
         for batch in batches:
             found = []
             for index, n in grouped(*texts_of(batch.column(batch.num_columns - 1))) if batch.num_rows else []:
-                total = np.concatenate([[0], np.cumsum(w[index])])
-                ends = np.cumsum(n)
-                found.append((total[ends] - total[ends - n]) / np.sqrt(np.maximum(1, n)))
+                total = np.zeros(len(n))
+                some = n > 0
+                total[some] = np.add.reduceat(w[index], (np.cumsum(n) - n)[some]) if some.any() else 0
+                found.append(total / np.sqrt(np.maximum(1, n)))
             z = np.concatenate([np.empty(0), *found]) + w[-1]
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             rated = pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))

@@ -51,3 +51,39 @@ def test_no_labels_and_empty_documents(spark):
     rated = Q.rated_documents(documents(spark, [(1, "a", "s")] * 2), none).collect()
     assert [r.score for r in rated] == [0.5, 0.5]
     assert Q.rated_documents(documents(spark, []), none).count() == 0
+
+
+def test_learner_by_plain_follow_the_regularised_leader():
+    """FTRL-proximal in plain Python, weight by weight, over the same rows."""
+    import math
+
+    rng, size = np.random.default_rng(4), 12
+    model, z, n = Q.Ftrl(size), [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if i == size:
+            return -z[i] / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA)
+        return 0.0 if abs(z[i]) <= Q.L1 else -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for _ in range(200):
+        index = np.append(np.sort(rng.choice(size, 4, replace=False)), size)
+        value, label = np.append(rng.random(4), 1.0), int(rng.random() < 0.4)
+        model.learn(index, value, label)
+        w = [weight(i) for i in index]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, value))))
+        for i, v, own in zip(index, value, w):
+            g = (p - label) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / Q.ALPHA * own
+            n[i] += g * g
+    assert np.allclose(model.weights(np.arange(size + 1)), [weight(i) for i in range(size + 1)])
+
+
+def test_features_by_plain_tokens(spark):
+    """Texts that agree in tokens, pairs and repeats score alike; those that differ in one do not; long texts are whole."""
+    weights = np.random.default_rng(1).normal(size=(1 << Q.BITS) + 1).astype(np.float32)
+    long = sentence(3, 20_000)
+    texts = ["One two, two", "one  TWO,\ttwo", "one two two,", long, long + " end"]
+    got = {r.doc_id: r.score for r in Q.score(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]).selectExpr("*", "1 as __Text"), weights).collect()}
+    assert got[0] == got[1] != got[2] and got[3] != got[4]
+    one = {r.doc_id: r.score for r in Q.score(documents(spark, [(3, long, "s")]), weights).collect()}
+    assert one[3] == got[3]  # neighbours in a batch play no part
