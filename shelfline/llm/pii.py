@@ -40,8 +40,6 @@ TERM = r"[\p{L}\p{N}]+"
 #: What stands for a base span in a masked text, and a term there that no span touches.
 GAP = "\uffff"
 FREE_TERM = rf"(?<![\p{{L}}\p{{N}}{GAP}])[\p{{L}}\p{{N}}]++(?!{GAP})"
-#: Code points on each side of an entity; counts no longer depend on it, terms count over whole texts.
-NEAR = 64
 #: Share of an entity's information that a term may reveal; documents that must show it, at least.
 ALPHA = 0.8
 LEAST_DOCS = 2
