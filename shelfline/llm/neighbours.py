@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import table
 
 K = 20
-#: Rows of a block of queries and of a block of candidates, about.
-QUERY_BLOCK = 4096
+#: Bytes of a block of queries, about: candidates are sent once to each.  Rows of a block of candidates, about.
+QUERY_BYTES = 32 << 20
 CANDIDATE_BLOCK = 4096
 #: Queries of a tile that are compared at a time.
 STRIP = 256
@@ -101,7 +101,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str =
         return own.filter(F.col("id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
 
     q, c = part(queries), part(candidates)
-    rows_of, columns_of = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(c.count() / CANDIDATE_BLOCK))
+    size = q.agg(F.sum(F.col("dim") * 8)).first()[0] or 0
+    rows_of, columns_of = max(1, math.ceil(size / QUERY_BYTES)), max(1, math.ceil(c.count() / CANDIDATE_BLOCK))
 
     def block(n: int) -> F.Column:
         return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

@@ -17,7 +17,7 @@ def brute(rows, k, step=20):
 
 
 def test_exact_with_odd_vectors_and_ties(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(N, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(N, "QUERY_BYTES", 500)
     monkeypatch.setattr(N, "CANDIDATE_BLOCK", 60)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(300)]
