@@ -1,5 +1,10 @@
 """From raw documents to shuffled training shards, stage by stage.
 
+Null and empty texts, null ids and sources, repeated rows, texts of any length and columns of other names go
+through every stage as its operator states: the classifier scores an empty text like any other; rows without
+words are nobody's copies, hit nothing and stay once in the mixture; an empty table gives an empty result.
+Rows that repeat an id share what is decided of it.
+
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.  Each is written as Parquet before the next one reads it.
 """
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import stored, table
+from shelfline.llm.common import Scratch, stored, table
 from shelfline.llm.decontamination import find_contamination
 from shelfline.llm.mixing import mixed_documents
 from shelfline.llm.near_dedup import near_duplicates
@@ -64,7 +69,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        own = Scratch(spark)
+        docs = own.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            before.clear()  # the next stage is written, and reads the one before it no more
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)

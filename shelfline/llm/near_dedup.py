@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import checkpointed, stored, table
+from shelfline.llm.common import Scratch, checkpointed, stored, table
 from shelfline.llm.hashing import span_hashes, texts_of
 
 #: Values in the sketch that finds suspects, and in the sketch that finds pairs.
@@ -262,7 +262,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = checkpointed(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         seen = both.join(labels, F.col("b") == F.col("uid")).groupBy(F.col("a").alias("uid")).agg(F.min("component").alias("near"))
-        stepped = labels.join(seen, "uid").select("uid", "component", F.least("component", "near").alias("next"))
+        # Written, so that the join below has sides of its own, whose hot keys (hubs) Spark may split.
+        stepped = checkpointed(labels.join(seen, "uid").select("uid", "component", F.least("component", "near").alias("next")))
         jump = stepped.select(F.col("uid").alias("next"), F.col("next").alias("far"))
         moved = checkpointed(
             stepped.join(jump, "next", "left").select("uid", "component", F.least("next", "far").alias("next"))
@@ -303,24 +304,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     columns play no part.  `similarity` counts in whole hundredths.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("uid"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     drawn = stored(sketches(own, words, SHORT), "sketches", compression="zstd")
     real = drawn.filter("n > 0 and uid is not null")
     classes = real.groupBy("set_key").agg(F.min("uid").alias("rep"))
     # Of each class one row goes on: the one whose id is the smallest.
-    reps = stored(real.join(classes, (F.col("uid") == F.col("rep")) & (real["set_key"] == classes["set_key"])).groupBy("uid").agg(F.min(F.struct("n", "sketch")).alias("own")).select("uid", "own.*"), "reps", compression="zstd")
+    reps = scratch.stored(real.join(classes, (F.col("uid") == F.col("rep")) & (real["set_key"] == classes["set_key"])).groupBy("uid").agg(F.min(F.struct("n", "sketch")).alias("own")).select("uid", "own.*"), "reps", compression="zstd")
     suspected = checkpointed(suspects(reps, SHORT, similarity))
     texts = only(own, suspected)
     if not drawn.groupBy("uid").count().filter("uid is not null and count > 1").isEmpty():
         texts = texts.groupBy("uid").agg(F.min("text").alias("text"))
-    sets = stored(full_sets(texts, words), "sets", compression="zstd")
-    listed = stored(lists(sets, LONG, similarity), "lists", compression="zstd")
+    sets = scratch.stored(full_sets(texts, words), "sets", compression="zstd")
+    listed = scratch.stored(lists(sets, LONG, similarity), "lists", compression="zstd")
 
     rank = F.struct(-F.col("central"), "uid")
     by_value = entries(listed).groupBy("value").agg(
         F.min(rank).alias("hub"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("length")
     )
     by_value = by_value.filter("length > 1").select("value", F.col("hub.uid").alias("hub"), "least_n", "most_n")
-    by_value = stored(by_value, "hubs", compression="zstd")
+    by_value = scratch.stored(by_value, "hubs", compression="zstd")
     spread = entries(listed).join(by_value, "value")
     to_hubs = spread.filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
     first = checkpointed(linked(checkpointed(to_hubs), sets, LONG, similarity))
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     # A list whose members are all connected already has nothing left to find.
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
     rest = rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "hub")
-    rest = stored(rest, "rest", compression="zstd")
+    rest = scratch.stored(rest, "rest", compression="zstd")
     sizes = checkpointed(partner_sizes(sets, rest.select("uid", "component").distinct(), similarity))
     rest = rest.join(sizes, "uid").join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
     common = F.array_intersect("x.head", "y.head")
@@ -357,6 +359,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     second = linked(checkpointed(others), sets, LONG, similarity)
     final = components(first.union(second))
+    scratch.clear()
 
     by_class = classes.join(final, F.col("rep") == F.col("uid"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.join(by_class, "set_key", "left")

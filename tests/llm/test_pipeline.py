@@ -38,3 +38,22 @@ def test_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in mixed.collect())
     counts = [r["count"] for r in final.groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 1
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    good, sf = corpus(spark, tmp_path / "a")
+    odd = [(900, None, None), (901, "", "src1"), (902, sentence(170, 20_000), "src9"), (None, sentence(171, 40), None), (903, sentence(172, 60), "src1"), (903, sentence(172, 60), "src1")]
+    docs = documents(spark, [(i, t, s) for i, t, s in good] + odd).selectExpr("*", "1 as shard", "2 as N_hit", "3 as __id", "5 as __COPIES", "6 as __copy", "7 as __text", "4 as Score")
+    columns = docs.columns
+    for name, stage in P.STAGES[1:]:
+        docs = P.stored(stage(spark, docs, sf), name)
+        assert name == "shard" or docs.columns == columns
+        if name == "decontaminate":
+            before = [r.doc_id for r in docs.select("doc_id").collect()]
+    left = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert {900, 901, 902, 903, None} <= set(before) and set(left) <= set(before)
+    assert left.count(900) == left.count(901) == 1 and all(left.count(i) <= 3 for i in before if i != 903)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
