@@ -28,11 +28,20 @@ def fold(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def normalise(text: pd.Series) -> pd.Series:
-    """Accents, case and runs of white space folded away (NFKD has no built-in function)."""
+def _folded(text: pd.Series) -> pd.Series:
     return text.map(fold)
 
 
+def normalise(text: F.Column) -> F.Column:
+    """Accents, case and runs of white space folded away.
+
+    Only texts beyond ASCII go to Python: NFKD has no built-in function.
+    """
+    plain = text.rlike(r"\A\p{ASCII}*\z")
+    ascii_fold = F.lower(F.trim(F.regexp_replace(text, r"[\t-\r\x1C-\x1F ]+", " ")))
+    return F.when(plain, ascii_fold).otherwise(_folded(F.when(~plain, text)))
+
+
 def normalise_name(name: F.Column) -> F.Column:
     """Comparable form of a name: folded, punctuation as spaces, stop words gone, word order kept."""
     words = F.split(F.regexp_replace(normalise(name), r"[^\p{L}\p{N}_\s]", " "), r"\s+")

@@ -64,18 +64,38 @@ def sightings(found: DataFrame, fingerprint: F.Column) -> DataFrame:
 
 
 def mark_missing(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """Known fingerprints of a complete scan's sites that it did not see: they are gone."""
-    return known.join(seen.select("fingerprint").distinct(), "fingerprint", "left_anti").withColumn("status", F.lit("gone"))
+    """`known` (site, fingerprint, status) after complete scans that saw `seen` (site, fingerprint).
+
+    Pending rows that their site's scan did not see are gone; decided rows never change, nor do rows of sites
+    without a scan or whose scan saw nothing.
+    """
+    here = seen.select("site", "fingerprint").distinct().withColumn("__seen", F.lit(True))
+    scanned = seen.select("site").distinct().withColumn("__scanned", F.lit(True))
+    rows = known.join(here, ["site", "fingerprint"], "left").join(scanned, "site", "left")
+    gone = (F.col("status") == "pending") & F.col("__scanned").isNotNull() & F.col("__seen").isNull()
+    return rows.select(
+        "fingerprint", "site", F.when(gone, "gone").otherwise(F.col("status")).alias("status"),
+        F.when(gone, "absente du dernier balayage complet").alias("decision_reason"),
+    )
 
 
-def attempts_upsert(attempts: DataFrame) -> DataFrame:
-    """Attempts as one row for each product and status; retries are due by exponential back-off."""
-    return attempts.groupBy("product_uuid", "site").agg(F.count(F.lit(1)).alias("rows"), F.max("attempts").alias("attempts"), F.max("status").alias("status"))
+def attempts_upsert(tries: DataFrame) -> DataFrame:
+    """Tries (product_uuid, site, key_kind, key_value, status, confidence, found_url, tried_at, seq) as one row for each key.
+
+    attempts counts them; status and confidence are the latest; the latest url found stays.
+    """
+    newest = F.struct("tried_at", "seq")
+    url = F.when(F.col("found_url") != "", F.col("found_url"))
+    return tries.groupBy("product_uuid", "site", "key_kind", "key_value").agg(
+        F.count(F.lit(1)).cast("int").alias("attempts"), F.max_by("status", newest).alias("status"), F.max_by("confidence", newest).alias("confidence"),
+        F.max_by(url, F.when(url.isNotNull(), newest)).alias("found_url"), F.max("tried_at").alias("last_attempt_at"),
+    )
 
 
 def retry_schedule(attempts: DataFrame, base: float = 1800, factor: float = 1.5, longest: float = 21600) -> DataFrame:
-    """Seconds until the next try of each failed attempt; null for those that found something or wait."""
-    delay = F.least(F.lit(base) * F.pow(F.lit(factor), F.col("attempts").cast("double")), F.lit(float(longest)))
+    """Seconds until the next try of each failed attempt, of which `attempts` were made; null for all others."""
+    made = F.greatest(F.lit(0.0), F.col("attempts").cast("double") - 1)
+    delay = F.least(F.lit(base) * F.pow(F.lit(factor), made), F.lit(float(longest)))
     return attempts.withColumn("retry_seconds", F.when(F.col("status").isin("not_found", "error"), F.floor(delay)))
 
 
@@ -113,7 +133,7 @@ def best_offer(states: DataFrame) -> DataFrame:
     )
 
 
-def identifier_coverage(catalog: DataFrame, fields: tuple[str, ...] = ("ean", "mpn", "manufacturer_sku", "asin", "model_number")) -> DataFrame:
+def identifier_coverage(catalog: DataFrame, fields: tuple[str, ...] = ("ean", "upc", "isbn", "mpn", "asin", "model_number")) -> DataFrame:
     return catalog.agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in fields])
 
 

@@ -7,6 +7,8 @@ and in streams (`shelfline.streaming.monitor`).
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,42 +103,81 @@ def business_hash(df: DataFrame, version: str = "1") -> DataFrame:
     return df.withColumn("business_hash", F.left(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), F.lit(16)))
 
 
-def confirm_step(state: tuple | None, waiting: tuple | None, reading: tuple) -> tuple[tuple | None, tuple | None, tuple | None]:
-    """(confirmed state, reading that waits, output row) after one reading (availability, price).
-
-    A change is confirmed by a second reading that says the same; then the second becomes the state.  Another
-    reading leaves the state and is reported as unstable.
+def signature(old: Mapping, new: Mapping) -> tuple[tuple[str, str], ...]:
+    """The comparable changes between two conclusive readings, as `events_of` finds them."""
+    found = []
+    said = " · ".join(x for x in (new["availability"], new["price"], new["seller_name"] and f"vendu par {new['seller_name']}") if x is not None)
+    appeared, moved = new["page_exists"] and not old["page_exists"], old["availability"] != new["availability"]
+    if appeared:
+        found.append(("product_appeared", said))
+    elif moved:
+        invited = new["availability"] == "preorder" and new["action"] == "request_invite"
+        found.append(("invitation_opened" if invited else AVAILABILITY_EVENTS.get(new["availability"], "status_changed"), said))
+    kinds = {old["seller_type"], new["seller_type"]}
+    if old["action"] in ACTIONABLE and new["action"] in ACTIONABLE and len(kinds) == 2 and "unknown" not in kinds:
+        official = new["seller_type"] == "official"
+        named = new["seller_name"] or ("vendeur officiel" if official else "revendeur tiers")
+        found.append(("seller_became_official" if official else "seller_left_buybox", named))
+    if not moved and not appeared and new["price"] and new["price"] != old["price"]:
+        found.append(("price_changed" if old["price"] else "price_appeared", new["price"]))
+    return tuple(sorted(found))
+
+
+def confirm_step(state: dict | None, waiting: dict | None, reading: dict) -> tuple[dict | None, dict | None, tuple | None]:
+    """(confirmed state, reading that waits, outcome) after one reading; the outcome is (kind, old, new) or None.
+
+    The first conclusive reading is a baseline.  A reading with changes waits for the one after it, which
+    confirms it if it is conclusive and shows the very same changes; then the second reading is the state.  If
+    not, the state stays and the pair is unstable.  Inconclusive readings that none waits for change nothing.
     """
-    if reading[0] == "unknown":
-        return state, waiting, None
+    conclusive = reading["availability"] != "unknown"
+    if waiting is not None:
+        if conclusive and signature(state, reading) == signature(state, waiting):
+            return reading, None, ("confirmed", state, reading)
+        return state, None, ("unstable", waiting, reading)
+    if not conclusive:
+        return state, None, None
     if state is None:
         return reading, None, ("baseline", None, reading)
-    if waiting is None:
-        return (state, None, None) if reading == state else (state, reading, None)
-    if reading == waiting:
-        return reading, None, ("confirmed", state, reading)
-    return state, None, ("unstable", waiting, reading)
+    if signature(state, reading):
+        return state, reading, None
+    return reading, None, None
 
 
+READ = ("availability", "price", "page_exists", "action", "seller_type", "seller_name")
 CONFIRMED = "product_uuid string, id long, outcome string, old_value string, new_value string"
 
 
-def confirmed(readings: DataFrame) -> DataFrame:
-    """Double-read confirmation in batch: one ordered pass over each product's readings."""
+def reading_of(row) -> dict:
+    """The fields of a row that confirmation compares, with None for missing ones."""
+    return {c: None if pd.isna(x := getattr(row, c)) else x for c in READ}
+
 
-    def shown(x: tuple | None) -> str | None:
-        return None if x is None else " · ".join(v for v in x if v)
+def shown(x: dict | None) -> str | None:
+    return None if x is None else " · ".join(v for v in (x["availability"], x["price"]) if v)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = waiting = None
-        out = []
-        for r in pdf.sort_values(["checked_at", "id"]).itertuples(index=False):
-            state, waiting, row = confirm_step(state, waiting, (r.availability, r.price))
-            if row:
-                out.append((r.product_uuid, r.id, row[0], shown(row[1]), shown(row[2])))
-        return pd.DataFrame(out, columns=["product_uuid", "id", "outcome", "old_value", "new_value"])
 
-    return readings.select("product_uuid", "id", "checked_at", "availability", "price").groupBy("product_uuid").applyInPandas(fold, CONFIRMED)
+def confirmed(readings: DataFrame) -> DataFrame:
+    """Double-read confirmation in batch: (product_uuid, id, outcome, old_value, new_value).
+
+    Each task folds its products' readings in order as they stream by, so it holds one batch and one state,
+    however long a product's history is.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        product = state = waiting = None
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if r.product_uuid != product:
+                    product, state, waiting = r.product_uuid, None, None
+                state, waiting, found = confirm_step(state, waiting, reading_of(r))
+                if found:
+                    out.append((product, r.id, found[0], shown(found[1]), shown(found[2])))
+            yield pd.DataFrame(out, columns=["product_uuid", "id", "outcome", "old_value", "new_value"])
+
+    own = readings.select("product_uuid", "id", "checked_at", *READ).filter("product_uuid is not null and availability is not null")
+    return own.repartition("product_uuid").sortWithinPartitions("product_uuid", "checked_at", "id").mapInPandas(fold, CONFIRMED)
 
 
 def check_incidents(checks: DataFrame) -> DataFrame:

@@ -2,60 +2,87 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.functions.text import name_key, normalise_name, similarity
+from shelfline.functions.text import fold, name_key, normalise, normalise_name, similarity
+from shelfline.sources.files import stored
 
 #: Identifier strategies and what a hit is worth.
 IDENTIFIERS = (("ean", 100), ("upc", 98), ("isbn", 96), ("mpn", 95), ("asin", 93), ("manufacturer_sku", 92), ("manufacturer_ref", 90), ("model_number", 88))
 MERGE, SUGGEST, NAME_FLOOR = 90, 70, 0.82
 #: Search keys by priority.
-KEYS = (("ean", 100), ("asin", 93), ("mpn", 92), ("manufacturer_sku", 90), ("model_number", 88))
+KEYS = (
+    ("ean", 100), ("upc", 98), ("isbn", 96), ("gtin", 94), ("asin", 93), ("mpn", 92), ("sku", 90), ("model_number", 88),
+    ("manufacturer_part_number", 86), ("brand_model", 80), ("canonical_name", 70), ("alias", 60),
+)
+MOST_ALIASES = 3
 
 
 def with_names(df: DataFrame) -> DataFrame:
     return df.withColumn("name_norm", normalise_name(F.col("name"))).withColumn("name_key", name_key(F.col("name_norm")))
 
 
+def _rung_keys(named: DataFrame, carried: set[str], *kept: str) -> DataFrame:
+    """`kept` columns with (score, method, block, name): a row for every rung that a row can be found by.
+
+    Exact rungs have the whole key in block; close-name rungs have their block there and the name beside it.
+    """
+    brand, collection = F.lower(F.trim("brand")), F.lower(F.trim("collection")) if "collection" in carried else F.lit(None)
+    rungs = [(score, field, F.col(field), F.lit("")) for field, score in IDENTIFIERS if field in carried]
+    rungs.append((85, "name_brand", F.when(brand != "", F.concat_ws("\n", brand, "name_key")), F.lit("")))
+    if "release_date" in carried:
+        rungs.append((80, "name_release_date", F.col("release_date"), F.col("name_norm")))
+    if "collection" in carried:
+        rungs.append((75, "name_collection", collection, F.col("name_norm")))
+    rungs.append((70, "name_only", F.concat(F.lit("\n"), "name_key"), F.lit("")))
+    rows = [F.struct(F.lit(score).alias("score"), F.lit(method).alias("method"), F.when(block != "", block).alias("block"), name.alias("name")) for score, method, block, name in rungs]
+    return named.select(*kept, F.explode(F.array(*rows)).alias("k")).filter("k.block is not null and k.name is not null").select(*kept, "k.*")
+
+
 def match_ladder(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     """The best match of each draft: (draft_id, uuid, score, method); drafts without any are left out.
 
-    Every rung is an equi-join of its own, so no rung needs a nested loop; the highest score wins, then the
-    earliest product.  A field that drafts or catalog do not carry counts as missing in every row.
+    Drafts and products give a row for each rung they have a key for.  Products are reduced to the earliest of
+    each key before they meet drafts, so a draft meets one product a rung, however many share a name; one
+    equi-join serves all rungs.  The highest score wins, then the earliest product.  A field that drafts or
+    catalog do not carry, a null or an empty one is no key; an empty side gives no rows.
     """
-    d, c = with_names(drafts), with_names(catalog)
-    carried = lambda field: field in d.columns and field in c.columns
-    rungs = []
-    for field, score in IDENTIFIERS:
-        if not carried(field):
-            continue
-        left = d.filter(F.col(field) != "").select("draft_id", F.col(field).alias("v"))
-        right = c.filter(F.col(field) != "").select("uuid", "created_seq", F.col(field).alias("v"))
-        rungs.append(left.join(right, "v").select("draft_id", "uuid", "created_seq", F.lit(score).alias("score"), F.lit(field).alias("method")))
-    brand = F.lower(F.trim("brand"))
-    left, right = d.select("draft_id", "name_key", brand.alias("b")), c.select("uuid", "created_seq", "name_key", brand.alias("b"))
-    rungs.append(left.filter("b <> ''").join(right, ["name_key", "b"]).select("draft_id", "uuid", "created_seq", F.lit(85).alias("score"), F.lit("name_brand").alias("method")))
-    rungs.append(left.join(right.drop("b"), "name_key").select("draft_id", "uuid", "created_seq", F.lit(70).alias("score"), F.lit("name_only").alias("method")))
-    if carried("release_date"):
-        rungs.append(close_names(d, c, F.col("release_date")).withColumns({"score": F.lit(80), "method": F.lit("name_release_date")}))
-    if carried("collection"):
-        rungs.append(close_names(d, c, F.lower(F.trim("collection"))).withColumns({"score": F.lit(75), "method": F.lit("name_collection")}))
-    best = F.min(F.struct(-F.col("score"), "created_seq", "uuid", "method"))
-    found = reduce(DataFrame.unionByName, rungs).groupBy("draft_id").agg(best.alias("m"))
+    carried = set(drafts.columns) & set(catalog.columns)
+    keys = ["score", "method", "block", "name"]
+    wanted = stored(_rung_keys(with_names(drafts), carried, "draft_id"), "draft-keys")
+    listed = _rung_keys(with_names(catalog), carried, "uuid", "created_seq")
+    first = stored(listed.groupBy(*keys).agg(F.min(F.struct("created_seq", "uuid")).alias("p")), "product-keys")
+    block = F.struct("method", "block").alias("block")
+    near = close_names(wanted.filter("name <> ''").select(block, "name").distinct(), first.filter("name <> ''").select(block, "name"))
+    of = first.select(block.alias("of"), F.col("name").alias("r"), "score", "p")
+    found = near.join(of, (F.col("block") == F.col("of")) & (near["r"] == of["r"])).groupBy("score", "block", "l").agg(F.min("p").alias("p"))
+    close = found.select("score", "block.method", "block.block", F.col("l").alias("name"), "p")
+    hits = wanted.join(first.filter("name = ''").unionByName(close), keys)
+    best = F.min(F.struct(-F.col("score"), "p.created_seq", "p.uuid", "method"))
+    found = hits.groupBy("draft_id").agg(best.alias("m"))
     return found.select("draft_id", "m.uuid", (-F.col("m.col1")).alias("score"), "m.method")
 
 
-def close_names(drafts: DataFrame, catalog: DataFrame, block: F.Column) -> DataFrame:
-    """(draft_id, uuid, created_seq) of products whose block is the draft's and whose names are close to its name."""
-    word = F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word")
-    left = drafts.select("draft_id", F.col("name_norm").alias("l"), block.alias("block"), word).filter("block <> ''")
-    right = catalog.select("uuid", "created_seq", F.col("name_norm").alias("r"), block.alias("block"), word).filter("block <> ''")
-    # Names this close share a word, so words and blocks together are the join's keys.
-    pairs = left.join(right, ["block", "word"]).select("draft_id", "uuid", "created_seq", "l", "r").distinct()
-    return pairs.filter(similarity("l", "r") >= NAME_FLOOR).select("draft_id", "uuid", "created_seq")
+def close_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, l, r, similarity) of close names within a block; both sides are distinct (block, name).
+
+    The mean of overlap and ratio reaches the floor only if the overlap of words reaches 2 * floor - 1.  So each
+    name is listed under its rarest words only, as many as leave too few for that overlap.
+    """
+    least = 2 * NAME_FLOOR - 1
+    split = lambda side: side.select("block", "name", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).alias("word"))
+    common = split(left).unionByName(split(right)).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def listed(side: DataFrame, name: str) -> DataFrame:
+        words = split(side).join(common, "word").groupBy("block", "name").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("words"))
+        n = F.size("words")
+        rare = F.slice("words", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+        return words.select("block", F.col("name").alias(name), n.alias(f"n_{name}"), F.explode(rare).alias("w")).select("block", name, f"n_{name}", "w.word")
+
+    able = F.least("n_l", "n_r") >= F.greatest("n_l", "n_r") * least - 1e-9
+    pairs = listed(left, "l").join(listed(right, "r"), ["block", "word"]).filter(able).select("block", "l", "r").distinct()
+    return pairs.withColumn("similarity", similarity("l", "r")).filter(F.col("similarity") >= NAME_FLOOR)
 
 
 def decided(drafts: DataFrame, matches: DataFrame) -> DataFrame:
@@ -66,26 +93,34 @@ def decided(drafts: DataFrame, matches: DataFrame) -> DataFrame:
 def similar_names(catalog: DataFrame, *blocks: str) -> DataFrame:
     """Pairs of products whose names are close and that share any of `blocks` (release date, collection), once each.
 
-    A join of its own for each block, so none is a disjunction; a missing or blank block is shared with nobody.
+    Distinct names of a block are compared, each pair once however many products bear them; then products take
+    the place of their names.  A missing or blank block is shared with nobody.
     """
-    named = with_names(catalog).select("uuid", "name_norm", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word"), *blocks)
-
-    def met(block: str) -> DataFrame:
-        left, right = named.filter(F.trim(block) != "").alias("x"), named.filter(F.trim(block) != "").alias("y")
-        # Names this close share a word, so words and blocks together are the join's keys.
-        keys = (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.uuid") < F.col("y.uuid"))
-        return left.join(right, keys).select(F.col("x.uuid").alias("a"), F.col("y.uuid").alias("b"), F.col("x.name_norm").alias("l"), F.col("y.name_norm").alias("r"))
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("kind"), F.col(b).alias("value")) for b in blocks])).alias("block")
+    named = with_names(catalog).select("uuid", F.col("name_norm").alias("name"), each).filter("trim(block.value) <> '' and name <> ''")
+    names = named.select("block", "name").distinct()
+    near = close_names(names, names)
+    x = named.select("block", F.col("uuid").alias("a"), F.col("name").alias("l"))
+    y = named.select("block", F.col("uuid").alias("b"), F.col("name").alias("r"))
+    return near.join(x, ["block", "l"]).join(y, ["block", "r"]).filter("a < b").select("a", "b", "similarity").distinct()
 
-    pairs = reduce(DataFrame.unionByName, map(met, blocks)).distinct()
-    return pairs.withColumn("similarity", similarity("l", "r")).filter(F.col("similarity") >= NAME_FLOOR).select("a", "b", "similarity")
 
+def search_keys(identities: DataFrame, longest: int = 12) -> DataFrame:
+    """(uuid, kind, value, priority, rank): what to search a product by, surest first, a value once in any case.
 
-def search_keys(catalog: DataFrame, longest: int = 12) -> DataFrame:
-    """Search keys of each product, surest first, a value once."""
-    key = lambda kind, value, priority, order: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(priority).alias("priority"), F.lit(order).alias("o"))
-    brand_model = F.when(F.col("brand").isNotNull() & F.coalesce("model_number", "mpn").isNotNull(), F.concat_ws(" ", F.col("brand"), F.coalesce("model_number", "mpn")))
-    parts = [key(f, F.col(f), p, i) for i, (f, p) in enumerate(KEYS)] + [key("brand_model", brand_model, 80, 20), key("canonical_name", F.col("name"), 70, 21)]
-    rows = catalog.select("uuid", F.explode(F.array(*parts)).alias("k")).filter("trim(k.value) <> ''").select("uuid", "k.*")
+    Identities carry a column for each kind, and brand, manufacturer and aliases; those they lack count as missing.
+    Brand (or manufacturer) and model (or mpn) together are a key; of the aliases the first three are.
+    """
+    has = lambda name: F.col(name) if name in identities.columns else F.lit(None).cast("string")
+    filled = lambda name: F.when(F.trim(has(name)) != "", has(name))
+    brand, model = F.coalesce(filled("brand"), filled("manufacturer")), F.coalesce(filled("model_number"), filled("mpn"))
+    values = {"brand_model": F.concat(brand, F.lit(" "), model)}
+    key = lambda kind, value, priority, order: F.struct(F.lit(kind).alias("kind"), F.trim(value).alias("value"), F.lit(priority).alias("priority"), order.cast("int").alias("o"))
+    parts = F.array(*[key(kind, values.get(kind, has(kind)), p, F.lit(i)) for i, (kind, p) in enumerate(KEYS[:-1])])
+    if "aliases" in identities.columns:
+        few = F.slice(F.coalesce("aliases", F.array().cast("array<string>")), 1, MOST_ALIASES)
+        parts = F.concat(parts, F.transform(few, lambda x, i: key("alias", x, KEYS[-1][1], i + len(KEYS))))
+    rows = identities.select("uuid", F.explode(parts).alias("k")).filter("k.value <> ''").select("uuid", "k.*")
     once = Window.partitionBy("uuid", F.lower("value")).orderBy(F.desc("priority"), "o")
     rows = rows.withColumn("n", F.row_number().over(once)).filter("n = 1")
     ranked = Window.partitionBy("uuid").orderBy(F.desc("priority"), "o")
@@ -99,25 +134,35 @@ def merged_identity(facts: DataFrame) -> DataFrame:
     return known.groupBy("uuid", "field").agg(best.alias("b")).select("uuid", "field", "b.value", "b.confidence")
 
 
-def rules_decision(found: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """accept, exclude or reject by words in the title; exclusion wins, and no inclusion rule accepts all."""
-    title = F.lower("title")
-    hits = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(title, w))
-    excluded, included = hits(exclude), hits(include)
-    decision = F.when(F.size(excluded) > 0, "exclude").when((F.size(included) > 0) | F.lit(not include), "accept").otherwise("reject")
-    return found.select("page_id", "title", decision.alias("decision"), F.array_join(F.when(F.size(excluded) > 0, excluded).otherwise(included), ", ").alias("matched"))
-
-
-def clusters(edges: DataFrame) -> DataFrame:
-    """(id, cluster): the smallest id that edges (a, b) connect; rounds of labels, checkpointed each time."""
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cluster"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        moved = labels.join(near, "id").select("id", "cluster", F.least("cluster", "near").alias("next")).checkpoint()
-        labels = moved.select("id", F.col("next").alias("cluster"))
-        if moved.filter("next <> cluster").isEmpty():
-            return labels
+def rules_of(raw: dict[str, list] | None) -> dict[str, list[str]]:
+    """A rule set from configuration: patterns folded, blanks left out, each once in order."""
+    clean = lambda values: list(dict.fromkeys(fold(str(v)) for v in values or [] if str(v).strip()))
+    return {name: clean((raw or {}).get(name)) for name in ("include", "exclude", "url_include", "url_exclude")}
+
+
+def rules_decision(found: DataFrame, raw: dict[str, list] | None) -> DataFrame:
+    """`found` (title, url) with decision (accept, exclude, reject), matched and reason, by rules on folded texts.
+
+    Excluded titles go before excluded URLs, both before any inclusion; without inclusion rules all else is
+    accepted.  A null title or URL holds no pattern.
+    """
+    rules = rules_of(raw)
+    folded = found.withColumn("__title", F.coalesce(normalise(F.col("title")), F.lit(""))).withColumn("__url", F.coalesce(normalise(F.col("url")), F.lit("")))
+    title, url = F.col("__title"), F.col("__url")
+
+    def hits(name: str, where: F.Column) -> F.Column:
+        return F.filter(F.array(*map(F.lit, rules[name])).cast("array<string>"), lambda w: F.contains(where, w))
+
+    out, url_out, wanted = hits("exclude", title), hits("url_exclude", url), F.concat(hits("include", title), hits("url_include", url))
+    listed = lambda lead, h: F.concat(F.lit(lead), F.array_join(h, ", "))
+    none = F.array().cast("array<string>")
+    open_to_all = F.lit(not (rules["include"] or rules["url_include"]))
+    chain = [
+        (F.size(out) > 0, "exclude", out, listed("titre exclu : ", out)),
+        (F.size(url_out) > 0, "exclude", url_out, listed("URL exclue : ", url_out)),
+        (open_to_all, "accept", none, F.lit("aucune règle d'inclusion configurée")),
+        (F.size(wanted) > 0, "accept", wanted, listed("correspond à : ", wanted)),
+        (F.lit(True), "reject", none, F.lit("ne correspond à aucune règle d'inclusion")),
+    ]
+    made = F.coalesce(*[F.when(c, F.struct(F.lit(d).alias("decision"), F.array_join(m, ", ").alias("matched"), r.alias("reason"))) for c, d, m, r in chain])
+    return folded.withColumn("__d", made).select(*found.columns, "__d.*")

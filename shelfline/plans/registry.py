@@ -244,7 +244,7 @@ def baseline_rows(spark, d):
     return G.baselines(A.readings(spark, d))
 
 
-@query()
+@query(*_with("readings", S.CONFIRM.rpartition("\nSELECT w.")[0], "SELECT w." + S.CONFIRM.rpartition("\nSELECT w.")[2]))
 def confirmed_changes(spark, d):
     return G.confirmed(A.readings(spark, d))
 
@@ -306,7 +306,7 @@ def catalog_with_offers_semi(spark, d):
     return A.catalog_products(spark, d).select("uuid", "name").join(offers, "uuid", "left_semi")
 
 
-@query("catalog", "SELECT count(*) AS total, count(ean) AS ean, count(mpn) AS mpn, count(manufacturer_sku) AS manufacturer_sku, count(asin) AS asin, count(model_number) AS model_number FROM catalog")
+@query("catalog", "SELECT count(*) AS total, count(ean) AS ean, count(upc) AS upc, count(isbn) AS isbn, count(mpn) AS mpn, count(asin) AS asin, count(model_number) AS model_number FROM catalog")
 def identifier_coverage(spark, d):
     return C.identifier_coverage(A.catalog_products(spark, d))
 
@@ -324,7 +324,7 @@ def merged_offers(spark, d):
     return C.reassigned(A.offer_events(spark, d), merges).groupBy("product_uuid").agg(F.count(F.lit(1)).alias("offers"))
 
 
-@query("search_attempts", "SELECT product_uuid, status, attempts, site, CASE WHEN status IN ('not_found', 'error') THEN CAST(floor(least(1800 * pow(1.5, attempts), 21600)) AS BIGINT) END AS retry_seconds FROM search_attempts")
+@query("search_attempts", "SELECT product_uuid, status, attempts, site, CASE WHEN status IN ('not_found', 'error') THEN CAST(floor(least(1800 * pow(1.5, greatest(attempts - 1, 0)), 21600)) AS BIGINT) END AS retry_seconds FROM search_attempts")
 def retry_schedule(spark, d):
     return C.retry_schedule(A.search_attempts(spark, d))
 
@@ -359,18 +359,29 @@ def discovery_sightings(spark, d):
     return _fingerprinted(spark, d)
 
 
-@query("discoveries", f"SELECT DISTINCT {_FP} AS fingerprint, 'gone' AS status FROM discoveries WHERE page_id % 10 <> 0 AND {_FP} NOT IN (SELECT {_FP} FROM discoveries WHERE page_id % 4 <> 1)")
+@query("known_discoveries scanned_pages", """SELECT k.fingerprint, k.site, CASE WHEN gone THEN 'gone' ELSE status END AS status, CASE WHEN gone THEN 'absente du dernier balayage complet' END AS decision_reason
+  FROM (SELECT *, status = 'pending' AND site IN (SELECT site FROM scanned_pages) AND NOT EXISTS (SELECT 1 FROM scanned_pages s WHERE s.site = k0.site AND s.fingerprint = k0.fingerprint) AS gone FROM known_discoveries k0) k""")
 def mark_missing(spark, d):
-    found = A.discoveries(spark, d).withColumn("canonical", X.canonical_url(F.col("url")))
-    print_, _ = X.fingerprint(F.col("site"), F.col("canonical"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    found = found.withColumn("fingerprint", print_)
-    return C.mark_missing(found.filter("page_id % 10 <> 0").select("fingerprint").distinct(), found.filter("page_id % 4 <> 1"))
+    return C.mark_missing(A.known_discoveries(spark, d), A.scanned_pages(spark, d))
+
 
+RULES = {"include": ["  Small ", "small", "bolt"], "exclude": ["Réd", ""], "url_include": ["/4-"], "url_exclude": ["5-HOT"]}
 
-@query("catalog", "SELECT created_seq AS page_id, name AS title, CASE WHEN contains(lower(name), 'red') THEN 'exclude' WHEN contains(lower(name), 'a') THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN contains(lower(name), 'red') THEN 'red' WHEN contains(lower(name), 'a') THEN 'a' ELSE '' END AS matched FROM catalog")
+
+@query("catalog", """SELECT uuid, title, url, CASE WHEN len(x) + len(ux) > 0 THEN 'exclude' WHEN len(i) > 0 THEN 'accept' ELSE 'reject' END AS decision, array_to_string(CASE WHEN len(x) > 0 THEN x WHEN len(ux) > 0 THEN ux ELSE i END, ', ') AS matched,
+  CASE WHEN len(x) > 0 THEN 'titre exclu : ' || array_to_string(x, ', ') WHEN len(ux) > 0 THEN 'URL exclue : ' || array_to_string(ux, ', ') WHEN len(i) > 0 THEN 'correspond à : ' || array_to_string(i, ', ') ELSE 'ne correspond à aucune règle d''inclusion' END AS reason
+  FROM (SELECT *, list_filter(['red'], lambda w: contains(t, w)) AS x, list_filter(['5-hot'], lambda w: contains(u, w)) AS ux, list_concat(list_filter(['small', 'bolt'], lambda w: contains(t, w)), list_filter(['/4-'], lambda w: contains(u, w))) AS i
+    FROM (SELECT *, strip_accents(lower(title)) AS t, lower(url) AS u FROM (SELECT uuid, CASE WHEN created_seq % 2 = 0 THEN replace(name, 'e', 'É') ELSE name END AS title, 'https://Shop/' || created_seq % 10 || '-' || replace(name, ' ', '-') AS url FROM catalog)))""")
 def rules_decision(spark, d):
-    titles = A.catalog_products(spark, d).select(F.col("created_seq").alias("page_id"), F.col("name").alias("title"))
-    return E.rules_decision(titles, ["a"], ["red"])
+    key = F.col("created_seq")
+    title = F.when(key % 2 == 0, F.replace(F.col("name"), F.lit("e"), F.lit("É"))).otherwise(F.col("name"))
+    url = F.concat(F.lit("https://Shop/"), (key % 10).cast("string"), F.lit("-"), F.replace(F.col("name"), F.lit(" "), F.lit("-")))
+    return E.rules_decision(A.catalog_products(spark, d).select("uuid", title.alias("title"), url.alias("url")), RULES)
+
+
+@query("tries", "SELECT product_uuid, site, key_kind, key_value, CAST(count(*) AS INTEGER) AS attempts, arg_max(status, (tried_at, seq)) AS status, arg_max(confidence, (tried_at, seq)) AS confidence, arg_max(found_url, (tried_at, seq)) FILTER (found_url <> '') AS found_url, max(tried_at) AS last_attempt_at FROM tries GROUP BY ALL")
+def attempts_upsert(spark, d):
+    return C.attempts_upsert(A.tries(spark, d))
 
 
 # --- resolution --------------------------------------------------------------------------------------------
@@ -381,12 +392,11 @@ def name_keys(spark, d):
     return E.with_names(A.catalog_products(spark, d)).select("uuid", "name_norm", "name_key")
 
 
-@query("catalog", "SELECT uuid, ean, true AS valid, ean AS normalised, CASE WHEN ean LIKE '0%' THEN substr(ean, 2) END AS upc FROM catalog WHERE ean IS NOT NULL")
+@query(*_with("codes", S.CODES.rpartition("\nSELECT key")[0], "SELECT key" + S.CODES.rpartition("\nSELECT key")[2]))
 def gtin_check(spark, d):
-    ean = F.col("ean")
-    spaced = F.concat(F.substring(ean, 1, 3), F.lit("-"), F.substring(ean, 4, 20))
-    rows = A.catalog_products(spark, d).filter("ean is not null")
-    return rows.select("uuid", "ean", X.is_valid_gtin(ean).alias("valid"), X.normalise_ean(spaced).alias("normalised"), X.normalise_upc(ean).alias("upc"))
+    code = F.col("code")
+    valid = F.when(X.digits(code) != "", X.is_valid_gtin(X.digits(code))).otherwise(False)
+    return A.codes(spark, d).select("key", "kind", valid.alias("valid"), X.normalise_ean(code).alias("ean"), X.normalise_upc(code).alias("upc"), X.normalise_isbn(code).alias("isbn"))
 
 
 @query(*_with("drafts", S.LADDER, "SELECT * FROM best"))
@@ -407,19 +417,23 @@ def suggestion_stats(spark, d):
     return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("score"), 1).alias("mean_score"))
 
 
-@query()
+@query(*_with("catalog", S.SIMILAR, "SELECT DISTINCT x.uuid AS a, y.uuid AS b, similarity FROM c x JOIN c y ON x.uuid < y.uuid AND (x.release_date = y.release_date AND x.release_date <> '' OR x.coll = y.coll AND x.coll <> '') JOIN sims ON l = x.nn AND r = y.nn WHERE similarity >= 0.82"))
 def name_similarity_pairs(spark, d):
     catalog = A.catalog_products(spark, d).withColumn("collection", F.lower(F.trim("collection")))
     return E.similar_names(catalog, "release_date", "collection")
 
 
-@query("catalog", """SELECT uuid, kind, value, priority, row_number() OVER (PARTITION BY uuid ORDER BY priority DESC, o) AS rank FROM (
+_KIND = " UNION ALL ".join(f"SELECT uuid, '{k}' AS kind, trim({v}) AS value, {p} AS priority, {i} AS o FROM identities" for i, (k, v, p) in enumerate((
+    ("ean", "ean", 100), ("upc", "upc", 98), ("isbn", "isbn", 96), ("gtin", "gtin", 94), ("asin", "asin", 93), ("mpn", "mpn", 92), ("sku", "sku", 90), ("model_number", "model_number", 88),
+    ("manufacturer_part_number", "manufacturer_part_number", 86), ("brand_model", "coalesce(nullif(trim(brand), ''), manufacturer) || ' ' || coalesce(model_number, mpn)", 80), ("canonical_name", "canonical_name", 70),
+)))
+
+
+@query("identities", f"""SELECT uuid, kind, value, priority, rank FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY priority DESC, o) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY uuid, lower(value) ORDER BY priority DESC, o) AS n FROM (
-    SELECT uuid, 'ean' AS kind, ean AS value, 100 AS priority, 0 AS o FROM catalog UNION ALL SELECT uuid, 'asin', asin, 93, 1 FROM catalog UNION ALL SELECT uuid, 'mpn', mpn, 92, 2 FROM catalog
-    UNION ALL SELECT uuid, 'manufacturer_sku', manufacturer_sku, 90, 3 FROM catalog UNION ALL SELECT uuid, 'model_number', model_number, 88, 4 FROM catalog
-    UNION ALL SELECT uuid, 'brand_model', brand || ' ' || coalesce(model_number, mpn), 80, 20 FROM catalog UNION ALL SELECT uuid, 'canonical_name', name, 70, 21 FROM catalog) WHERE trim(value) <> '') WHERE n = 1""")
+    {_KIND} UNION ALL SELECT uuid, 'alias', unnest(aliases[:3]), 60, unnest(range(20, 20 + len(aliases[:3]))) FROM identities WHERE aliases IS NOT NULL) WHERE value <> '') WHERE n = 1) WHERE rank <= 12""")
 def search_keys(spark, d):
-    return E.search_keys(A.catalog_products(spark, d))
+    return E.search_keys(A.identities(spark, d))
 
 
 _FACTS = "facts AS (SELECT 'p' || l_partkey AS uuid, CASE WHEN l_linenumber % 2 = 0 THEN 'ean' ELSE 'brand' END AS field, CASE WHEN l_quantity < 5 THEN ' ' ELSE 'v' || CAST(l_suppkey AS VARCHAR) END AS value, CAST(l_quantity * 3 AS INTEGER) - 10 AS confidence, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
@@ -427,12 +441,7 @@ _FACTS = "facts AS (SELECT 'p' || l_partkey AS uuid, CASE WHEN l_linenumber % 2
 
 @query(*_with("", _FACTS, "SELECT uuid, field, value, confidence FROM (SELECT uuid, field, value, c AS confidence, row_number() OVER (PARTITION BY uuid, field ORDER BY c DESC, seq) AS n FROM (SELECT *, greatest(0, least(100, confidence)) AS c FROM facts WHERE trim(value) <> '')) WHERE n = 1"))
 def identity_merge_best(spark, d):
-    facts = A.table(spark, d, "lineitem").select(
-        F.concat(F.lit("p"), F.col("l_partkey")).alias("uuid"), F.when(F.col("l_linenumber") % 2 == 0, "ean").otherwise("brand").alias("field"),
-        F.when(F.col("l_quantity") < 5, " ").otherwise(F.concat(F.lit("v"), F.col("l_suppkey"))).alias("value"),
-        (F.expr("cast(l_quantity * 3 as int)") - 10).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
-    )
-    return E.merged_identity(facts)
+    return E.merged_identity(A.identity_facts(spark, d))
 
 
 @query("discoveries", "SELECT site, count(*) AS seen, count(*) FILTER (title = '') AS untitled, count(DISTINCT page_id) AS pages FROM discoveries GROUP BY site")
@@ -465,18 +474,21 @@ def page_identifiers(spark, d):
     return H.identifiers(A.table(spark, d, "pages").select("page_id", "html")).drop("html")
 
 
-@query("", "SELECT page_id, CASE WHEN contains(html, '€') THEN NULL END AS price FROM pages WHERE NOT contains(html, '€')")
+_EUR = "(\\d{1,4}[.,]\\d{2})"
+
+
+@query("", f"SELECT page_id, replace(nullif(coalesce(nullif(regexp_extract(html, '{_EUR}\\s*€', 1), ''), regexp_extract(html, '€\\s*{_EUR}', 1)), ''), '.', ',') || ' €' AS price FROM pages")
 def page_prices(spark, d):
     return A.table(spark, d, "pages").select("page_id", X.price_eur(F.col("html")).alias("price"))
 
 
 @query("checks", "SELECT strftime(checked_at, '%Y-%m-%dT%H:00') AS bucket, count(*) AS total, count(*) FILTER (status = 'error') AS errors, avg(response_time_ms) FILTER (status = 'ok') AS avg_ms FROM checks GROUP BY 1")
 def stream_checks_per_hour(spark, d):
-    events = M.arriving(spark, d, A.table(spark, d, "events"), "events*.parquet")
+    events = M.arriving(spark, f"{d}/events.parque[t]", A.table(spark, d, "events"))
     return M.run_to_table(M.checks_per_hour(A.checks_of(events)), "complete")
 
 
-@query()
+@query(*_with("readings", S.CONFIRM.rpartition("\nSELECT w.")[0], "SELECT w." + S.CONFIRM.rpartition("\nSELECT w.")[2]))
 def stream_confirmed_changes(spark, d):
-    events = M.arriving(spark, d, A.table(spark, d, "events"), "events*.parquet")
+    events = M.arriving(spark, f"{d}/events.parque[t]", A.table(spark, d, "events"))
     return M.run_to_table(M.confirmed(A.readings_of(events)))

@@ -33,20 +33,37 @@ ADAPTERS = {
   CASE WHEN part.p_partkey % 3 <> 0 THEN b || (10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(b, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 END AS ean,
   CASE WHEN part.p_partkey % 4 = 0 THEN 'MPN-' || part.p_partkey END AS mpn, CASE WHEN part.p_partkey % 5 = 0 THEN 'SKU-' || part.p_partkey END AS manufacturer_sku,
   CASE WHEN part.p_partkey % 7 = 0 THEN 'B0' || lpad(CAST(part.p_partkey AS VARCHAR), 8, '0') END AS asin,
-  CASE WHEN part.p_partkey % 8 = 0 THEN 'M' || part.p_partkey END AS model_number, p_type AS collection,
+  CASE WHEN part.p_partkey % 8 = 0 THEN 'M' || part.p_partkey END AS model_number, CASE WHEN part.p_partkey % 9 = 0 THEN lpad(CAST(part.p_partkey AS VARCHAR), 12, '0') END AS upc,
+  CASE WHEN part.p_partkey % 11 = 0 THEN '978' || lpad(CAST(part.p_partkey AS VARCHAR), 10, '0') END AS isbn, CASE WHEN part.p_partkey % 13 = 0 THEN 'REF-' || part.p_partkey END AS manufacturer_ref, p_type AS collection,
   '2024-0' || (part.p_partkey % 9 + 1) || '-15' AS release_date, part.p_partkey AS created_seq FROM part JOIN gtin12 g ON g.p_partkey = part.p_partkey""",
     "drafts": """SELECT 'd/' || l_partkey || '/' || shop AS draft_id,
   'The ' || CASE WHEN shop % 2 = 0 THEN array_to_string(list_reverse(string_split(name, ' ')), ' ') ELSE upper(name) END AS name,
   CASE WHEN shop % 3 <> 2 THEN brand END AS brand, CASE WHEN shop % 4 = 0 THEN ean END AS ean, CASE WHEN shop % 4 = 1 THEN mpn END AS mpn,
-  CASE WHEN shop % 4 = 2 THEN manufacturer_sku END AS manufacturer_sku, CASE WHEN shop = 5 THEN asin END AS asin, CASE WHEN shop = 6 THEN model_number END AS model_number
+  CASE WHEN shop % 4 = 2 THEN manufacturer_sku END AS manufacturer_sku, CASE WHEN shop = 5 THEN asin END AS asin, CASE WHEN shop = 6 THEN model_number END AS model_number,
+  CASE WHEN shop = 3 THEN upc END AS upc, CASE WHEN shop = 7 THEN isbn END AS isbn, CASE WHEN shop IN (3, 7) THEN manufacturer_ref END AS manufacturer_ref,
+  CASE WHEN shop = 2 THEN release_date END AS release_date, CASE WHEN shop = 5 THEN ' ' || upper(collection) END AS collection
   FROM (SELECT DISTINCT l_partkey, l_suppkey % 8 AS shop FROM lineitem) JOIN catalog ON l_partkey = created_seq""",
     "discoveries": """SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS site, 1 AS seq FROM pages
   UNION ALL SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=x', '', regexp_extract(url, '^[a-z]+://([^/]+)', 1), 2 FROM pages WHERE page_id % 3 = 0""",
     "search_attempts": """SELECT 'p' || c_custkey AS product_uuid, CASE c_custkey % 4 WHEN 0 THEN 'not_found' WHEN 1 THEN 'error' WHEN 2 THEN 'found' ELSE 'pending' END AS status,
   CAST(c_custkey % 8 AS INTEGER) AS attempts, 'shop' || s AS site FROM customer, range(0, 3) t(s)""",
+    "first_pages": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS site, md5(url) AS fingerprint, min(page_id) AS page_id FROM pages GROUP BY 1, 2",
+    "known_discoveries": "SELECT fingerprint, site, CASE page_id % 10 WHEN 0 THEN 'imported' WHEN 1 THEN 'ignored' WHEN 2 THEN 'blocked' ELSE 'pending' END AS status FROM first_pages",
+    "scanned_pages": "SELECT site, fingerprint FROM first_pages WHERE page_id % 4 <> 1 AND length(site) % 3 <> 0",
+    "codes": """SELECT p_partkey AS key, t.kind - 1 AS kind, t.code FROM (SELECT p_partkey, b, b || ((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(b, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10) AS f FROM gtin12),
+  LATERAL (SELECT unnest([f, b || ((CAST(substr(f, 13, 1) AS INTEGER) + 1) % 10), '0' || f, '1' || f, b, substr(f, 6, 8), '0000000000000', '11111116', substr(f, 1, 3) || '-' || substr(f, 4, 5) || ' ' || substr(f, 9, 5),
+    lpad(CAST(p_partkey AS VARCHAR), 10, '0'), 'ISBN ' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || 'x', '', NULL]) AS code, unnest(range(1, 14)) AS kind) t""",
+    "tries": """SELECT 'p' || l_partkey AS product_uuid, 'shop' || (l_suppkey % 8) AS site, CASE WHEN l_linenumber % 2 = 0 THEN 'ean' ELSE 'mpn' END AS key_kind, 'k' || l_partkey AS key_value,
+  CASE WHEN l_quantity > 45 THEN 'found' WHEN l_quantity < 8 THEN 'error' ELSE 'not_found' END AS status, CAST(l_quantity * 2 AS INTEGER) AS confidence,
+  CASE WHEN l_quantity > 45 THEN 'https://shop/' || l_orderkey WHEN l_linenumber = 1 THEN '' END AS found_url, CAST(l_shipdate AS TIMESTAMP) AS tried_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""",
+    "identities": """SELECT uuid, brand, ean, upc, isbn, asin, mpn, model_number, CASE WHEN created_seq % 10 = 0 THEN ean END AS gtin, manufacturer_sku AS sku, manufacturer_ref AS manufacturer_part_number, name AS canonical_name,
+  CASE WHEN created_seq % 12 = 0 THEN ' Maker' END AS manufacturer, CASE created_seq % 3 WHEN 0 THEN [name, 'alias 1 ' || created_seq, 'alias 2 ' || created_seq, 'alias 3 ' || created_seq] WHEN 1 THEN ['alias 1 ' || created_seq] END AS aliases FROM catalog""",
     "now": "SELECT max(ts) AS t FROM events",
 }
-NEEDS = {"catalog": ["gtin12"], "drafts": ["gtin12", "catalog"]}
+NEEDS = {
+    "catalog": ["gtin12"], "drafts": ["gtin12", "catalog"], "codes": ["gtin12"], "identities": ["gtin12", "catalog"],
+    "known_discoveries": ["first_pages"], "scanned_pages": ["first_pages"],
+}
 
 STOP = "'le','la','les','de','du','des','un','une','et','the','of','neuf','nouveau','new','edition','ed','version','pack','lot','officiel','official','fr','france','francais','vf','produit','article','reference','ref'"
 
@@ -84,7 +101,8 @@ def using(names: str, query: str) -> str:
                 wanted.append(n)
     if "drafts" in wanted and "catalog" not in wanted:
         wanted.insert(0, "catalog")
-    return "WITH " + ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in wanted) + "\n" + query
+    head = "WITH RECURSIVE " if "_rec(" in query else "WITH "
+    return head + ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in wanted) + "\n" + query
 
 
 SITE_AGG = """count(*) AS checks, count(*) FILTER (status = 'error') AS errors, avg(response_time_ms) FILTER (status = 'ok') AS avg_response_ms,
@@ -160,8 +178,76 @@ hist AS (SELECT canonical_url, seen_at, seq, new_price AS price, new_availabilit
 state AS (SELECT canonical_url, arg_max(product_uuid, rn) AS product_uuid, arg_max(site, rn) AS site, max(new_price) FILTER (rn = n) AS price, max(new_availability) FILTER (rn = n) AS availability, max(first_monitored) FILTER (rn = n) AS monitored_uuid,
   min(seen_at) AS first_seen_at, max(seen_at) AS last_checked_at FROM (SELECT *, count(*) OVER (PARTITION BY canonical_url) AS n FROM runs) GROUP BY canonical_url)"""
 
-_RUNGS = " UNION ALL ".join(f"SELECT draft_id, uuid, created_seq, {s} AS score, '{f}' AS method FROM d JOIN c ON d.{f} = c.{f}" for f, s in (("ean", 100), ("mpn", 95), ("asin", 93), ("manufacturer_sku", 92), ("model_number", 88)))
-LADDER = f"""d AS (SELECT *, {name_key('name')} AS k, lower(trim(brand)) AS b FROM drafts), c AS (SELECT *, {name_key('name')} AS k, lower(trim(brand)) AS b FROM catalog),
-hits AS ({_RUNGS} UNION ALL SELECT draft_id, uuid, created_seq, 85, 'name_brand' FROM d JOIN c ON d.k = c.k AND d.b = c.b AND d.b <> ''
-  UNION ALL SELECT draft_id, uuid, created_seq, 70, 'name_only' FROM d JOIN c ON d.k = c.k),
+#: The longest common substring of a and b, first in a, as 1000 * length - place; null if there is none.
+_LONGEST = "list_max(list_transform(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda n: {'n': n, 'i': i}))), lambda s: contains(b, substr(a, s.i, s.n))), lambda s: s.n * 1000 - s.i))"
+
+
+def similarities(pairs: str) -> str:
+    """CTEs that end in sims (l, r, similarity) of the rows of the CTE `pairs` (l, r): matching blocks left and right of the longest one, again and again."""
+    return f"""blocks_rec(l, r, a, b, hit) AS (SELECT l, r, l, r, CAST(0 AS BIGINT) FROM {pairs}
+  UNION ALL SELECT l, r, x.a, x.b, x.hit FROM (SELECT l, r, unnest([{{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1), 'hit': n}}, {{'a': substr(a, i + n), 'b': substr(b, j + n), 'hit': CAST(0 AS BIGINT)}}]) AS x
+    FROM (SELECT *, strpos(b, substr(a, i, n)) AS j FROM (SELECT *, n * 1000 - best AS i FROM (SELECT *, (best + 999) // 1000 AS n FROM (SELECT *, {_LONGEST} AS best FROM blocks_rec WHERE a <> '' AND b <> '') WHERE best IS NOT NULL))))),
+sims AS (SELECT l, r, CASE WHEN l = r THEN 1e0 ELSE (len(list_intersect(list_distinct(string_split(l, ' ')), list_distinct(string_split(r, ' ')))) / CAST(len(list_distinct(string_split(l || ' ' || r, ' '))) AS DOUBLE) + 2e0 * sum(hit) / (length(l) + length(r))) / 2 END AS similarity
+  FROM blocks_rec GROUP BY l, r)"""
+
+
+_RUNGS = " UNION ALL ".join(
+    f"SELECT draft_id, uuid, created_seq, {s} AS score, '{f}' AS method FROM d JOIN c ON d.{f} = c.{f} WHERE d.{f} <> ''"
+    for f, s in (("ean", 100), ("upc", 98), ("isbn", 96), ("mpn", 95), ("asin", 93), ("manufacturer_sku", 92), ("manufacturer_ref", 90), ("model_number", 88))
+)
+_CLOSE = " UNION ALL ".join(
+    f"SELECT draft_id, uuid, created_seq, {s}, '{m}' FROM d JOIN c ON d.{f} = c.{f} JOIN sims ON l = d.nn AND r = c.nn WHERE d.{f} <> '' AND similarity >= 0.82"
+    for m, f, s in (("name_release_date", "release_date", 80), ("name_collection", "coll", 75))
+)
+LADDER = f"""d AS (SELECT *, {name_norm('name')} AS nn, {name_key('name')} AS k, lower(trim(brand)) AS b, lower(trim(collection)) AS coll FROM drafts),
+c AS (SELECT *, {name_norm('name')} AS nn, {name_key('name')} AS k, lower(trim(brand)) AS b, lower(trim(collection)) AS coll FROM catalog),
+named AS (SELECT DISTINCT d.nn AS l, c.nn AS r FROM (SELECT DISTINCT nn FROM d) d, (SELECT DISTINCT nn FROM c) c WHERE d.nn <> '' AND c.nn <> ''),
+{similarities('named')},
+hits AS ({_RUNGS} UNION ALL SELECT draft_id, uuid, created_seq, 85, 'name_brand' FROM d JOIN c ON d.k = c.k AND d.b = c.b WHERE d.b <> ''
+  UNION ALL {_CLOSE}
+  UNION ALL SELECT draft_id, f.uuid, f.created_seq, 70, 'name_only' FROM d JOIN (SELECT k, arg_min(uuid, (created_seq, uuid)) AS uuid, min(created_seq) AS created_seq FROM c GROUP BY k) f ON d.k = f.k),
 best AS (SELECT draft_id, uuid, score, method FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY score DESC, created_seq, uuid, method) AS n FROM hits) WHERE n = 1)"""
+SIMILAR = f"""c AS (SELECT uuid, {name_norm('name')} AS nn, release_date, lower(trim(collection)) AS coll FROM catalog),
+named AS (SELECT DISTINCT x.nn AS l, y.nn AS r FROM (SELECT DISTINCT nn FROM c) x, (SELECT DISTINCT nn FROM c) y WHERE x.nn <> '' AND y.nn <> ''),
+{similarities('named')}"""
+
+
+def _event(old: str, new: str) -> str:
+    """The signature of the changes between two readings: sorted changes, '' for none."""
+    def said(x: str) -> str:
+        return f"concat_ws(' · ', {x}.availability, {x}.price, 'vendu par ' || {x}.seller_name)"
+
+    appeared, moved = f"(NOT {old}.page_exists AND {new}.page_exists)", f"({old}.availability <> {new}.availability)"
+    official = f"{new}.seller_type = 'official'"
+    seller = f"({old}.action IN {_ACT} AND {new}.action IN {_ACT} AND 'unknown' NOT IN ({old}.seller_type, {new}.seller_type) AND {old}.seller_type <> {new}.seller_type)"
+    found = [
+        f"CASE WHEN {appeared} THEN 'product_appeared=' || {said(new)} WHEN {moved} THEN CASE {new}.availability WHEN 'in_stock' THEN 'back_in_stock' WHEN 'preorder' THEN CASE WHEN {new}.action = 'request_invite' THEN 'invitation_opened' ELSE 'preorder_opened' END WHEN 'unavailable' THEN 'went_out_of_stock' WHEN 'not_listed' THEN 'product_delisted' ELSE 'status_changed' END || '=' || {said(new)} END",
+        f"CASE WHEN {seller} THEN CASE WHEN {official} THEN 'seller_became_official=' ELSE 'seller_left_buybox=' END || coalesce({new}.seller_name, CASE WHEN {official} THEN 'vendeur officiel' ELSE 'revendeur tiers' END) END",
+        f"CASE WHEN NOT {appeared} AND NOT {moved} AND {new}.price IS NOT NULL AND {new}.price IS DISTINCT FROM {old}.price THEN CASE WHEN {old}.price IS NULL THEN 'price_appeared=' ELSE 'price_changed=' END || {new}.price END",
+    ]
+    return "concat_ws('|', " + ", ".join(found) + ")"
+
+
+#: Readings in order; each step looks at the confirmed reading (st), the next one and the one after it.
+CONFIRM = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY product_uuid ORDER BY checked_at, id) AS rn FROM readings),
+walk_rec(product_uuid, rn, st, outcome, told, was) AS (
+  SELECT DISTINCT product_uuid, CAST(1 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM readings
+  UNION ALL SELECT product_uuid,
+    CASE WHEN outcome IN ('confirmed', 'unstable') THEN rn + 2 ELSE rn + 1 END,
+    CASE outcome WHEN 'skip' THEN st WHEN 'unstable' THEN st WHEN 'confirmed' THEN rn + 1 ELSE rn END, outcome,
+    CASE WHEN outcome IN ('confirmed', 'unstable') THEN rn + 1 ELSE rn END, CASE outcome WHEN 'confirmed' THEN st WHEN 'unstable' THEN rn END
+  FROM (SELECT w.product_uuid, w.rn, w.st, CASE WHEN n.availability = 'unknown' THEN 'skip' WHEN w.st IS NULL THEN 'baseline' WHEN {_event('o', 'n')} = '' THEN 'same' WHEN s.rn IS NULL THEN 'waits'
+      WHEN s.availability <> 'unknown' AND {_event('o', 'n')} = {_event('o', 's')} THEN 'confirmed' ELSE 'unstable' END AS outcome
+    FROM walk_rec w JOIN ordered n ON n.product_uuid = w.product_uuid AND n.rn = w.rn LEFT JOIN ordered o ON o.product_uuid = w.product_uuid AND o.rn = w.st LEFT JOIN ordered s ON s.product_uuid = w.product_uuid AND s.rn = w.rn + 1))
+SELECT w.product_uuid, r.id, w.outcome, CASE WHEN w.was IS NOT NULL THEN concat_ws(' · ', o.availability, o.price) END AS old_value, concat_ws(' · ', r.availability, r.price) AS new_value
+FROM walk_rec w JOIN ordered r ON r.product_uuid = w.product_uuid AND r.rn = w.told LEFT JOIN ordered o ON o.product_uuid = w.product_uuid AND o.rn = w.was WHERE w.outcome IN ('baseline', 'confirmed', 'unstable')"""
+
+_DIGITS = "regexp_replace(coalesce(code, ''), '[^0-9]', '', 'g')"
+CODES = f"""dig AS (SELECT *, {_DIGITS} AS dd, upper(regexp_replace(coalesce(code, ''), '[^0-9Xx]', '', 'g')) AS raw FROM codes),
+v AS (SELECT *, length(dd) IN (8, 12, 13, 14) AND length(replace(left(dd, length(dd) - 1), left(dd, 1), '')) > 0
+  AND (10 - list_sum(list_transform(range(1, length(dd)), lambda i: CAST(substr(dd, length(dd) - i, 1) AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10 = CAST(right(dd, 1) AS INTEGER) AS valid FROM dig WHERE dd <> ''
+  UNION ALL SELECT *, false FROM dig WHERE dd = '')
+SELECT key, kind, coalesce(valid, false) AS valid,
+  CASE WHEN valid THEN CASE WHEN length(dd) = 12 THEN '0' || dd WHEN length(dd) = 14 AND left(dd, 1) = '0' THEN substr(dd, 2) ELSE dd END END AS ean,
+  CASE WHEN valid AND length(dd) = 12 THEN dd WHEN valid AND length(dd) = 13 AND left(dd, 1) = '0' THEN substr(dd, 2) END AS upc,
+  CASE WHEN length(raw) = 13 AND NOT contains(raw, 'X') AND valid THEN raw WHEN length(raw) = 10 THEN raw END AS isbn FROM v"""

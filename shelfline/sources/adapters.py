@@ -147,6 +147,9 @@ def catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, F.concat(F.lit("SKU-"), key)).alias("manufacturer_sku"),
         F.when(key % 7 == 0, F.concat(F.lit("B0"), F.lpad(key.cast("string"), 8, "0"))).alias("asin"),
         F.when(key % 8 == 0, F.concat(F.lit("M"), key)).alias("model_number"),
+        F.when(key % 9 == 0, F.lpad(key.cast("string"), 12, "0")).alias("upc"),
+        F.when(key % 11 == 0, F.concat(F.lit("978"), F.lpad(key.cast("string"), 10, "0"))).alias("isbn"),
+        F.when(key % 13 == 0, F.concat(F.lit("REF-"), key)).alias("manufacturer_ref"),
         F.col("p_type").alias("collection"),
         F.concat(F.lit("2024-0"), key % 9 + 1, F.lit("-15")).alias("release_date"),
         key.alias("created_seq"),
@@ -168,6 +171,11 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("shop") % 4 == 2, F.col("manufacturer_sku")).alias("manufacturer_sku"),
         F.when(F.col("shop") == 5, F.col("asin")).alias("asin"),
         F.when(F.col("shop") == 6, F.col("model_number")).alias("model_number"),
+        F.when(F.col("shop") == 3, F.col("upc")).alias("upc"),
+        F.when(F.col("shop") == 7, F.col("isbn")).alias("isbn"),
+        F.when(F.col("shop").isin(3, 7), F.col("manufacturer_ref")).alias("manufacturer_ref"),
+        F.when(F.col("shop") == 2, F.col("release_date")).alias("release_date"),
+        F.when(F.col("shop") == 5, F.concat(F.lit(" "), F.upper("collection"))).alias("collection"),
     )
 
 
@@ -187,6 +195,72 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.unionByName(again)
 
 
+def known_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages known before the latest scans, by fingerprint; most of them wait for a decision."""
+    key = F.col("page_id")
+    status = F.when(key % 10 == 0, "imported").when(key % 10 == 1, "ignored").when(key % 10 == 2, "blocked").otherwise("pending")
+    return first_pages(spark, sf_dir).select("fingerprint", "site", status.alias("status"))
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What complete scans saw: three of four pages, and nothing of some sites."""
+    return first_pages(spark, sf_dir).filter("page_id % 4 <> 1 and length(site) % 3 <> 0").select("site", "fingerprint")
+
+
+def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page (page_id) of each site and URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("site"))
+    return pages.groupBy("site", F.md5("url").alias("fingerprint")).agg(F.min("page_id").alias("page_id"))
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article codes as they are found: right and wrong check digits, placeholders, all lengths, separators."""
+    key = F.col("p_partkey")
+    body = F.lpad((key * 7919 + 300000000000).cast("string"), 12, "0")
+    full = _gtin(body)
+    wrong = F.concat(body, ((F.substring(full, 13, 1).cast("int") + 1) % 10).cast("string"))
+    kinds = [
+        full, wrong, F.concat(F.lit("0"), full), F.concat(F.lit("1"), full), body, F.substring(full, 6, 8), F.lit("0000000000000"), F.lit("11111116"),
+        F.concat(F.substring(full, 1, 3), F.lit("-"), F.substring(full, 4, 5), F.lit(" "), F.substring(full, 9, 5)), F.lpad(key.cast("string"), 10, "0"),
+        F.concat(F.lit("ISBN "), F.lpad(key.cast("string"), 9, "0"), F.lit("x")), F.lit(""), F.lit(None).cast("string"),
+    ]
+    rows = table(spark, sf_dir, "part").withColumn("full", full)
+    return rows.select(key.alias("key"), F.posexplode(F.array(*kinds)).alias("kind", "code"))
+
+
+def identity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about products, told by several sources with differing confidence."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey")).alias("uuid"), F.when(F.col("l_linenumber") % 2 == 0, "ean").otherwise("brand").alias("field"),
+        F.when(F.col("l_quantity") < 5, " ").otherwise(F.concat(F.lit("v"), F.col("l_suppkey"))).alias("value"),
+        (F.expr("cast(l_quantity * 3 as int)") - 10).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+
+
+def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of products at merchants, one row for each try."""
+    status = F.when(F.col("l_quantity") > 45, "found").when(F.col("l_quantity") < 8, "error").otherwise("not_found")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey")).alias("product_uuid"), F.concat(F.lit("shop"), F.col("l_suppkey") % 8).alias("site"),
+        F.when(F.col("l_linenumber") % 2 == 0, "ean").otherwise("mpn").alias("key_kind"), F.concat(F.lit("k"), F.col("l_partkey")).alias("key_value"),
+        status.alias("status"), F.expr("cast(l_quantity * 2 as int)").alias("confidence"),
+        F.when(status == "found", F.concat(F.lit("https://shop/"), F.col("l_orderkey"))).when(F.col("l_linenumber") == 1, "").alias("found_url"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("tried_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog products under the names that search keys use, with up to four aliases."""
+    key = F.col("created_seq")
+    alias = lambda i: F.concat(F.lit(f"alias {i} "), key.cast("string"))
+    aliases = F.when(key % 3 == 0, F.array(F.col("name"), alias(1), alias(2), alias(3))).when(key % 3 == 1, F.array(alias(1)))
+    return catalog_products(spark, sf_dir).select(
+        "uuid", "brand", "ean", "upc", "isbn", "asin", "mpn", "model_number", F.when(key % 10 == 0, F.col("ean")).alias("gtin"),
+        F.col("manufacturer_sku").alias("sku"), F.col("manufacturer_ref").alias("manufacturer_part_number"), F.col("name").alias("canonical_name"),
+        F.when(key % 12 == 0, " Maker").alias("manufacturer"), aliases.alias("aliases"),
+    )
+
+
 def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(F.lit("not_found"), F.lit("error"), F.lit("found"), F.lit("pending")), (F.col("c_custkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ PRIORITIES = ("low", "normal", "high", "critical")
 CONFIG = "uuid string, name string, site string, url string, check_interval int, enabled boolean, priority string, tags array<string>"
 
 
+def work_dir(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder that spark.checkpoint.dir names; only local sessions may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back, for results that several jobs read."""
+    path = work_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def products_yaml(spark: SparkSession, text: str) -> DataFrame:
     """Products of a YAML document; ValueError for missing fields, unknown priorities and repeated keys."""
     import yaml

@@ -6,26 +6,26 @@ same step as the batch fold, so both give the same rows for readings that arrive
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.operators.changes import CONFIRMED, confirm_step
+from shelfline.operators.changes import CONFIRMED, READ, confirm_step, reading_of, shown
+from shelfline.sources.files import work_dir
 
-STATE = "state_a string, state_p string, has_state boolean, wait_a string, wait_p string, has_wait boolean"
+STATE = "state string, waiting string"
 
 
-def work_dir(spark: SparkSession, kind: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def arriving(spark: SparkSession, table: str, like: DataFrame, per_trigger: int = 1) -> DataFrame:
+    """The Parquet table at the glob `table` (one file, or a folder of part files) as a stream with the schema of `like`.
 
-
-def arriving(spark: SparkSession, path: str, like: DataFrame, files: str = "*", per_trigger: int = 1) -> DataFrame:
-    """Files below `path` as a stream of rows with the schema of `like`."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    A glob, since Spark takes a plain path for that of a folder.
+    """
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger)
+    return stream.parquet(table)
 
 
 def checks_per_hour(checks: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -39,26 +39,19 @@ def checks_per_hour(checks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def confirmed(readings: DataFrame) -> DataFrame:
-    """Double-read confirmation over a stream of readings."""
-
-    def shown(x: tuple | None) -> str | None:
-        return None if x is None else " · ".join(v for v in x if v)
+    """Double-read confirmation over a stream of readings: state and waiting reading are kept as JSON."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = waiting = None
-        if held.exists:
-            a, p, has, wa, wp, has_wait = held.get
-            state, waiting = ((a, p) if has else None), ((wa, wp) if has_wait else None)
+        state, waiting = map(json.loads, held.get) if held.exists else (None, None)
         out = []
         for r in pd.concat(list(frames)).sort_values(["checked_at", "id"]).itertuples(index=False):
-            price = None if pd.isna(r.price) else r.price
-            state, waiting, row = confirm_step(state, waiting, (r.availability, price))
-            if row:
-                out.append((key[0], r.id, row[0], shown(row[1]), shown(row[2])))
-        held.update((*(state or (None, None)), state is not None, *(waiting or (None, None)), waiting is not None))
+            state, waiting, found = confirm_step(state, waiting, reading_of(r))
+            if found:
+                out.append((key[0], r.id, found[0], shown(found[1]), shown(found[2])))
+        held.update((json.dumps(state), json.dumps(waiting)))
         yield pd.DataFrame(out, columns=["product_uuid", "id", "outcome", "old_value", "new_value"])
 
-    rows = readings.select("product_uuid", "id", "checked_at", "availability", "price")
+    rows = readings.select("product_uuid", "id", "checked_at", *READ).filter("product_uuid is not null and availability is not null")
     return rows.groupBy("product_uuid").applyInPandasWithState(fold, CONFIRMED, STATE, "append", "NoTimeout")
 
 
