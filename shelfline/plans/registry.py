@@ -12,36 +12,15 @@ from shelfline.operators import changes as G
 from shelfline.operators import relational as R
 from shelfline.operators import resolution as E
 from shelfline.operators import telemetry as T
+from shelfline.plans import market, views  # noqa: F401 - they register their queries
 from shelfline.plans import sql as S
+from shelfline.plans.register import oracle_sql, queries, query  # noqa: F401
+from shelfline.plans.register import with_ctes as _with
 from shelfline.sources import adapters as A
 from shelfline.streaming import monitor as M
 
 HOURS = 168
 INCIDENTS = ["http_error", "network_error", "blocked", "unknown_state"]
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(names: str | None = None, sql: str | None = None):
-    """Registers a query under its function's name, with SQL over the adapters `names` if there is any."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = S.using(names or "", sql)
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _now(spark: SparkSession, d: str):
     return T.latest(A.table(spark, d, "events"), "ts")
 
@@ -92,11 +71,6 @@ def last_confidences(spark, d):
     return T.last_confidences(A.checks(spark, d))
 
 
-def _with(names: str, ctes: str, select: str) -> tuple[str, str]:
-    """SQL of adapters and further CTEs."""
-    return names, ", " + ctes + "\n" + select
-
-
 @query(*_with("products checks", S.WINDOWS, "SELECT * FROM win"))
 def recent_and_baseline(spark, d):
     return T.windows(A.checks(spark, d), A.products(spark, d), _now(spark, d))

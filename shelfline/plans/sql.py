@@ -58,11 +58,23 @@ ADAPTERS = {
   CASE WHEN l_quantity > 45 THEN 'https://shop/' || l_orderkey WHEN l_linenumber = 1 THEN '' END AS found_url, CAST(l_shipdate AS TIMESTAMP) AS tried_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""",
     "identities": """SELECT uuid, brand, ean, upc, isbn, asin, mpn, model_number, CASE WHEN created_seq % 10 = 0 THEN ean END AS gtin, manufacturer_sku AS sku, manufacturer_ref AS manufacturer_part_number, name AS canonical_name,
   CASE WHEN created_seq % 12 = 0 THEN ' Maker' END AS manufacturer, CASE created_seq % 3 WHEN 0 THEN [name, 'alias 1 ' || created_seq, 'alias 2 ' || created_seq, 'alias 3 ' || created_seq] WHEN 1 THEN ['alias 1 ' || created_seq] END AS aliases FROM catalog""",
+    "watch_list": """SELECT 's' || s_suppkey AS uuid, s_name AS name, 'shop' || (s_suppkey % 8) AS site, 'https://shop/' || s_suppkey AS url,
+  CASE s_suppkey % 3 WHEN 0 THEN '["Drop","a' || (s_suppkey % 5) || '"]' WHEN 1 THEN '[]' ELSE 'not json' END AS tags, s_suppkey % 4 <> 0 AS enabled,
+  CASE s_suppkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'normal' WHEN 2 THEN 'high' ELSE 'critical' END AS priority, CAST(s_suppkey % 50 + 10 AS INTEGER) AS check_interval,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(s_suppkey AS INTEGER)) AS created_at FROM supplier""",
+    "discovered": """SELECT 'f' || o_orderkey AS fingerprint, 'shop' || (o_custkey % 8) AS site, 'https://shop/x/Fiche-' || o_orderkey || '.html' AS url, 'Fiche ' || o_orderpriority || ' ' || o_orderkey AS title,
+  CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 900) || ',50 €' END AS price, CASE o_orderkey % 5 WHEN 0 THEN 'imported' WHEN 1 THEN 'pending' WHEN 2 THEN 'ignored' WHEN 3 THEN 'blocked' ELSE 'gone' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN 's' || (o_orderkey % 100) END AS product_uuid, CAST(o_orderdate AS TIMESTAMP) AS first_seen_at FROM orders""",
+    "suggestions": """SELECT o_orderkey AS id, 'p' || o_custkey AS product_uuid, 'p' || (o_orderkey % 200) AS candidate_uuid, CAST(o_orderkey % 50 + 50 AS INTEGER) AS score,
+  CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders""",
+    "stored_attempts": """SELECT *, 'ean' AS key_kind, CASE WHEN status IN ('not_found', 'error') THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(substr(product_uuid, 2) AS INTEGER)) END AS next_retry_at FROM search_attempts""",
+    "fetches": f"""SELECT event_id AS id, CASE {_K} % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'browser' WHEN 2 THEN 'api' END AS source, CASE WHEN {_K} < 6 THEN 403 END AS blocked_status,
+  CASE WHEN {_K} % 7 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN {_K} % 5 = 0 THEN true WHEN {_K} % 5 <> 1 THEN false END AS fallback FROM events""",
     "now": "SELECT max(ts) AS t FROM events",
 }
 NEEDS = {
     "catalog": ["gtin12"], "drafts": ["gtin12", "catalog"], "codes": ["gtin12"], "identities": ["gtin12", "catalog"],
-    "known_discoveries": ["first_pages"], "scanned_pages": ["first_pages"],
+    "stored_attempts": ["search_attempts"], "known_discoveries": ["first_pages"], "scanned_pages": ["first_pages"],
 }
 
 STOP = "'le','la','les','de','du','des','un','une','et','the','of','neuf','nouveau','new','edition','ed','version','pack','lot','officiel','official','fr','france','francais','vf','produit','article','reference','ref'"

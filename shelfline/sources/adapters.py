@@ -269,3 +269,55 @@ def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") % 8).cast("int").alias("attempts"),
         F.explode(F.array(*[F.lit(f"shop{i}") for i in range(3)])).alias("site"),
     )
+
+
+def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products as they are configured, with tags as JSON, some of it broken."""
+    key = F.col("s_suppkey")
+    tags = F.when(key % 3 == 0, F.concat(F.lit('["Drop","a'), key % 5, F.lit('"]'))).when(key % 3 == 1, "[]").otherwise("not json")
+    priority = F.element_at(F.array(*map(F.lit, ("low", "normal", "high", "critical"))), (key % 4 + 1).cast("int"))
+    created = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(s_suppkey as int))")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), key).alias("uuid"), F.col("s_name").alias("name"), F.concat(F.lit("shop"), key % 8).alias("site"),
+        F.concat(F.lit("https://shop/"), key).alias("url"), tags.alias("tags"), (key % 4 != 0).alias("enabled"), priority.alias("priority"),
+        (key % 50 + 10).cast("int").alias("check_interval"), created.alias("created_at"),
+    )
+
+
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings found, with what was decided of them."""
+    key = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("imported", "pending", "ignored", "blocked", "gone"))), (key % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("f"), key).alias("fingerprint"), F.concat(F.lit("shop"), F.col("o_custkey") % 8).alias("site"),
+        F.concat(F.lit("https://shop/x/Fiche-"), key, F.lit(".html")).alias("url"), F.concat(F.lit("Fiche "), "o_orderpriority", F.lit(" "), key).alias("title"),
+        F.when(key % 3 != 0, F.concat(key % 900, F.lit(",50 €"))).alias("price"), status.alias("status"),
+        F.when(key % 5 == 0, F.concat(F.lit("s"), key % 100)).alias("product_uuid"), F.col("o_orderdate").cast("timestamp_ntz").alias("first_seen_at"),
+    )
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.concat(F.lit("p"), F.col("o_custkey")).alias("product_uuid"), F.concat(F.lit("p"), key % 200).alias("candidate_uuid"),
+        (key % 50 + 50).cast("int").alias("score"), status.alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def stored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches as they are stored, with the time of the next one."""
+    retry = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(substring(product_uuid, 2) as int))")
+    rows = search_attempts(spark, sf_dir).withColumn("key_kind", F.lit("ean"))
+    return rows.withColumn("next_retry_at", F.when(F.col("status").isin("not_found", "error"), retry))
+
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How pages were fetched: by which way, with what status, refused before or not."""
+    rows = table(spark, sf_dir, "events").withColumn("k", _k())
+    k = F.col("k")
+    return rows.select(
+        F.col("event_id").alias("id"), F.when(k % 4 == 0, "http").when(k % 4 == 1, "browser").when(k % 4 == 2, "api").alias("source"),
+        F.when(k < 6, 403).alias("blocked_status"), F.when(k % 7 == 0, 404).otherwise(200).alias("status_code"),
+        F.when(k % 5 == 0, True).when(k % 5 != 1, False).alias("fallback"),
+    )
