@@ -157,11 +157,6 @@ def price_eur(text: F.Column) -> F.Column:
     return F.when(found != "", F.concat(F.replace(found, F.lit("."), F.lit(",")), F.lit(" €")))
 
 
-def asin(url: F.Column) -> F.Column:
-    found = F.regexp_extract(url, r"(?i)/(?:dp|gp/product|gp/aw/d)/([A-Z0-9]{10})(?:[/?#]|$)", 1)
-    return F.when(found != "", F.upper(found))
-
-
 def title_from_url(slug: F.Column) -> F.Column:
     words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ")

@@ -192,15 +192,19 @@ def plugin_cards(sites: DataFrame, stats: DataFrame, events: DataFrame, last: Da
     return card.withColumn("success_rate", success)
 
 
-def system_score(cards: DataFrame, events: DataFrame, pending: int) -> DataFrame:
-    """One row: the weighted mean of plugins (3 each), discovery (1) and product intelligence (1)."""
+def system_score(cards: DataFrame, events: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """One row: the weighted mean of plugins (3 each), discovery (1) and product intelligence (1).
+
+    Pending suggestions are a debt from ten on.  The joins are of aggregates without groups, one row each.
+    """
     plugins = cards.agg(F.coalesce(F.sum("score"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n"))
     failed = events.agg(F.coalesce(F.sum(F.when((F.col("source") == "discovery") & (F.col("kind") == "network_error"), F.col("n"))), F.lit(0)).alias("failed"))
     discovery = F.when(F.col("failed") == 0, 100).otherwise(80)
-    intelligence = 100 if pending < 10 else max(60, 100 - pending)
+    waiting = suggestions.agg(F.count_if(F.col("status") == "pending").cast("int").alias("pending"))
+    intelligence = F.when(F.col("pending") < 10, 100).otherwise(F.greatest(F.lit(60), 100 - F.col("pending")))
     overall = F.bround((F.col("total") * 3 + discovery + intelligence) / (F.col("n") * 3 + 2), 0).cast("int")
     level = F.when(F.col("score") >= HEALTHY, "healthy").when(F.col("score") >= DEGRADED, "degraded").otherwise("unhealthy")
-    return plugins.join(failed).select(overall.alias("score")).withColumn("status", level)
+    return plugins.join(failed).join(waiting).select(overall.alias("score")).withColumn("status", level)
 
 
 def events_per_hour(events: DataFrame, kinds: list[str], as_of: dt.datetime, hours: float = 168) -> DataFrame:

@@ -1,0 +1,142 @@
+"""Queries over what marketplaces show: the SQL states, for each form of text, what has to be read from it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfline.functions import html as H
+from shelfline.functions import market as M
+from shelfline.functions import text as X
+from shelfline.plans.register import query
+from shelfline.sources import adapters as A
+
+
+def _literal(value) -> str:
+    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def _case(rows: list, at: int) -> str:
+    """The expected value of column `at` by the number of the form."""
+    return "CASE p_partkey % " + str(len(rows)) + " " + " ".join(f"WHEN {i} THEN {_literal(r[at])}" for i, r in enumerate(rows)) + " END"
+
+
+def _expected(rows: list, *names: str) -> str:
+    return "SELECT p_partkey AS key, " + ", ".join(f"{_case(rows, i + 1)} AS {n}" for i, n in enumerate(names)) + " FROM part"
+
+
+def _forms(spark, d, rows: list, *names: str):
+    """The parts, each with one of the forms in turn."""
+    own = A.table(spark, d, "part").select(F.col("p_partkey").alias("key"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i] if len(names) > 1 else r[0]) for r in rows]), (F.col("key") % len(rows) + 1).cast("int"))
+    return own.select("key", *[pick(i).alias(n) for i, n in enumerate(names)])
+
+
+# address, article, article address, domain, with language
+URLS = [
+    ("https://WWW.amazon.fr/Coffret-Rare/dp/b0abcdefgh/ref=x?th=1#top", "B0ABCDEFGH", "https://www.amazon.fr/dp/B0ABCDEFGH", "amazon.fr", "https://WWW.amazon.fr/Coffret-Rare/dp/b0abcdefgh/ref=x?th=1&language=fr_FR#top"),
+    ("http://amazon.co.uk/gp/product/B012345678", "B012345678", "http://amazon.co.uk/dp/B012345678", "amazon.co.uk", "http://amazon.co.uk/gp/product/B012345678?language=en_GB"),
+    ("https://www.amazon.de/s?k=x&asin=B0DE345678", "B0DE345678", "https://www.amazon.de/dp/B0DE345678", "amazon.de", "https://www.amazon.de/s?k=x&asin=B0DE345678&language=de_DE"),
+    ("https://www.amazon.com/dp/SHORT?language=es_US", None, "https://www.amazon.com/dp/SHORT", "amazon.com", "https://www.amazon.com/dp/SHORT?language=es_US"),
+    ("https://notamazon.fr/dp/B0ABCDEFGH", "B0ABCDEFGH", "https://notamazon.fr/dp/B0ABCDEFGH", None, "https://notamazon.fr/dp/B0ABCDEFGH?language=fr_FR"),
+]
+
+
+@query("", _expected(URLS, "article", "article_url", "domain", "localised"))
+def market_addresses(spark, d):
+    url = F.col("url")
+    return _forms(spark, d, URLS, "url").select("key", M.asin(url).alias("article"), M.article_url(url).alias("article_url"), M.market(url, 0).alias("domain"), M.with_language(url).alias("localised"))
+
+
+# text, amount, currency, date
+AMOUNTS = [
+    ("Prix : 1 299,99 € le 21/08/2026", "1299,99 €", "EUR", "2026-08-21"), ("$45.50, release 2026-08-21 or 1.2.2020", "45,50 €", "USD", "2026-08-21"),
+    ("£9.99 on 3-4-2025", "9,99 €", "GBP", "2025-04-03"), ("12 345 678,00€", "12345678,00 €", "EUR", None), ("sans prix 12 €", None, "EUR", None), ("", None, None, None),
+]
+
+
+@query("", _expected(AMOUNTS, "amount", "currency", "released"))
+def market_amounts(spark, d):
+    text = F.col("text")
+    return _forms(spark, d, AMOUNTS, "text").select("key", M.amount(text).alias("amount"), M.currency(text).alias("currency"), M.iso_date(text).alias("released"))
+
+
+# label, country
+LABELS = [
+    ("Livrer à France", "FR"), ("Deliver to : Belgium", "BE"), ("Livraison à 75001 Paris", "FR"), ("Livrer à 75001 Deutschland", "DE"), ("Mettre à jour la position", None),
+    ("Livraison en États-Unis", "US"), ("vers le Japon demain", "JP"), ("Francfort", None), ("99999 Ailleurs", None), ("  Österreich ", "AT"),
+]
+
+
+@query("", _expected(LABELS, "country"))
+def market_destinations(spark, d):
+    rows = _forms(spark, d, LABELS, "label").withColumn("folded", X.normalise(F.col("label")))
+    return rows.select("key", M.destination(F.col("folded")).alias("country"))
+
+
+# text, seller, readable
+SELLERS = [
+    ("Vendu par : Amazon Amazon Expédié par Autre", "Amazon", False), ("vendu par Boutique du Coin | Paris", "Boutique du Coin", True), ("Ajouter au panier", None, True),
+    ("QWxhZGRpbjpvcGVuIHNlc2FtZQ==", None, False), ("x", None, False), ("Vendu par   ", None, True), ("12 34", None, False), ("pfff", None, False),
+]
+
+
+@query("", _expected([(t, s, r) for t, s, r in SELLERS], "seller", "readable"))
+def market_sellers(spark, d):
+    text = F.col("text")
+    rows = _forms(spark, d, SELLERS, "text")
+    return rows.select("key", M.seller(text, "vendu par").alias("seller"), M.readable(F.when(text.startswith("Vendu par : "), "dcf5").otherwise(text)).alias("readable"))
+
+
+# action, seller, official, confidence, country / state, seller type, after the guards, reason, availability
+STATES = [
+    (("add_to_cart", "Amazon", True, 80, "FR"), ("available", "official", "available", None, "in_stock")),
+    (("buy_now", "Revendeur", False, 100, "FR"), ("third_party_only", "third_party", "third_party_only", None, "in_stock")),
+    (("request_invite", None, False, 60, None), ("invitation", "unknown", "invitation", None, "preorder")),
+    (("add_to_cart", "Amazon", True, 40, "FR"), ("available", "official", "unknown", "confidence", "in_stock")),
+    (("preorder", "", False, 80, "US"), ("preorder", "unknown", "unknown", "locale", "preorder")),
+    (("none", None, False, 80, "FR"), ("unknown", "unknown", "unknown", "unknown", "unknown")),
+    (("discontinued", None, False, 80, "FR"), ("unavailable", "unknown", "unavailable", None, "unavailable")),
+]
+
+
+@query("", _expected([(None, *e) for _, e in STATES], "state", "seller_type", "guarded", "reason", "availability"))
+def market_states(spark, d):
+    rows = _forms(spark, d, [i for i, _ in STATES], "action", "seller", "official", "confidence", "country")
+    official, country = F.col("official"), F.col("country").cast("string")
+    state = M.native_state(F.col("action"), F.col("seller"), official)
+    guarded = M.guarded(state, F.col("confidence"), country, F.lit("FR"))
+    elsewhere = F.coalesce(country != "FR", F.lit(False))
+    availability = F.coalesce(F.create_map(*[F.lit(x) for p in H.AVAILABILITY.items() for x in p])[F.col("action")], F.lit("unknown"))
+    return rows.select(
+        "key", state.alias("state"), M.seller_type(F.col("seller"), official).alias("seller_type"), guarded.alias("guarded"),
+        M.blocked_reason(F.lit(None).cast("string"), elsewhere, F.col("confidence"), state).alias("reason"), availability.alias("availability"),
+    )
+
+
+# page, text, why it is none of a product
+WALLS = [("<p>Cloudflare</p>", "x" * 300, "cloudflare"), ("<form action='/ValidateCaptcha'>", "x" * 300, "captcha"), ("<p>ok</p>", "x" * 300, None), ("<p>ok</p>", "x", "error")]
+
+
+@query("", _expected([(None, w) for _, _, w in WALLS], "block"))
+def market_blocks(spark, d):
+    rows = _forms(spark, d, WALLS, "html", "text")
+    return rows.select("key", M.blocked(F.col("html"), F.col("text")).alias("block"))
+
+
+# slug, title; value, slug of it
+SLUGS = [("Coffret Étoile n°3 !", "coffret_etoile_n3", "mon-coffret_rare", "Mon Coffret Rare"), ("!!!", "produit", "a", "A"), ("ÀÉ-ß", "ae", "", ""), ("x" * 70, "x" * 60, "--b--", "B")]
+
+
+@query("", "SELECT p_partkey AS key, " + _case(SLUGS, 1) + " AS slug, " + _case(SLUGS, 3) + " AS title FROM part")
+def slugs_and_titles(spark, d):
+    rows = _forms(spark, d, SLUGS, "value", "slug", "path")
+    return rows.select("key", X.slugify(F.col("value")).alias("slug"), X.title_from_url(F.col("path")).alias("title"))
+
+
+SITEMAP = "<urlset><url><loc> https://a/1 </loc></url><url><loc>https://a/2</loc></url><loc></loc></urlset>"
+
+
+@query("", "SELECT p_partkey AS key, 'https://a/' || u AS url FROM part, range(1, 3) t(u)")
+def sitemap_pages(spark, d):
+    rows = _forms(spark, d, [(SITEMAP,)], "body")
+    return rows.select("key", F.explode(H.sitemap_urls(F.col("body"))).alias("url"))

@@ -99,9 +99,9 @@ def plugin_cards(spark, d):
     return _cards(spark, d)
 
 
-@query(*_with("products checks engine_events", S.CARDS, "SELECT s AS score, CASE WHEN s >= 90 THEN 'healthy' WHEN s >= 70 THEN 'degraded' ELSE 'unhealthy' END AS status FROM (SELECT CAST(round_even((sum(score) * 3 + 100 + 88) / CAST(count(*) * 3 + 2 AS DOUBLE), 0) AS INTEGER) AS s FROM scored)"))
+@query(*_with("products checks engine_events suggestions", S.CARDS + ",\nwait AS (SELECT count(*) FILTER (status = 'pending') AS pending FROM suggestions)", "SELECT s AS score, CASE WHEN s >= 90 THEN 'healthy' WHEN s >= 70 THEN 'degraded' ELSE 'unhealthy' END AS status FROM (SELECT CAST(round_even((sum(score) * 3 + 100 + max(CASE WHEN pending < 10 THEN 100 ELSE greatest(60, 100 - pending) END)) / CAST(count(*) * 3 + 2 AS DOUBLE), 0) AS INTEGER) AS s FROM scored, wait)"))
 def system_score(spark, d):
-    return T.system_score(_cards(spark, d), T.kinds_by_source(A.engine_events(spark, d), _now(spark, d), HOURS), pending=12)
+    return T.system_score(_cards(spark, d), T.kinds_by_source(A.engine_events(spark, d), _now(spark, d), HOURS), A.suggestions(spark, d))
 
 
 @query("engine_events", "SELECT source, kind, count(*) AS n FROM engine_events, now WHERE created_at >= t - INTERVAL 168 HOUR GROUP BY ALL")
@@ -438,14 +438,23 @@ def page_titles(spark, d):
     return A.table(spark, d, "pages").select("page_id", parts.alias("p")).select("page_id", F.col("p.lang").alias("page_lang"), F.col("p.title").alias("title"))
 
 
-@query()
+_PAGES = "p AS (SELECT p_partkey AS key, p_name AS title, b || ((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(b, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10) AS gtin FROM part JOIN gtin12 USING (p_partkey))"
+
+
+@query(*_with("gtin12", _PAGES, """SELECT key, title, action, availability, price, CASE WHEN key % 6 = 5 THEN wall WHEN key % 6 = 3 THEN coalesce(wall, gone) ELSE gone END AS status_text,
+  CASE WHEN availability = 'unknown' THEN coalesce(wall, 'aucune action d''achat identifiée') END AS blocked_reason, 'fr' AS page_lang
+  FROM (SELECT key, title, CASE key % 6 WHEN 0 THEN 'add_to_cart' WHEN 1 THEN 'preorder' WHEN 2 THEN 'notify_me' WHEN 4 THEN 'coming_soon' ELSE 'none' END AS action,
+    CASE key % 6 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'preorder' WHEN 2 THEN 'unavailable' WHEN 4 THEN 'unavailable' ELSE 'unknown' END AS availability,
+    CASE key % 4 WHEN 0 THEN '12,90 €' WHEN 2 THEN '7,50 €' END AS price, CASE key % 6 WHEN 2 THEN 'm''alerter' WHEN 3 THEN 'indisponible' WHEN 4 THEN 'bientot disponible' END AS gone,
+    CASE WHEN key % 6 = 5 THEN 'page d''attente Cloudflare' WHEN key % 5 = 0 THEN 'page quasi vide (contenu rendu côté client ?)' END AS wall FROM p)"""))
 def page_states(spark, d):
-    return H.with_state(A.table(spark, d, "pages").select("page_id", "html")).drop("html")
+    return H.with_state(A.product_pages(spark, d).select("key", "html")).drop("html")
 
 
-@query()
+@query(*_with("gtin12", _PAGES, """SELECT key, gtin AS ean, CASE WHEN gtin LIKE '0%' THEN substr(gtin, 2) END AS upc, CASE key % 3 WHEN 0 THEN NULL ELSE 'M-' || key END AS mpn,
+  CASE key % 3 WHEN 0 THEN 'SKU-' || key END AS sku, 'Marque ' || key AS brand, CASE key % 3 WHEN 0 THEN '2024-05-01' END AS release_date FROM p"""))
 def page_identifiers(spark, d):
-    return H.identifiers(A.table(spark, d, "pages").select("page_id", "html")).drop("html")
+    return H.identifiers(A.product_pages(spark, d).select("key", "html")).select("key", "ean", "upc", "mpn", "sku", "brand", "release_date")
 
 
 _EUR = "(\\d{1,4}[.,]\\d{2})"

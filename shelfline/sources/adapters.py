@@ -271,6 +271,32 @@ def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages of every kind: what can be bought, how it is priced, and how its data is marked up."""
+    key = F.col("key")
+    pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (key % len(texts) + 1).cast("int"))
+    control = pick(
+        "<button>Ajouter au panier</button>", "<a class='cta' href='#'>Précommander</a>", "<input type='submit' value=\"M'alerter\">M'alerter",
+        "<button>Ajouter au panier</button><button>Indisponible</button>", "<p>Bientôt disponible</p>", "<p>Just a moment</p>",
+    )
+    price = pick("<span class='price'>12,90 €</span>", "", "<p>à € 7.50 pièce</p>", "")
+    padding = F.when(key % 5 != 0, F.repeat(F.lit("<p>Une fiche longue et calme. </p>"), F.lit(12))).otherwise("")
+    number, full = key.cast("string"), F.col("full")
+    json_ld = F.concat(
+        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"X","sku":"NO"},{"mainEntity":{"@type":["Thing","Product"],"gtin13":"'), full,
+        F.lit('","sku":"sku '), number, F.lit('","brand":{"@type":"Brand","name":"Marque  '), number, F.lit('"},"offers":{"sku":"NOPE"},"releaseDate":"le 2024-05-01T00"}}]}</script>'),
+    )
+    props = F.concat(F.lit("<div itemscope><meta itemprop='gtin13' content='"), full, F.lit("'><b itemprop='brand'>Marque "), number, F.lit("</b><i itemprop='mpn'>m_"), number, F.lit("</i></div>"))
+    metas = F.concat(F.lit("<meta property='product:ean' content='"), full, F.lit("'><meta name='product:mfr_part_no' content='m-"), number, F.lit("'><meta property='og:brand' content='Marque "), number, F.lit("'>"))
+    data = F.when(key % 3 == 0, json_ld).when(key % 3 == 1, props).otherwise(metas)
+    html = F.concat(
+        F.lit("<html lang='fr'><head><title>"), F.col("p_name"), F.lit("</title></head><body>"), data, F.lit("<nav><a href='/'>Ajouter au panier</a></nav>"),
+        F.lit("<div id='cookie-bar'>Rupture de stock 99,99 €</div>"), control, price, padding, F.lit("</body></html>"),
+    )
+    rows = table(spark, sf_dir, "part").withColumn("key", F.col("p_partkey"))
+    return rows.withColumn("full", _gtin(F.lpad((key * 7919 + 300000000000).cast("string"), 12, "0"))).select("key", "full", html.alias("html"))
+
+
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products as they are configured, with tags as JSON, some of it broken."""
     key = F.col("s_suppkey")
