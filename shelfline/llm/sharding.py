@@ -23,6 +23,8 @@ from shelfline.llm.common import renamed_apart, table, work_path
 #: Bytes of strings and binaries in a bucket, about; and buckets at least, so that small inputs use every core.
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
+#: Buckets at most, since a row for each (16 bytes) goes to every task; beyond it buckets grow.
+MOST_BUCKETS = 2_000_000
 #: Buckets whose offsets one window row set holds.
 GROUP = 4096
 
@@ -66,7 +68,7 @@ def shuffle_into_shards(
     """
     df = renamed_apart(df, ["shard", "slot"])
     n, n_bytes = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_size_of(df)), F.lit(0))).first()
-    buckets = max(LEAST_BUCKETS, math.ceil(n_bytes / bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(n_bytes / bucket_bytes)))
     scatter = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]), F.lit(buckets)).cast("int").alias("bucket")
     starts = _bucket_starts(df.groupBy(scatter).agg(F.count(F.lit(1)).alias("n")))
 
@@ -81,7 +83,7 @@ def shuffle_into_shards(
     drawn = ordered.groupBy("bucket").agg(F.collect_list("rec").alias("recs"))
     placed = (
         drawn.select("bucket", F.shuffle("recs", seed).alias("recs"))
-        .join(starts, "bucket")
+        .join(F.broadcast(starts), "bucket")  # MOST_BUCKETS rows at most; buckets stay where they are
         .select("start", F.posexplode("recs").alias("pos", "rec"))
         .withColumn("at", F.col("start") + F.col("pos"))
         .withColumn("shard", F.expr(f"cast(at * {n_shards} div {max(n, 1)} as int)"))
