@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import chat, decontamination, mixing, near_dedup, neighbours, pii, quality, sharding, tokens, warc
+from shelfline.llm import chat, decontamination, manifest, mixing, near_dedup, neighbours, packing, pii, quality, sharding, spelling, tokens, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_quality": quality.op9_quality,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op11_packing": packing.op11_packing,
+        "op12_manifest": manifest.op12_manifest,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.OP1_SQL,
         "op3_warc": warc.OP3_SQL,
         "op10_neighbours": neighbours.OP10_SQL,
+        "op12_manifest": manifest.OP12_SQL,
+        "op13_spelling": spelling.OP13_SQL,
     }
