@@ -1,12 +1,15 @@
 """What a marketplace page lets a buyer do: one action, by six sources in order.
 
 In Python: the controls of a page with their labels and surroundings, the texts of availability and of the page.
-Which controls are passed over and which source decides are Column expressions.  The whole page is the scope.
+Which controls are passed over and which source decides are Column expressions.  The whole page is the scope
+unless another is named.
 A null page is an empty one: no action.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,18 +98,27 @@ def around(node: _Node) -> list[str]:
     return found
 
 
-def offered(html: str | None) -> dict:
-    """Controls of a page (links and buttons, then inputs, then other elements that names make controls) and its texts."""
+def offered(html: str | None, scope: int = 0, gone: Iterable[int] = ()) -> dict:
+    """Controls of a page (links and buttons, then inputs, then other elements that names make controls) and its texts.
+
+    Only what stands inside element number `scope` (0: the page) and in none of the elements `gone`.
+    """
     tree = _Tree(html)
+    left = [True] * len(tree.nodes)
+    for n in (tree.nodes[i] for i in gone):
+        left[n.inside : n.last[0]] = [False] * (n.last[0] - n.inside)
+        tree.texts[n.first : n.last[1]] = [""] * (n.last[1] - n.first)
+    top = tree.nodes[scope]
+    nodes = [n for n in tree.nodes if left[n.inside] and (not scope or top.inside < n.inside < top.last[0])]
     by_id: dict[str, _Node] = {}
-    for n in tree.nodes:
+    for n in nodes:
         by_id.setdefault(n.attrs.get("id", ""), n)
-    inputs = [n for n in tree.nodes if n.tag == "input" and n.attrs.get("type", "").lower() in ("submit", "button")]
-    listed = [n for n in tree.nodes if n.tag in ("a", "button")][:MOST_CONTROLS] + inputs[:MOST_CONTROLS]
+    inputs = [n for n in nodes if n.tag == "input" and n.attrs.get("type", "").lower() in ("submit", "button")]
+    listed = [n for n in nodes if n.tag in ("a", "button")][:MOST_CONTROLS] + inputs[:MOST_CONTROLS]
     known = {n.inside for n in listed}
     named = lambda n: "invit" in n.attrs.get("id", "") or n.attrs.get("id") in CONTROL_IDS or n.attrs.get("name") in CONTROL_NAMES
     controls = []
-    for n in [*listed, *(n for n in tree.nodes if n.inside not in known and named(n))]:
+    for n in [*listed, *(n for n in nodes if n.inside not in known and named(n))]:
         own, a = ("" if n.tag == "input" else tree.text(n)), n.attrs
         twin = by_id.get(f"{a['id']}-announce") if a.get("id") else None
         said = (a.get("value") if n.tag == "input" else None, a.get("aria-label"), own, tree.text(twin) if twin else None)
@@ -121,13 +133,13 @@ def offered(html: str | None) -> dict:
                 "names": around(n), "in_cart_form": in_form and n.tag == "input" and a.get("type") == "submit", "listed": n.inside in known, "at": n.inside,
             }
         )
-    stock = [X.fold(tree.text(n)) for wanted in ("availability", "outOfStock") for n in tree.nodes if n.attrs.get("id") == wanted]
-    return {"controls": controls, "stock": stock, "page": X.fold(tree.text(tree.root))}
+    stock = [X.fold(tree.text(n)) for wanted in ("availability", "outOfStock") for n in nodes if n.attrs.get("id") == wanted]
+    return {"controls": controls, "stock": stock, "page": X.fold(tree.text(top))}
 
 
 @F.pandas_udf(PAGE)
-def page_offer(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([offered(x) for x in html], columns=PAGE.fieldNames())
+def page_offer(html: pd.Series, scope: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([offered(*row) for row in zip(html, scope, gone)], columns=PAGE.fieldNames())
 
 
 def holds(text: Column, words_: tuple[str, ...]) -> Column:
@@ -170,17 +182,21 @@ def _whitelist() -> list:
     ]
 
 
-def with_action(pages: DataFrame) -> DataFrame:
-    """`pages` (key, html) to key, action, label, origin, ignored, ignored_reasons, examined.
+def with_action(pages: DataFrame, scope: Column | None = None, gone: Column | None = None, carried: tuple[str, ...] = ("key",)) -> DataFrame:
+    """`pages` (html) to the columns `carried`, action, label, origin, ignored, ignored_reasons, examined.
+
+    `scope` is the number of the element that is read (the page where it isn't given), `gone` those that are left out.
 
     Sources in order: words of availability that block, deciding elements, labels of other controls, words of
     availability that sell, words of the page, a buy button nobody can read.  Controls that their names, their
     surroundings or (beyond deciding elements) their labels exclude never decide; they are counted with reasons.
     """
-    read = pages.select("key", page_offer("html").alias("p"))
+    scope = F.lit(0) if scope is None else scope
+    gone = F.array().cast("array<int>") if gone is None else gone
+    read = pages.select(*carried, page_offer("html", scope, gone).alias("p"))
     by_names = lambda c: F.get(F.filter(F.transform(c["names"], lambda n: _reason(n, EXCLUDED_NAMES)), lambda r: r.isNotNull()), 0)
     judged = F.transform("p.controls", lambda c: F.struct(c.alias("c"), by_names(c).alias("why")))
-    read = read.select("key", F.col("p.stock").alias("stock"), F.array("p.page").alias("page"), judged.alias("all"))
+    read = read.select(*carried, F.col("p.stock").alias("stock"), F.array("p.page").alias("page"), judged.alias("all"))
     free = F.lit(None).cast("string")
     deciding = []
     for fits, action in _whitelist():
@@ -201,8 +217,8 @@ def with_action(pages: DataFrame) -> DataFrame:
         F.struct(F.lit("none").alias("action"), free.alias("label"), free.alias("origin")),
     )
     reasons = F.filter(F.transform(listed, lambda x: F.coalesce(x["why"], _reason(x["c"]["plain"], EXCLUDED_LABELS))), lambda r: r.isNotNull())
-    return read.select("key", found.alias("f"), reasons.alias("r"), F.size(listed).alias("examined")).select(
-        "key", "f.action", "f.label", "f.origin", F.size("r").alias("ignored"), F.array_join(F.array_distinct("r"), ", ").alias("ignored_reasons"), "examined"
+    return read.select(*carried, found.alias("f"), reasons.alias("r"), F.size(listed).alias("examined")).select(
+        *carried, "f.action", "f.label", "f.origin", F.size("r").alias("ignored"), F.array_join(F.array_distinct("r"), ", ").alias("ignored_reasons"), "examined"
     )
 
 

@@ -347,3 +347,40 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k < 6, 403).alias("blocked_status"), F.when(k % 7 == 0, 404).otherwise(200).alias("status_code"),
         F.when(k % 5 == 0, True).when(k % 5 != 1, False).alias("fallback"),
     )
+
+
+#: What a marketplace puts before the article of a page, by page_id modulo their number; {n}, {p} and {t} are the
+#: page's number, a price and its title.
+MARKET_BLOCKS = (
+    '<div id="ppd"><div id="rightCol" class="col right"><div id="desktop_buybox" class="box"><span class="a-price"><span class="a-offscreen">{p},99 €</span></span><div id="availability"><span>En stock</span></div><input id="add-to-cart-button" type="submit" value="Ajouter au panier"><div id="merchant-info">Vendu par Amazon</div></div></div><h1 id="title"><span id="productTitle">{t}</span></h1></div>',
+    '<div id="dp"><div id="buybox" class="empty"></div><div id="rightCol" class="col"><div id="availability">Actuellement indisponible.</div></div><span id="productTitle">{t}</span></div>',
+    '<div id="desktop_buybox"><div id="corePrice_feature_div"><span class="a-offscreen">1 {p}.50 €</span></div><div id="merchant-info">Vendu par Boutique {n} / Expédié par Amazon</div><input id="buy-now-button" type="submit" value="Acheter maintenant"></div><div id="buybox"><input name="submit.add-to-cart" type="submit" value="Ajouter au panier"></div><div id="qualifiedBuybox"><p>{t}</div><span id="productTitle">{t}</span>',
+    '<div class="a-carousel wide"><ul><li><a href="/x{n}">Demander une invitation</a><li><span>Ajouter au panier</span></ul></div><div id="dp"><span class="a-price"><span class="a-offscreen">{p},00 €</span></span></div>',
+    '<div id="ppd"><span class="a-price"><span class="a-offscreen">{p},10 €</span></span><button id="add-to-cart-button">Ajouter au panier</button><h1 id="title">{t}</h1></div><div class="extra block wide"><span>Disponible sur invitation {n}</span></div>',
+    '<div id="buyBoxAccordion"><span id="hdp-invite-button"><button class="a-button" aria-label="Demander une invitation">Voir</button></span><div id="availability"><span>Sur demande</span></div><div id="price_inside_buybox">{p},25 €</div></div><span id="productTitle">{t}</span>',
+    "",
+    '<div id="dp-container"><div id="newBuyBoxPrice">$ {p}.75</div><input id="invite-{n}" type="submit" value="Request an invite"><button>QWxhZGRpbjpvcGVuIHNlc2FtZQ</button><button>Voir les avis</button><a href="/l">bcdf {n}</a><a href="/l">Comparer</a></div><h1 id="title">{t}</h1>',
+    '<form action="/errors/validateCaptcha"><input type="submit" value="Continuer"></form><div id="desktop_buybox"><input id="add-to-cart-button" type="submit" value="Ajouter au panier"></div>',
+    '<div id="centerCol"><p><b>{t}<div class="a-price"><i class="a-offscreen">{p},05 €</i></div><input type="submit" name="submit.add-to-cart" value="Précommander cet article {n}"></p><div id="availability">Sortie prochaine</div><ul><li>Edition : Collector {n}<li>Format : Poche</ul></div>',
+    '<div id="dp"><div id="desktop_buybox"><div class="x sponsored-box"><input id="add-to-cart-button" type="submit" value="Ajouter au panier"><span>Demander une invitation</span></div></div><div id="outOfStock"><p>Temporairement en rupture de stock</div><h1 id="title"><span>{t}</span></h1></div>',
+    '<div id="dp" class="page main"><span class="a-price"><span class="a-offscreen">{p},30 €</span></span><p class="soon">Cet article sera <i>bientôt disponible</i> {n}</p><div id="variation_size_name"><b class="selection">Taille {n}</b></div><div id="merchant-info">Vendeur : Amazon Amazon</div><span id="productTitle">{t}</span></div>',
+)
+#: Where a marketplace says that it delivers, by page_id modulo their number; empty: it says nothing.
+DELIVERIES = ("Paris 75001", "France", "", "Livraison en Belgique", "Berlin, Deutschland", "", "à Lyon 69002")
+MARKET_HOSTS = ("www.amazon.fr", "www.amazon.fr", "www.amazon.de")
+
+
+def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a marketplace would serve them: their own markup and text, with a block before the article."""
+    n = F.col("page_id")
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (n % len(of) + 1).cast("int"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    block = pick(MARKET_BLOCKS)
+    for mark, value in (("{n}", n.cast("string")), ("{p}", (n % 900 + 100).cast("string")), ("{t}", title)):
+        block = F.replace(block, F.lit(mark), value)
+    data = F.when(n % 2 == 0, '<script type="application/ld+json">{"@type":"Product"}</script>').otherwise("")
+    where = pick(DELIVERIES)
+    glow = F.when(where != "", F.concat(F.lit('<div id="nav-global-location-slot"><span id="glow-ingress-line2">'), where, F.lit("</span></div>"))).otherwise("")
+    html = F.replace(F.replace("html", F.lit("<nav>"), F.concat(glow, data, F.lit("<nav>"))), F.lit("<article>"), F.concat(block, F.lit("<article>")))
+    url = F.concat(F.lit("https://"), pick(MARKET_HOSTS), F.lit("/dp/B0"), F.lpad(n.cast("string"), 8, "0"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
