@@ -384,3 +384,32 @@ def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.replace(F.replace("html", F.lit("<nav>"), F.concat(glow, data, F.lit("<nav>"))), F.lit("<article>"), F.concat(block, F.lit("<article>")))
     url = F.concat(F.lit("https://"), pick(MARKET_HOSTS), F.lit("/dp/B0"), F.lpad(n.cast("string"), 8, "0"))
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
+
+
+def listed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue before arrivals: every third part, with some of its identifiers."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(
+        F.concat(F.lit("p"), key).alias("uuid"), F.col("p_name").alias("name"), F.when(key % 4 != 0, F.col("p_brand")).alias("brand"),
+        F.when(key % 2 == 0, F.concat(F.lit("E"), key)).alias("ean"), F.when(key % 5 == 0, F.concat(F.lit("M"), F.expr("p_partkey div 2"))).alias("mpn"),
+        F.lit(None).cast("string").alias("manufacturer_sku"), key.alias("created_seq"),
+    )
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings in the order shops first sold a part: each shop tells other identifiers, and two parts share an mpn."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_partkey", (F.col("l_suppkey") % 8).alias("shop")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = first.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    key, shop = F.col("p_partkey"), F.col("shop")
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    return rows.select(
+        F.concat_ws("/", F.lit("a"), key.cast("string"), shop.cast("string")).alias("draft_id"), "seq",
+        F.concat(F.lit("Neuf "), F.when(shop % 2 == 0, turned).otherwise(F.col("p_name"))).alias("name"), F.when(shop % 3 != 2, F.col("p_brand")).alias("brand"),
+        F.when(shop.isin(0, 3, 6, 7), F.concat(F.lit("E"), key)).alias("ean"), F.when(shop.isin(1, 3), F.concat(F.lit("M"), F.expr("p_partkey div 2"))).alias("mpn"),
+        F.when(shop.isin(2, 6, 7), F.concat(F.lit("S"), key)).alias("manufacturer_sku"),
+    )
+
+
+def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted suggestions as merges, in the order of their ids."""
+    return suggestions(spark, sf_dir).filter("status = 'accepted'").select("id", F.col("product_uuid").alias("source"), F.col("candidate_uuid").alias("target"))
