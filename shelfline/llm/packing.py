@@ -16,6 +16,7 @@ root of the tree, which gets FAN * T rows of 16 bytes, outgrows a task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from math import ceil, isqrt
 
@@ -33,10 +34,17 @@ LEAF = 1 << 14
 FAN = 16
 #: A sequence with fewer free places is nearly full.
 SLACK = 8
-#: Characters tokenised at a time; chunks that a worker remembers, and their length at most.
+#: Characters tokenised at a time; chunks that a worker remembers, and as many words; the longest chunk that it does;
+#: words in one request.
 WINDOW = 1 << 20
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 LONGEST = 64
+JOINED = 512
+#: Letters that lower-case one by one, and marks that are no part of a contraction or of an added token.
+PARTED = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{0,64})([.,;:!?*#$%&()\"]{0,64})|(.+))$", re.MULTILINE)
+#: Ends of lines as the pattern above sees them; all are white space to the library.
+ENDS = re.compile(r"\n")
+WORD_END = "</w>"
 #: Moves of merged sequences that are sent to every task, at most (24 bytes each); more are joined by shuffle.
 MOST_SENT = 1_000_000
 
@@ -45,15 +53,17 @@ MOST_SENT = 1_000_000
 _workers: dict[str, "ChunkIds"] = {}
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """Little-endian 32-bit ids of what stands between two spaces, asked of the library once and then remembered.
 
     The library's normaliser and its cuts never reach over a space, so the ids of the chunks one after another are
-    those of the text.  Vocabularies whose added tokens hold or take spaces are refused, since there it isn't so.
+    those of the text.  A chunk of letters and marks of punctuation after them is cut between the two, and its
+    letters are asked for in lower case, many words at once: each ends with the id of an end of a word.
+    Vocabularies whose added tokens hold or take spaces, or that don't lower-case or mark the ends of words, are
+    asked for whole chunks, or refused.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,30 +71,75 @@ class ChunkIds(dict):
         for token in self.library.get_added_tokens_decoder().values():
             if token.lstrip or token.rstrip or token.single_word or " " in token.content:
                 raise ValueError(f"added token {token.content!r} reaches over spaces")
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if len(text) <= WINDOW:
-            return b"".join(map(self.__getitem__, text.split(" ")))
-        out, i = [], 0
-        while i < len(text):
-            j = text.find(" ", i + WINDOW)
-            j = len(text) if j < 0 else j
-            out.append(b"".join(map(self.__getitem__, text[i:j].split(" "))))
-            i = j + 1
-        return b"".join(out)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.cuts = self._ask("Ab,") == self._ask("ab") + self._ask(",") and self._ask("ab cd") == self._ask("ab") + self._ask("cd")
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _ask(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        runs = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found = self.library.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)
+        for run, encoded in zip(runs, found):
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(run) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.words.update(zip(run, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                self.words.update((word, self._ask(word)) for word in run)
+
+    def _learn(self, chunks: list[str]) -> None:
+        # None of the chunks holds a line's end, so one search over all of them parts each by itself.
+        parts = PARTED.findall("\n".join(chunks)) if self.cuts else [("", "", chunk) for chunk in chunks]
+        words = [word.lower() for word, _, _ in parts]
+        asked = set(words).difference(self.words)
+        if len(self.words) + len(asked) > REMEMBERED:
+            self.words.clear()
+            asked = set(words)
+        asked.discard("")
+        self._learn_words(list(asked))
+        for mark in {mark for _, mark, _ in parts}.difference(self.marks):
+            self.marks[mark] = self._ask(mark)
+        of_word, of_mark = self.words.get, self.marks.__getitem__
+        for chunk, word, (_, mark, other) in zip(chunks, words, parts):
+            self.chunks[chunk] = self._ask(other) if other else of_word(word, b"") + of_mark(mark)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        chunked = [ENDS.sub(" ", t).split(" ") if ENDS.search(t) else t.split(" ") for t in texts]
+        needed = set().union(*chunked)
+        new = needed.difference(self.chunks)
+        if len(self.chunks) + len(new) > REMEMBERED:
+            self.chunks.clear()
+            self.marks.clear()
+            new = needed
+        self._learn(list(new))
+        out = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in chunked]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del self.chunks[chunk]
+        return out
+
+
+def _windows(text: str):
+    """Parts of a text of some WINDOW characters, cut at spaces, which no id reaches over."""
+    i = 0
+    while i < len(text):
+        j = text.find(" ", i + WINDOW)
+        j = len(text) if j < 0 else j
+        yield text[i:j]
+        i = j + 1
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-#: Ids that one batch of pieces holds, about.
-BATCH_IDS = 1 << 21
+#: Pieces of a batch, at most.
+BATCH = 1 << 12
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -101,19 +156,30 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, en
         if vocabulary not in _workers:
             _workers[vocabulary] = ChunkIds(vocabulary)
         known = _workers[vocabulary]
-        rows, held = [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids, doc = known.of(text.as_py() or "") + end, doc.as_py()
+
+        def made(docs: list, texts: list[str]):
+            rows = []
+            ids_of = known.of(texts) if len(texts) > 1 else [b"".join(known.of([w])[0] for w in _windows(texts[0]))]
+            for doc, ids in zip(docs, ids_of):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), each)):
                     part = ids[at : at + each]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-                held += len(ids) // 4
-                if held >= BATCH_IDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+            for i in range(0, len(rows), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + BATCH]), PIECES)], schema=PIECES)
+
+        for batch in batches:
+            docs, texts, held = [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                if texts and held + len(text) > WINDOW:
+                    yield from made(docs, texts)
+                    docs, texts, held = [], [], 0
+                docs.append(doc.as_py())
+                texts.append(text)
+                held += len(text)
+            if texts:
+                yield from made(docs, texts)
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -13,10 +14,15 @@ from tests.llm.helpers import EMPTY, documents, save, sentence
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_of(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids + [P.END_ID]
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def ids_of(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [P.END_ID]
 
 
 def laws(rows, capacity, length="length"):
@@ -109,11 +115,21 @@ def test_ids_are_those_of_the_library(spark, monkeypatch):
 
 
 def test_worker_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(P, "REMEMBERED", 3)
+    monkeypatch.setattr(P, "REMEMBERED", 30)
+    known = P.ChunkIds(VOCABULARY)
+    for k in range(9):
+        texts = [f"Word{i * k}, other. " + "wx" * i + " " + "y" * 100 for i in range(10)]
+        assert known.of(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
+        assert len(known.chunks) <= 40 and len(known.words) <= 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_texts(seed):
+    rng = np.random.default_rng(seed)
+    parts = ["Ab", "zé", "ÀÉ", "ß", "É", "ﬁ", "İ", "'s", "'", "’", ".", ",", "&&&", "12", "½", "²", " ", "  ", "\n", "\t", "\u00a0", "\u0301", "\x1c", "\x85", "漢", "<|endoftext|>", "<|", "|>", "_", "-", "×"]
+    texts = ["".join(rng.choice(parts, 30)) for _ in range(400)]
     known = P.ChunkIds(VOCABULARY)
-    text = " ".join(f"word{i}" for i in range(20)) + " " + "y" * 100
-    assert known.of(text) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes()
-    assert len(known) <= 3
+    assert known.of(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
 
 
 def test_op11(spark, tmp_path):
