@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Offer status by availability.
-STATUS = {"in_stock": "active", "preorder": "active", "unavailable": "unavailable", "not_listed": "not_found"}
+STATUS = {"in_stock": "active", "preorder": "active", "unavailable": "inactive", "not_listed": "not_found", "unknown": "active"}
 RANK = {"in_stock": 0, "preorder": 1}
 
 
@@ -46,8 +46,13 @@ def offer_history(events: DataFrame) -> DataFrame:
 
 
 def status_transitions(events: DataFrame) -> DataFrame:
-    """Sightings at which an offer's status differs from the one before."""
-    status = F.coalesce(F.create_map(*[F.lit(x) for p in STATUS.items() for x in p])[F.col("new_availability")], F.lit("unknown"))
+    """Sightings at which an offer's status differs from the one before.
+
+    A page that is gone is not_found whatever it said; an availability without a status is active, as is none.
+    """
+    status = F.coalesce(F.create_map(*[F.lit(x) for p in STATUS.items() for x in p])[F.col("new_availability")], F.lit("active"))
+    if "page_exists" in events.columns:
+        status = F.when(F.coalesce("page_exists", F.lit(True)), status).otherwise("not_found")
     w = Window.partitionBy("canonical_url").orderBy("seen_at", "seq")
     rows = offer_runs(events).withColumn("status", status).withColumn("previous", F.lag("status").over(w))
     return rows.filter("previous <> status").select("canonical_url", "seen_at", "seq", "previous", "status")

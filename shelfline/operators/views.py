@@ -155,6 +155,11 @@ def patched(products: DataFrame, patches: DataFrame, fields: tuple[str, ...]) ->
     return products.join(new, "uuid", "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in own else c for c in products.columns])
 
 
+def best_term() -> F.Column:
+    """The term that tells a product best: its EAN, UPC, part number or name, the first that isn't empty."""
+    return F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("ean", "upc", "mpn")], F.col("canonical_name"))
+
+
 def first_by(rows: DataFrame, key: F.Column, *order: str) -> DataFrame:
     """Of rows with one key the first in order; min_by keeps it to one aggregate."""
     whole = F.struct(*rows.columns)

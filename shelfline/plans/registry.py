@@ -12,7 +12,7 @@ from shelfline.operators import changes as G
 from shelfline.operators import relational as R
 from shelfline.operators import resolution as E
 from shelfline.operators import telemetry as T
-from shelfline.plans import ingest, market, pages, scans, views  # noqa: F401 - they register their queries
+from shelfline.plans import crawl, ingest, market, pages, scans, views  # noqa: F401 - they register their queries
 from shelfline.plans import sql as S
 from shelfline.plans.register import oracle_sql, queries, query  # noqa: F401
 from shelfline.plans.register import with_ctes as _with
@@ -253,7 +253,7 @@ def offer_history(spark, d):
     return C.offer_history(A.offer_events(spark, d))
 
 
-@query(*_with("offer_events", S.RUNS, "SELECT canonical_url, seen_at, seq, previous, status FROM (SELECT *, lag(status) OVER (PARTITION BY canonical_url ORDER BY seen_at, seq) AS previous FROM (SELECT *, CASE WHEN new_availability IN ('in_stock', 'preorder') THEN 'active' WHEN new_availability = 'unavailable' THEN 'unavailable' ELSE 'unknown' END AS status FROM runs)) WHERE previous <> status"))
+@query(*_with("offer_events", S.RUNS, "SELECT canonical_url, seen_at, seq, previous, status FROM (SELECT *, lag(status) OVER (PARTITION BY canonical_url ORDER BY seen_at, seq) AS previous FROM (SELECT *, CASE WHEN NOT page_exists OR new_availability = 'not_listed' THEN 'not_found' WHEN new_availability = 'unavailable' THEN 'inactive' ELSE 'active' END AS status FROM runs)) WHERE previous <> status"))
 def offer_status_transitions(spark, d):
     return C.status_transitions(A.offer_events(spark, d))
 

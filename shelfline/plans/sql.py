@@ -25,7 +25,7 @@ ADAPTERS = {
     "offer_events": """SELECT 'p' || l_partkey AS product_uuid, 'shop' || (l_suppkey % 8) AS site, l_partkey || '/' || (l_suppkey % 8) AS canonical_url,
   CASE WHEN l_linenumber % 4 <> 0 THEN (CAST(round(l_extendedprice * 100) AS BIGINT) // 100) || ',' || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' €' END AS price,
   CASE WHEN l_linenumber % 5 <> 0 THEN CASE WHEN l_linestatus = 'O' THEN 'in_stock' WHEN l_returnflag = 'R' THEN 'unavailable' ELSE 'preorder' END END AS availability,
-  CASE WHEN l_quantity > 40 THEN 'm' || l_orderkey END AS monitored_uuid, CAST(l_shipdate AS TIMESTAMP) AS seen_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""",
+  CASE WHEN l_quantity > 40 THEN 'm' || l_orderkey END AS monitored_uuid, l_quantity <> 13 AS page_exists, CAST(l_shipdate AS TIMESTAMP) AS seen_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""",
     "alerts": """SELECT o_orderkey AS id, 'u' || (o_custkey * 2) AS product_uuid, o_orderpriority AS change_type, o_orderstatus = 'F' AS notified,
   CASE WHEN o_orderkey % 3 = 0 THEN '/shots/' || o_orderkey END AS screenshot_path, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders""",
     "gtin12": "SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 300000000000 AS VARCHAR), 12, '0') AS b FROM part",

