@@ -30,7 +30,7 @@ from shelfline.llm.common import Scratch, renamed_apart, table
 CAPACITY = 4096
 END_ID = 1
 #: Items of a leaf, at least; nodes that merge into one.
-LEAF = 1 << 14
+LEAF = 1 << 12
 FAN = 16
 #: A sequence with fewer free places is nearly full.
 SLACK = 8
