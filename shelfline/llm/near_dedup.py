@@ -11,15 +11,20 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    so many that a pair sharing `must_share` values meets in one of them.
 4. Each list's most central document (most of its values occur elsewhere) is compared with the whole list.
    That links most of a group of copies in one step for each copy, whatever the group's size.
-5. Pairs of a list not yet connected are compared as well.  Of its whole set a document can share only what
-   occurs in documents of other components, and that count bounds the sizes its partners may have.  Copies of
-   one text with edits of their own, too far from each other, so have no partners among themselves, whatever
-   the group's size.  In the list where it first meets, a pair has in common what comes from that value on at
-   most; a side that so can't reach the threshold with any size that occurs in the list is left out.  Pairs
-   that meet within the HEAD rarest values of both are taken once.  Before the exact comparison the union of
-   both sketches estimates similarity, and pairs far below the threshold go.
+5. Documents of lists that still hold several components meet once more.  Of its whole set a document can share
+   only what occurs in documents of other components, and that count bounds the sizes its partners may have.
+   Copies of one text with edits of their own, too far from each other, so have no partners among themselves.
+   The others are listed under runs of retained values: r that follow each other in the order of hashes.  Where
+   two sets are similar, few values part those that they share, so that some r in a row belong to both; sets
+   that share a part only, as texts put together from common blocks do, hardly ever share a run, and lists of
+   runs stay short however many such texts there are.  r grows with the sets (`run_length`).  The union of two
+   sketches estimates similarity, of short ones where a pair meets and of long ones before the exact comparison;
+   pairs far below the threshold go.
 6. Links, all confirmed on full sets, are joined to components.
 
+Nodes are classes of equal sets under numbers of their own; ids come back when components are known, so rows that
+share an id keep all the links of their different texts.
+
 Nothing is capped: a list may have any length, and every pair that could be linked is linked or connected.
 
 Shingles stand as 64-bit hashes throughout, and equal sets are recognised by their size and two 64-bit sums.
@@ -29,6 +34,7 @@ by one.  Two different sets share both sums with a chance of 2**-128 for each pa
 
 from __future__ import annotations
 
+from functools import cache
 from math import ceil, comb
 
 import numpy as np
@@ -41,8 +47,11 @@ from shelfline.llm.hashing import span_hashes, texts_of
 
 #: Values in the sketch that finds suspects, and in the sketch that finds pairs.
 SHORT, LONG = 32, 512
-#: Listed values that travel with each entry of a list, so that most pairs are taken in one of their lists only.
-HEAD = 16
+#: Retained values whose runs are listed; sizes below FINE have run lengths of their own, larger ones are in classes
+#: whose bounds grow by STEP.
+RUNS, FINE, STEP = 2048, 64, 1.25
+#: Retained values that travel with runs, to estimate the similarity of a pair where it meets.
+HEAD = 128
 #: Ids that are sent to every task to thin a table out before it is joined, at most (8 bytes each).
 MOST_SENT = 2_000_000
 #: The chance of overlooking a pair exactly at the threshold, for each of both sketches.
@@ -122,6 +131,11 @@ def _batches(rows, kinds: pa.Schema, size: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
 
 
+def _set_key(found: np.ndarray) -> str:
+    again = _mixed(found + np.uint64(0x632BE59BD9B4E019))
+    return f"{len(found)}:{int(found.sum(dtype=np.uint64)):x}:{int(again.sum(dtype=np.uint64)):x}"
+
+
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     """(uid, n, set_key, sketch): size, a 128-bit fingerprint of the set, and its k smallest hashes, ascending."""
     kinds = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("set_key", pa.string()), ("sketch", pa.list_(pa.int64()))])
@@ -130,24 +144,22 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 for uid, found in _sets(batch.column(0), batch.column(1), words):
-                    again = _mixed(found + np.uint64(0x632BE59BD9B4E019))
-                    key = f"{len(found)}:{int(found.sum(dtype=np.uint64)):x}:{int(again.sum(dtype=np.uint64)):x}"
-                    yield uid, len(found), key, found[:k].view(np.int64)
+                    yield uid, len(found), _set_key(found), found[:k].view(np.int64)
 
     return docs.select("uid", "text").mapInArrow(lambda b: _batches(rows(b), kinds), "uid long, n long, set_key string, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(uid, n, hashes): the whole set of each document, ascending, as little-endian 64-bit integers."""
-    kinds = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
+    """(uid, set_key, n, hashes): the whole set of each document, ascending, as little-endian 64-bit integers."""
+    kinds = pa.schema([("uid", pa.int64()), ("set_key", pa.string()), ("n", pa.int64()), ("hashes", pa.binary())])
 
     def rows(batches):
         for batch in batches:
             if batch.num_rows:
                 for uid, found in _sets(batch.column(0), batch.column(1), words):
-                    yield uid, len(found), found.astype("<u8").tobytes()
+                    yield uid, _set_key(found), len(found), found.astype("<u8").tobytes()
 
-    return docs.select("uid", "text").mapInArrow(lambda b: _batches(rows(b), kinds, 200), "uid long, n long, hashes binary")
+    return docs.select("uid", "text").mapInArrow(lambda b: _batches(rows(b), kinds, 200), "uid long, set_key string, n long, hashes binary")
 
 
 def postings_of(sets: DataFrame, k: int | None = None) -> DataFrame:
@@ -217,6 +229,84 @@ def entries(listed: DataFrame) -> DataFrame:
     return each.select("value", "uid", "n", "central", (F.col("shared") - F.col("at")).cast("long").alias("remaining"))
 
 
+def _no_run(trials: int, p: float, r: int) -> float:
+    """The chance that `trials` draws, each a hit with p, hold no r hits in a row."""
+    chance = [1.0] * r + [1 - p**r]
+    for n in range(r + 1, trials + 1):
+        chance.append(chance[n - 1] - chance[n - r - 1] * (1 - p) * p**r)
+    return chance[trials] if trials >= r else 1.0
+
+
+@cache
+def run_length(n: int, similarity: float) -> int:
+    """How many retained values in a row two sets, the smaller of n, share somewhere if they reach the similarity.
+
+    What they don't share, d of the union's values, parts the c that they do into d + 1 runs at most, so that one
+    has c / (d + 1) of them: always, where RUNS values are the whole sets.  In larger sets more are in a row but for
+    a chance under MISS.
+    """
+    sure, most = 1, int(n * (1 + 1 / similarity) * (1 if n < FINE else STEP) + 1e-9)
+    if most <= RUNS:
+        shared = [(total, ceil(similarity / (1 + similarity) * total - 1e-9)) for total in range(2 * n, most + 1)]
+        sure = min(ceil(c / (total - 2 * c + 1)) for total, c in shared)
+    r = sure
+    while r < n and _no_run(min(n, RUNS), similarity, r + 1) < MISS:
+        r += 1
+    return r
+
+
+def size_classes(least: int, most: int) -> list[int]:
+    """The classes of all sizes from `least` to `most`, each by its smallest size, whose run length all of it has."""
+    found = list(range(max(1, least), min(most, FINE - 1) + 1))
+    low = FINE
+    while low <= most:
+        high = int(low * STEP)
+        if high > least:
+            found.append(low)
+        low = high
+    return found
+
+
+def run_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, uid): of each set the runs of its retained values, for each length that a partner's size may call for."""
+
+    def listed(batches):
+        for batch in batches:
+            keys, uids = [], []
+            for uid, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(raw.as_buffer(), dtype="<u8")
+                sizes = size_classes(ceil(similarity * len(values) - 1e-9), len(values))
+                values = _mixed(values[:RUNS] + np.uint64(0x9FB21C651E98DF25))
+                for r in {run_length(m, similarity) for m in sizes}:
+                    if len(values) >= r:
+                        run = np.full(len(values) - r + 1, r, dtype=np.uint64)
+                        for i in range(r):
+                            run = run * np.uint64(0xC2B2AE3D27D4EB4F) + values[i : i + len(run)]
+                        keys.append(_mixed(run).view(np.int64))
+                        uids.append(np.full(len(run), uid, dtype=np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(uids))], names=["key", "uid"])
+
+    return sets.select("uid", "hashes").mapInArrow(listed, "key long, uid long")
+
+
+def heads(sets: DataFrame) -> DataFrame:
+    """(uid, head): the smallest HEAD hashes of each set."""
+    return postings_of(sets.select("uid", "n", "hashes"), HEAD).groupBy("uid").agg(F.collect_list("value").alias("head"))
+
+
+def _alike(x: str, y: str, similarity: float) -> F.Column:
+    """Whether the union of two heads, a sample of the sets' union or all of it, holds enough that is in both."""
+    both = F.array_intersect(f"{x}.head", f"{y}.head")
+    # The order of unsigned hashes is that of their bits with the first turned.
+    order = lambda a: F.array_sort(F.transform(a, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
+    union = order(F.array_union(f"{x}.head", f"{y}.head"))
+    last = F.get(union, F.least(F.size(union), F.lit(HEAD)) - 1)
+    sampled = F.size(F.filter(both, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))) <= last)) >= must_share(HEAD, similarity)
+    whole = F.size(both) >= F.lit(similarity - 1e-9) * F.size(union)
+    return F.when(F.greatest(f"{x}.n", f"{y}.n") <= HEAD, whole).otherwise(sampled | (F.size(union) < HEAD))
+
+
 def only(df: DataFrame, uids: DataFrame) -> DataFrame:
     """Rows of `df` whose uid is in `uids` (distinct): few enough ids are sent to the tasks, so `df` stays where it is."""
     if uids.limit(MOST_SENT + 1).count() <= MOST_SENT:
@@ -299,22 +389,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     Rows whose sets reach the similarity are linked, equal sets included; component_id is the smallest id that
     links reach, and kept is true for its row.  Texts without words, null ones among them, have empty sets and
-    link with nothing.  Ids are integers and should be unique: for rows that share one, one of their sets is
-    compared with others', and equal sets are linked.  Null ids are never linked (component_id null, kept).  An empty table gives no rows; other
+    link with nothing.  Ids are integers; rows that share one are documents of their own, with all the links of
+    each.  Null ids are never linked (component_id null, kept).  An empty table gives no rows; other
     columns play no part.  `similarity` counts in whole hundredths.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("uid"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
     drawn = stored(sketches(own, words, SHORT), "sketches", compression="zstd")
     real = drawn.filter("n > 0 and uid is not null")
-    classes = real.groupBy("set_key").agg(F.min("uid").alias("rep"))
-    # Of each class one row goes on: the one whose id is the smallest.
-    reps = scratch.stored(real.join(classes, (F.col("uid") == F.col("rep")) & (real["set_key"] == classes["set_key"])).groupBy("uid").agg(F.min(F.struct("n", "sketch")).alias("own")).select("uid", "own.*"), "reps", compression="zstd")
-    suspected = checkpointed(suspects(reps, SHORT, similarity))
-    texts = only(own, suspected)
-    if not drawn.groupBy("uid").count().filter("uid is not null and count > 1").isEmpty():
-        texts = texts.groupBy("uid").agg(F.min("text").alias("text"))
-    sets = scratch.stored(full_sets(texts, words), "sets", compression="zstd")
+    # Classes of equal sets: a number, the smallest id, and the size and sketch, which all rows of one share.
+    classes = real.groupBy("set_key").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.stored(classes.withColumn("number", F.monotonically_increasing_id()), "classes", compression="zstd")
+    suspected = checkpointed(suspects(classes.select(F.col("number").alias("uid"), "n", "sketch"), SHORT, similarity))
+    wanted = only(classes.select(F.col("number").alias("uid"), "rep", "set_key"), suspected).withColumnRenamed("uid", "number")
+    wanted = scratch.stored(wanted, "wanted", compression="zstd")
+    texts = only(own, wanted.select(F.col("rep").alias("uid")).distinct())
+    few = wanted.count() <= MOST_SENT
+    numbers = wanted.select("number", F.col("rep").alias("uid"), "set_key")
+    sets = full_sets(texts, words).join(F.broadcast(numbers) if few else numbers, ["uid", "set_key"]).select(F.col("number").alias("uid"), "n", "hashes")
+    if not drawn.groupBy("uid", "set_key").count().filter("uid is not null and count > 1").isEmpty():
+        sets = sets.dropDuplicates(["uid"])  # repeated rows
+    sets = scratch.stored(sets, "sets", compression="zstd")
     listed = scratch.stored(lists(sets, LONG, similarity), "lists", compression="zstd")
 
     rank = F.struct(-F.col("central"), "uid")
@@ -335,33 +430,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rest = spread.filter(reachable).join(labels, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     # A list whose members are all connected already has nothing left to find.
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
-    rest = rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "hub")
-    rest = scratch.stored(rest, "rest", compression="zstd")
-    sizes = checkpointed(partner_sizes(sets, rest.select("uid", "component").distinct(), similarity))
-    rest = rest.join(sizes, "uid").join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
-    common = F.array_intersect("x.head", "y.head")
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = scratch.stored(rest.join(several, "value", "left_semi").select("uid", "component").distinct(), "rest", compression="zstd")
+    sizes = checkpointed(partner_sizes(sets, rest, similarity))
+    left = rest.join(sizes, "uid").join(listed.select("uid", "n"), "uid").select("uid", "component", "n", "most")
+    able = only(sets, sizes.select("uid"))
+    runs = scratch.stored(run_keys(able, similarity).join(left, "uid"), "keys", compression="zstd")
+    met_in = runs.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    runs = scratch.stored(runs.join(met_in, "key", "left_semi").join(heads(able), "uid"), "runs", compression="zstd")
+    x, y = runs.alias("x"), runs.alias("y")
     met = (
-        (F.col("x.value") == F.col("y.value"))
+        (F.col("x.key") == F.col("y.key"))
         & (F.col("x.uid") < F.col("y.uid"))
         & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.uid") != F.col("x.hub"))
-        & (F.col("y.uid") != F.col("y.hub"))
         & (F.col("x.n") <= F.col("y.most"))
         & (F.col("y.n") <= F.col("x.most"))
         & (F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n"))
-        & (
-            (F.greatest("x.n", "y.n") > int(LONG * similarity))
-            | _reach(F.least("x.remaining", "y.remaining"), F.col("x.n"), F.col("y.n"), similarity)
-        )
-        & F.coalesce(F.get(common, F.lit(0)) == F.col("x.value"), F.lit(True))
+        & _alike("x", "y", similarity)
     )
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     second = linked(checkpointed(others), sets, LONG, similarity)
-    final = components(first.union(second))
-    scratch.clear()
+    final = components(first.union(second)).join(classes.select(F.col("number").alias("uid"), "rep"), "uid")
+    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = scratch.stored(final.join(least, "component").select("uid", "component_id"), "found")
 
-    by_class = classes.join(final, F.col("rep") == F.col("uid"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    by_class = classes.join(found, F.col("number") == F.col("uid"), "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    by_class = stored(by_class, "components", compression="zstd")
+    scratch.clear()
     out = drawn.join(by_class, "set_key", "left")
     component = F.when(F.col("uid").isNull() | (F.col("n") == 0), F.col("uid")).otherwise(F.coalesce("component_id", "uid"))
     return out.select(

@@ -80,6 +80,56 @@ def test_must_share_is_monotone():
     assert 350 < N.must_share(512, 0.85) < 435
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a, b, c = sentence(1, 60), sentence(2, 60), sentence(3, 60)
+    rows = [(5, a), (5, b), (7, a + " one"), (9, b + " one"), (9, c), (9, c), (4, c + " one"), (11, None), (11, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found(spark, rows, words=3, similarity=0.85)[1])
+    want = [(5, 58, 5, True), (5, 58, 5, True), (7, 59, 5, False), (9, 59, 5, False), (9, 58, 4, False), (9, 58, 4, False), (4, 59, 4, True), (11, 0, 11, True), (11, 58, 5, False)]
+    assert got == sorted(want)
+
+
+def test_similar_sets_share_a_run():
+    """Any two sets that reach the similarity share a run of the length that their sizes call for."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        n = rng.choice([*range(1, 70), 90, 200])
+        s = rng.choice([0.8, 0.85])
+        m = rng.randint(n, int(n / s))
+        c = -(-round(s * 100) * (n + m) // (100 + round(s * 100)))
+        if c > n:
+            continue
+        union = ["x"] * (n - c) + ["y"] * (m - c) + ["b"] * c
+        rng.shuffle(union)
+        longest = max(map(len, re.split("[xy]", "".join(union))))
+        (own,) = N.size_classes(n, n)
+        assert own in N.size_classes(-(-round(s * 100) * m // 100), m)
+        assert longest >= N.run_length(own, s)
+
+
+def test_classes_cover_all_sizes():
+    for least, most in [(1, 1), (3, 9), (50, 80), (64, 64), (79, 81), (900, 1100), (5, 3000)]:
+        of = lambda n: [c for c in N.size_classes(n, n)]
+        assert N.size_classes(least, most) == sorted({of(n)[0] for n in range(least, most + 1)})
+        assert all(len(of(n)) == 1 and of(n)[0] <= n for n in range(least, most + 1))
+
+
+def test_texts_of_common_blocks_make_few_pairs(spark, monkeypatch):
+    """Texts that share everything with others, block by block, but no text with another: hardly a pair is compared."""
+    rng = random.Random(6)
+    blocks = [" ".join(f"b{k}w{i}" for i in range(40)) for k in range(30)]
+    compared, plain = [], N.linked
+    monkeypatch.setattr(N, "linked", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    second = {}
+    for size in (100, 400):
+        rows = [(i, " ".join(rng.sample(blocks, 12))) for i in range(size)]
+        compared.clear()
+        got = found(spark, rows, words=3, similarity=0.85)[0]
+        if size == 100:
+            assert got == brute(rows, 3, 85)
+        second[size] = compared[1]
+    assert second[400] <= 40, second
+
+
 def test_distant_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     """Copies with edits of their own, each too far from every other: the pairs compared stay in proportion to them."""
     rng, base, rows = random.Random(5), sentence(11, 620).split(), []
