@@ -100,11 +100,15 @@ def readings_of(events: DataFrame) -> DataFrame:
 
 
 def offer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of offers over time, keyed by canonical_url."""
+    return offer_events_of(table(spark, sf_dir, "lineitem"))
+
+
+def offer_events_of(lineitem: DataFrame) -> DataFrame:
+    """Sightings of offers over time, keyed by canonical_url; from a table or a batch of a stream."""
     cents = F.expr("cast(round(l_extendedprice * 100) as bigint)")
     price = F.concat((F.expr("cast(round(l_extendedprice * 100) as bigint) div 100")).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
     availability = F.when(F.col("l_linestatus") == "O", "in_stock").when(F.col("l_returnflag") == "R", "unavailable").otherwise("preorder")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.concat(F.lit("p"), F.col("l_partkey")).alias("product_uuid"),
         F.concat(F.lit("shop"), F.col("l_suppkey") % 8).alias("site"),
         F.concat_ws("/", F.col("l_partkey").cast("string"), (F.col("l_suppkey") % 8).cast("string")).alias("canonical_url"),

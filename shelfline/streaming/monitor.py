@@ -7,7 +7,7 @@ same step as the batch fold, so both give the same rows for readings that arrive
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,21 +69,3 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
-
-
-def routed(sinks: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands a batch to each sink in order; one that fails does not stop the others."""
-
-    def handle(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        failed = []
-        for name, sink in sinks.items():
-            try:
-                sink(batch)
-            except Exception as error:  # noqa: BLE001 - isolation is the point; all failures are raised below
-                failed.append(f"{name}: {error}")
-        batch.unpersist()
-        if failed:
-            raise RuntimeError("; ".join(failed))
-
-    return handle
