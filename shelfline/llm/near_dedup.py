@@ -11,15 +11,15 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    so many that a pair sharing `must_share` values meets in one of them.
 4. Each list's most central document (most of its values occur elsewhere) is compared with the whole list.
    That links most of a group of copies in one step for each copy, whatever the group's size.
-5. Documents of lists that still hold several components meet once more.  Of its whole set a document can share
-   only what occurs in documents of other components, and that count bounds the sizes its partners may have.
-   Copies of one text with edits of their own, too far from each other, so have no partners among themselves.
-   The others are listed under runs of retained values: r that follow each other in the order of hashes.  Where
-   two sets are similar, few values part those that they share, so that some r in a row belong to both; sets
-   that share a part only, as texts put together from common blocks do, hardly ever share a run, and lists of
-   runs stay short however many such texts there are.  r grows with the sets (`run_length`).  The union of two
-   sketches estimates similarity, of short ones where a pair meets and of long ones before the exact comparison;
-   pairs far below the threshold go.
+5. Pairs of a list not yet connected are compared as well.  Of its whole set a document can share only what
+   occurs in documents of other components, and that count bounds the sizes its partners may have.  Copies of
+   one text with edits of their own, too far from each other, so have no partners among themselves, whatever
+   the group's size.  In the list where it first meets, a pair has in common what comes from that value on at
+   most; a side that so can't reach the threshold with any size that occurs in the list is left out.  Pairs
+   that meet within the HEAD rarest values of both are taken once.  A signature of BITS bits travels with every
+   entry: one bit of the smallest value in each part of the hashes' range.  Bits that differ estimate similarity
+   where two entries meet, so that texts put together from common blocks, which share every list and no more
+   than a part, become no pair.  Before the exact comparison the union of both sketches estimates it again.
 6. Links, all confirmed on full sets, are joined to components.
 
 Nodes are classes of equal sets under numbers of their own; ids come back when components are known, so rows that
@@ -47,11 +47,11 @@ from shelfline.llm.hashing import span_hashes, texts_of
 
 #: Values in the sketch that finds suspects, and in the sketch that finds pairs.
 SHORT, LONG = 32, 512
-#: Retained values whose runs are listed; sizes below FINE have run lengths of their own, larger ones are in classes
-#: whose bounds grow by STEP.
-RUNS, FINE, STEP = 2048, 64, 1.25
-#: Retained values that travel with runs, to estimate the similarity of a pair where it meets.
-HEAD = 128
+#: Listed values that travel with each entry of a list, so that most pairs are taken in one of their lists only.
+HEAD = 16
+#: Bits of the signature that travels with each entry, and the words of 64 bits that hold them.
+BITS = 1024
+WORDS = BITS // 64
 #: Ids that are sent to every task to thin a table out before it is joined, at most (8 bytes each).
 MOST_SENT = 2_000_000
 #: The chance of overlooking a pair exactly at the threshold, for each of both sketches.
@@ -229,82 +229,53 @@ def entries(listed: DataFrame) -> DataFrame:
     return each.select("value", "uid", "n", "central", (F.col("shared") - F.col("at")).cast("long").alias("remaining"))
 
 
-def _no_run(trials: int, p: float, r: int) -> float:
-    """The chance that `trials` draws, each a hit with p, hold no r hits in a row."""
-    chance = [1.0] * r + [1 - p**r]
-    for n in range(r + 1, trials + 1):
-        chance.append(chance[n - 1] - chance[n - r - 1] * (1 - p) * p**r)
-    return chance[trials] if trials >= r else 1.0
+def signatures(sets: DataFrame) -> DataFrame:
+    """(uid, s0, s1, ...): a bit of the smallest hash in each of BITS parts of the hashes' range, 0 for an empty part."""
+    names = [f"s{i}" for i in range(WORDS)]
 
-
-@cache
-def run_length(n: int, similarity: float) -> int:
-    """How many retained values in a row two sets, the smaller of n, share somewhere if they reach the similarity.
-
-    What they don't share, d of the union's values, parts the c that they do into d + 1 runs at most, so that one
-    has c / (d + 1) of them: always, where RUNS values are the whole sets.  In larger sets more are in a row but for
-    a chance under MISS.
-    """
-    sure, most = 1, int(n * (1 + 1 / similarity) * (1 if n < FINE else STEP) + 1e-9)
-    if most <= RUNS:
-        shared = [(total, ceil(similarity / (1 + similarity) * total - 1e-9)) for total in range(2 * n, most + 1)]
-        sure = min(ceil(c / (total - 2 * c + 1)) for total, c in shared)
-    r = sure
-    while r < n and _no_run(min(n, RUNS), similarity, r + 1) < MISS:
-        r += 1
-    return r
-
-
-def size_classes(least: int, most: int) -> list[int]:
-    """The classes of all sizes from `least` to `most`, each by its smallest size, whose run length all of it has."""
-    found = list(range(max(1, least), min(most, FINE - 1) + 1))
-    low = FINE
-    while low <= most:
-        high = int(low * STEP)
-        if high > least:
-            found.append(low)
-        low = high
-    return found
-
-
-def run_keys(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, uid): of each set the runs of its retained values, for each length that a partner's size may call for."""
-
-    def listed(batches):
+    def signed(batches):
         for batch in batches:
-            keys, uids = [], []
-            for uid, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = np.zeros((batch.num_rows, WORDS), dtype=np.int64)
+            for i, raw in enumerate(batch.column(1)):
                 values = np.frombuffer(raw.as_buffer(), dtype="<u8")
-                sizes = size_classes(ceil(similarity * len(values) - 1e-9), len(values))
-                values = _mixed(values[:RUNS] + np.uint64(0x9FB21C651E98DF25))
-                for r in {run_length(m, similarity) for m in sizes}:
-                    if len(values) >= r:
-                        run = np.full(len(values) - r + 1, r, dtype=np.uint64)
-                        for i in range(r):
-                            run = run * np.uint64(0xC2B2AE3D27D4EB4F) + values[i : i + len(run)]
-                        keys.append(_mixed(run).view(np.int64))
-                        uids.append(np.full(len(run), uid, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(uids))], names=["key", "uid"])
+                part, first = np.unique(values >> np.uint64(64 - (BITS - 1).bit_length()), return_index=True)
+                bits = np.zeros(BITS, dtype=np.uint8)
+                bits[part.astype(np.int64)] = (_mixed(values[first] + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(63)).astype(np.uint8)
+                rows[i] = np.packbits(bits).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["uid", *names])
 
-    return sets.select("uid", "hashes").mapInArrow(listed, "key long, uid long")
+    return sets.select("uid", "hashes").mapInArrow(signed, "uid long, " + ", ".join(f"{n} long" for n in names))
 
 
-def heads(sets: DataFrame) -> DataFrame:
-    """(uid, head): the smallest HEAD hashes of each set."""
-    return postings_of(sets.select("uid", "n", "hashes"), HEAD).groupBy("uid").agg(F.collect_list("value").alias("head"))
+@cache
+def most_differing(similarity: float) -> list[int]:
+    """By the size of the union, up to BITS: how many bits of two sets that reach the similarity differ at most.
+
+    A part that both fill alike has equal bits, and of the others half.  What the sets don't share is at most
+    (1 - similarity) of the union, and no more parts can differ; more than that many do with a chance under MISS.
+    """
+    p, out = (1 - similarity) / 2, []
+    for union in range(BITS + 1):
+        most, chance, term = int((1 - similarity) * union + 1e-9), 1.0, (1 - p) ** union
+        for k in range(most + 1):
+            chance -= term
+            if chance < MISS:
+                most = k
+                break
+            term *= (union - k) / (k + 1) * p / (1 - p)
+        out.append(most)
+    return out
 
 
 def _alike(x: str, y: str, similarity: float) -> F.Column:
-    """Whether the union of two heads, a sample of the sets' union or all of it, holds enough that is in both."""
-    both = F.array_intersect(f"{x}.head", f"{y}.head")
-    # The order of unsigned hashes is that of their bits with the first turned.
-    order = lambda a: F.array_sort(F.transform(a, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
-    union = order(F.array_union(f"{x}.head", f"{y}.head"))
-    last = F.get(union, F.least(F.size(union), F.lit(HEAD)) - 1)
-    sampled = F.size(F.filter(both, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))) <= last)) >= must_share(HEAD, similarity)
-    whole = F.size(both) >= F.lit(similarity - 1e-9) * F.size(union)
-    return F.when(F.greatest(f"{x}.n", f"{y}.n") <= HEAD, whole).otherwise(sampled | (F.size(union) < HEAD))
+    """Whether so few bits of two signatures differ that the sets may reach the similarity."""
+    differ = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0")))
+    for i in range(1, WORDS):
+        differ = differ + F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}")))
+    union = F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(1 + similarity) + F.lit(1e-9))
+    # Unions of more values fill all parts at most, and the limit doesn't fall with the size.
+    limit = F.get(F.lit(most_differing(similarity)), F.least(union, F.lit(BITS)).cast("int"))
+    return differ <= limit
 
 
 def only(df: DataFrame, uids: DataFrame) -> DataFrame:
@@ -430,22 +401,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rest = spread.filter(reachable).join(labels, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     # A list whose members are all connected already has nothing left to find.
     several = rest.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("value")
-    rest = scratch.stored(rest.join(several, "value", "left_semi").select("uid", "component").distinct(), "rest", compression="zstd")
-    sizes = checkpointed(partner_sizes(sets, rest, similarity))
-    left = rest.join(sizes, "uid").join(listed.select("uid", "n"), "uid").select("uid", "component", "n", "most")
-    able = only(sets, sizes.select("uid"))
-    runs = scratch.stored(run_keys(able, similarity).join(left, "uid"), "keys", compression="zstd")
-    met_in = runs.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    runs = scratch.stored(runs.join(met_in, "key", "left_semi").join(heads(able), "uid"), "runs", compression="zstd")
-    x, y = runs.alias("x"), runs.alias("y")
+    rest = rest.join(several, "value", "left_semi").select("value", "uid", "n", "remaining", "component", "hub")
+    rest = scratch.stored(rest, "rest", compression="zstd")
+    sizes = checkpointed(partner_sizes(sets, rest.select("uid", "component").distinct(), similarity))
+    rest = rest.join(sizes, "uid").join(listed.select("uid", F.slice("rare", 1, HEAD).alias("head")), "uid")
+    signed = scratch.stored(signatures(only(sets, sizes.select("uid"))), "signatures", compression="zstd")
+    rest = rest.join(signed, "uid")
+    common = F.array_intersect("x.head", "y.head")
+    x, y = rest.alias("x"), rest.alias("y")
     met = (
-        (F.col("x.key") == F.col("y.key"))
+        (F.col("x.value") == F.col("y.value"))
         & (F.col("x.uid") < F.col("y.uid"))
         & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.uid") != F.col("x.hub"))
+        & (F.col("y.uid") != F.col("y.hub"))
         & (F.col("x.n") <= F.col("y.most"))
         & (F.col("y.n") <= F.col("x.most"))
         & (F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n"))
+        & (
+            (F.greatest("x.n", "y.n") > int(LONG * similarity))
+            | _reach(F.least("x.remaining", "y.remaining"), F.col("x.n"), F.col("y.n"), similarity)
+        )
         & _alike("x", "y", similarity)
+        & F.coalesce(F.get(common, F.lit(0)) == F.col("x.value"), F.lit(True))
     )
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     second = linked(checkpointed(others), sets, LONG, similarity)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from shelfline.llm import near_dedup as N
 from tests.llm.helpers import documents, sentence
 
@@ -88,29 +90,24 @@ def test_rows_that_share_an_id_keep_their_links(spark):
     assert got == sorted(want)
 
 
-def test_similar_sets_share_a_run():
-    """Any two sets that reach the similarity share a run of the length that their sizes call for."""
+def test_signatures_of_similar_sets_differ_in_few_bits(spark):
+    """Sets just at the similarity stay under the limit; sets that share a third are far over it."""
     rng = random.Random(8)
-    for _ in range(3000):
-        n = rng.choice([*range(1, 70), 90, 200])
-        s = rng.choice([0.8, 0.85])
-        m = rng.randint(n, int(n / s))
-        c = -(-round(s * 100) * (n + m) // (100 + round(s * 100)))
-        if c > n:
-            continue
-        union = ["x"] * (n - c) + ["y"] * (m - c) + ["b"] * c
-        rng.shuffle(union)
-        longest = max(map(len, re.split("[xy]", "".join(union))))
-        (own,) = N.size_classes(n, n)
-        assert own in N.size_classes(-(-round(s * 100) * m // 100), m)
-        assert longest >= N.run_length(own, s)
-
-
-def test_classes_cover_all_sizes():
-    for least, most in [(1, 1), (3, 9), (50, 80), (64, 64), (79, 81), (900, 1100), (5, 3000)]:
-        of = lambda n: [c for c in N.size_classes(n, n)]
-        assert N.size_classes(least, most) == sorted({of(n)[0] for n in range(least, most + 1)})
-        assert all(len(of(n)) == 1 and of(n)[0] <= n for n in range(least, most + 1))
+    draw = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    pack = lambda values: b"".join(v.to_bytes(8, "little") for v in sorted(values))
+    rows, kinds = [], {}
+    for k, (n, share) in enumerate([(n, s) for n in (7, 40, 300, 3000) for s in (0.85, 0.85, 0.4, 0.4)]):
+        both = draw(int(-(-share * n // 1)))
+        rest = n - len(both)
+        rows += [(2 * k, len(both) + rest // 2, pack(both + draw(rest // 2))), (2 * k + 1, len(both) + rest - rest // 2, pack(both + draw(rest - rest // 2)))]
+        kinds[k] = (n, share)
+    sets = spark.createDataFrame(rows, "uid long, n long, hashes binary")
+    signed = sets.select("uid", "n").join(N.signatures(sets), "uid")
+    x, y = signed.alias("x"), signed.alias("y")
+    near = {r.k for r in x.join(y, F.expr("x.uid + 1 = y.uid AND x.uid % 2 = 0")).filter(N._alike("x", "y", 0.85)).selectExpr("x.uid div 2 AS k").collect()}
+    assert all((k in near) == (share == 0.85) for k, (n, share) in kinds.items() if n >= 40 or share == 0.85)
+    limits = N.most_differing(0.85)
+    assert limits == sorted(limits) and all(limit <= 0.15 * u + 1e-9 for u, limit in enumerate(limits))
 
 
 def test_texts_of_common_blocks_make_few_pairs(spark, monkeypatch):
