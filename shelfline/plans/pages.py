@@ -23,7 +23,7 @@ def _dealt(values) -> str:
 
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-_BLOCK = f"replace(replace(replace({_dealt(A.MARKET_BLOCKS)}, '{{n}}', CAST(page_id AS VARCHAR)), '{{p}}', CAST(page_id % 900 + 100 AS VARCHAR)), '{{t}}', {_TITLE})"
+_BLOCK = f"replace(replace(replace(replace(replace({_dealt(A.MARKET_BLOCKS)}, '{{n}}', CAST(page_id AS VARCHAR)), '{{p}}', CAST(page_id % 900 + 100 AS VARCHAR)), '{{t}}', {_TITLE}), '{{a}}', lpad(CAST(page_id AS VARCHAR), 8, '0')), '{{e}}', lpad(CAST(page_id * 10 AS VARCHAR), 13, '4'))"
 _WHERE = _dealt(A.DELIVERIES)
 _GLOW = f"CASE WHEN {_WHERE} <> '' THEN '<div id=\"nav-global-location-slot\"><span id=\"glow-ingress-line2\">' || {_WHERE} || '</span></div>' ELSE '' END"
 _DATA = "CASE WHEN page_id % 2 = 0 THEN '<script type=\"application/ld+json\">{\"@type\":\"Product\"}</script>' ELSE '' END"

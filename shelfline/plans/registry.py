@@ -12,7 +12,7 @@ from shelfline.operators import changes as G
 from shelfline.operators import relational as R
 from shelfline.operators import resolution as E
 from shelfline.operators import telemetry as T
-from shelfline.plans import crawl, ingest, market, pages, scans, streams, views  # noqa: F401 - they register their queries
+from shelfline.plans import crawl, ingest, market, pages, scans, streams, told, views  # noqa: F401 - they register their queries
 from shelfline.plans import sql as S
 from shelfline.plans.register import oracle_sql, queries, query  # noqa: F401
 from shelfline.plans.register import with_ctes as _with

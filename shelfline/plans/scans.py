@@ -19,93 +19,6 @@ def _rows(forms: int, expected: list[tuple], *names: str) -> str:
     return f"SELECT p_partkey AS key, e.* EXCLUDE (form) FROM part JOIN (VALUES {values}) e(form, {', '.join(names)}) ON p_partkey % {forms} = form"
 
 
-_CARDS = """<ul><li><div><h3><a href="/p/coffret-1"> Coffret
- rare </a></h3><img data-src="/i/1.png"><b>12,90</b> <b>€</b></div></li>
-<li><div><h3><a href="/p/coffret-1">Coffret encore</a></h3></div></li>
-<li><div><h3><a href="https://autre.example/produit/2?x=1" aria-label="Deuxième coffret"><img src="data:x" srcset="b.png 1x, c.png 2x"></a></h3><i>€ 7.50</i></div></li>
-<li><div><h3><a href="/p/x">ab</a></h3></div></li><li><a href="mailto:a@b.example">Écrire</a><a href="/aide">Aide en ligne</a></ul>"""
-_LOOSE = "<a href='p/3' title='Par son titre'></a><script>12,90 €</script><a href='#haut'><img alt='Par son image' src='/z.png'></a><p>3.00 €"
-_HOME = "https://boutique.example/liste/"
-LISTINGS = [(_HOME, _CARDS), (_HOME, _LOOSE), (_HOME, None), (_HOME, "")]
-LISTED = [
-    (0, "https://boutique.example/p/coffret-1", "Coffret rare", "https://boutique.example/i/1.png", "12,90 €", 0),
-    (0, "https://autre.example/produit/2?x=1", "Deuxième coffret", "https://boutique.example/liste/b.png", "7,50 €", 2),
-    (1, "https://boutique.example/liste/p/3", "Par son titre", "https://boutique.example/z.png", "3,00 €", 0),
-]
-
-
-@query("", _rows(len(LISTINGS), LISTED, "url", "title", "image_url", "price", "pos"))
-def listing_products(spark, d):
-    found = L.listing_products(_forms(spark, d, LISTINGS, "url", "html"), ("/p/", "/PRODUIT"))
-    return found.select("key", "url", "title", "image_url", "price", "pos")
-
-
-_FOUND = """<div><div><div><h2><a href="/Coffret/dp/B000000001/ref=1">Coffret numéro un</a></h2></div>
-<span class="a-price"><span class="a-offscreen">1 299,00 €</span></span><img src="https://i.example/1.jpg"></div></div>
-<div><div><div><div><a href="https://www.amazon.de/gp/product/b000000002?th=1">Set</a><a href="https://www.amazon.de/dp/B000000002">Set Nummer zwei</a></div></div></div></div>
-<a href="/dp/B000000001?x">Encore le premier</a><a href="/gp/help">Aide et contact</a>"""
-MARKET_LISTINGS = [("https://www.amazon.fr/s?k=coffret", _FOUND), ("https://www.amazon.fr/s?k=rien", "<p>Aucun résultat</p>"), ("https://www.amazon.fr/s", None)]
-MARKET_LISTED = [
-    (0, "https://www.amazon.fr/dp/B000000001", "Coffret numéro un", "https://i.example/1.jpg", "1299,00 €"),
-    (0, "https://www.amazon.de/dp/B000000002", "Set Nummer zwei", None, None),
-]
-
-
-@query("", _rows(len(MARKET_LISTINGS), MARKET_LISTED, "url", "title", "image_url", "price"))
-def market_listing(spark, d):
-    return L.market_listing(_forms(spark, d, MARKET_LISTINGS, "url", "html")).select("key", "url", "title", "image_url", "price")
-
-
-_MAP = "<urlset><url><loc>https://boutique.example/p/coffret-1</loc></url><url><loc>https://boutique.example/p/jeu_de-CARTES.html?v=2</loc></url><url><loc>https://boutique.example/aide</loc></url></urlset>"
-SCANS = [(_HOME, _CARDS, _MAP), (_HOME, "", _MAP), (_HOME, _LOOSE, "<urlset></urlset>")]
-_MAPPED = ("https://boutique.example/p/jeu_de-CARTES.html?v=2", "Jeu De Cartes", "sitemap")
-SCANNED = [
-    (0, "https://boutique.example/p/coffret-1", "Coffret rare", _HOME), (0, *_MAPPED), (1, "https://boutique.example/p/coffret-1", "Coffret 1", "sitemap"), (1, *_MAPPED),
-    (2, "https://boutique.example/liste/p/3", "Par son titre", _HOME),
-]
-
-
-def _scan(spark, d):
-    forms = _forms(spark, d, SCANS, "url", "html", "body").withColumn("site", F.col("key"))
-    return L.site_scan(forms.select("site", "key", "url", "html"), forms.select("site", "body"), ("/p/",))
-
-
-@query("", _rows(len(SCANS), SCANNED, "url", "title", "source"))
-def site_scan_products(spark, d):
-    return _scan(spark, d)[0].withColumnRenamed("site", "key")
-
-
-@query("", _rows(len(SCANS), [(0, True, 2), (1, False, 2), (2, False, 2)], "complete", "sources_scanned"))
-def site_scan_reports(spark, d):
-    return _scan(spark, d)[1].withColumnRenamed("site", "key")
-
-
-_TABLE = """<script type="application/ld+json">{"@type":"Product","gtin13":"4006381333931","brand":"Balisage","mpn":"ab 1"}</script>
-<table><tr><th>Marque : <td>Fabrique<tr><th>Numéro de pièce fabricant</th><td>zz 9</td></tr><tr><th>Code EAN</th><td>123</td></tr>
-<tr><th>Date de sortie</th><td>le 1/9/2026</td></tr><tr><td>Seule</td></tr></table>
-<div id="detailBullets_feature_div"><ul><li><span>UPC :</span><span>036000291452</span></li><li><span>Série</span><span>Or</span></li></ul></div>"""
-DETAILS = [("https://www.amazon.fr/dp/B000000001", _TABLE), ("https://www.amazon.fr/x", '<script>{"ASIN": "B000000009"}</script>'), ("https://www.amazon.fr/x", None)]
-DETAILED = [
-    (0, "asin", "B000000001", 98), (0, "brand", "Fabrique", 85), (0, "mpn", "ZZ-9", 92), (0, "release_date", "2026-09-01", 88),
-    (0, "upc", "036000291452", 100), (0, "ean", "0036000291452", 100), (0, "collection", "Or", 85), (1, "asin", "B000000009", 98),
-]
-#: With structured data before it: its EAN, GTIN, brand and part number are believed as much or more.
-CHAINED = [r for r in DETAILED if r[:2] not in ((0, "brand"), (0, "mpn"), (0, "ean"))] + [
-    (0, "ean", "4006381333931", 100), (0, "gtin", "4006381333931", 100), (0, "brand", "Balisage", 90), (0, "mpn", "AB-1", 95),
-]
-
-
-@query("", _rows(len(DETAILS), DETAILED, "field", "value", "confidence"))
-def market_details(spark, d):
-    return L.detail_facts(_forms(spark, d, DETAILS, "url", "html"))
-
-
-@query("", _rows(len(DETAILS), CHAINED, "field", "value", "confidence"))
-def identity_chain(spark, d):
-    pages = _forms(spark, d, DETAILS, "url", "html")
-    return L.chained(L.markup_facts(pages), L.detail_facts(pages))
-
-
 _EMPTY, _CART, _SOON = "<p>Chargement</p>", "<button>Ajouter au panier</button><i class='price'>9,99 €</i>", "<button>Bientôt disponible</button>"
 # status, source, page, page as rendered / availability, action, price, read twice
 READ = [

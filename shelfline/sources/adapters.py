@@ -355,12 +355,12 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What a marketplace puts before the article of a page, by page_id modulo their number; {n}, {p} and {t} are the
-#: page's number, a price and its title.
+#: page's number, a price and its title, {a} and {e} its number with eight and thirteen digits.
 MARKET_BLOCKS = (
     '<div id="ppd"><div id="rightCol" class="col right"><div id="desktop_buybox" class="box"><span class="a-price"><span class="a-offscreen">{p},99 €</span></span><div id="availability"><span>En stock</span></div><input id="add-to-cart-button" type="submit" value="Ajouter au panier"><div id="merchant-info">Vendu par Amazon</div></div></div><h1 id="title"><span id="productTitle">{t}</span></h1></div>',
     '<div id="dp"><div id="buybox" class="empty"></div><div id="rightCol" class="col"><div id="availability">Actuellement indisponible.</div></div><span id="productTitle">{t}</span></div>',
     '<div id="desktop_buybox"><div id="corePrice_feature_div"><span class="a-offscreen">1 {p}.50 €</span></div><div id="merchant-info">Vendu par Boutique {n} / Expédié par Amazon</div><input id="buy-now-button" type="submit" value="Acheter maintenant"></div><div id="buybox"><input name="submit.add-to-cart" type="submit" value="Ajouter au panier"></div><div id="qualifiedBuybox"><p>{t}</div><span id="productTitle">{t}</span>',
-    '<div class="a-carousel wide"><ul><li><a href="/x{n}">Demander une invitation</a><li><span>Ajouter au panier</span></ul></div><div id="dp"><span class="a-price"><span class="a-offscreen">{p},00 €</span></span></div>',
+    '<div class="a-carousel wide"><ul><li><a href="/x{n}">Demander une invitation</a><li><span>Ajouter au panier</span><li><div><h2><a href="/Coffret/dp/B1{a}/ref=1">{t}</a></h2><span class="a-price"><span class="a-offscreen">1 {p},00 €</span></span><img src="https://i.example/{n}.jpg"></div></ul></div><div id="dp"><span class="a-price"><span class="a-offscreen">{p},00 €</span></span></div>',
     '<div id="ppd"><span class="a-price"><span class="a-offscreen">{p},10 €</span></span><button id="add-to-cart-button">Ajouter au panier</button><h1 id="title">{t}</h1></div><div class="extra block wide"><span>Disponible sur invitation {n}</span></div>',
     '<div id="buyBoxAccordion"><span id="hdp-invite-button"><button class="a-button" aria-label="Demander une invitation">Voir</button></span><div id="availability"><span>Sur demande</span></div><div id="price_inside_buybox">{p},25 €</div></div><span id="productTitle">{t}</span>',
     "",
@@ -368,11 +368,12 @@ MARKET_BLOCKS = (
     '<form action="/errors/validateCaptcha"><input type="submit" value="Continuer"></form><div id="desktop_buybox"><input id="add-to-cart-button" type="submit" value="Ajouter au panier"></div>',
     '<div id="centerCol"><p><b>{t}<div class="a-price"><i class="a-offscreen">{p},05 €</i></div><input type="submit" name="submit.add-to-cart" value="Précommander cet article {n}"></p><div id="availability">Sortie prochaine</div><ul><li>Edition : Collector {n}<li>Format : Poche</ul></div>',
     '<div id="dp"><div id="desktop_buybox"><div class="x sponsored-box"><input id="add-to-cart-button" type="submit" value="Ajouter au panier"><span>Demander une invitation</span></div></div><div id="outOfStock"><p>Temporairement en rupture de stock</div><h1 id="title"><span>{t}</span></h1></div>',
-    '<div id="dp" class="page main"><span class="a-price"><span class="a-offscreen">{p},30 €</span></span><p class="soon">Cet article sera <i>bientôt disponible</i> {n}</p><div id="variation_size_name"><b class="selection">Taille {n}</b></div><div id="merchant-info">Vendeur : Amazon Amazon</div><span id="productTitle">{t}</span></div>',
+    '<div id="dp" class="page main"><span class="a-price"><span class="a-offscreen">{p},30 €</span></span><p class="soon">Cet article sera <i>bientôt disponible</i> {n}</p><div id="variation_size_name"><b class="selection">Taille {n}</b></div><div id="merchant-info">Vendeur : Amazon Amazon</div><span id="productTitle">{t}</span><p itemprop="brand">Marque {n}</p><p itemprop="mpn">data {n}</p><table><tr><th>Marque :</th><td>Fabrique {n}</td></tr><tr><th>Numéro de pièce fabricant</th><td>zz {n}</td></tr><tr><th>Code EAN</th><td>{e}</td></tr><tr><th>Date de sortie</th><td>le 1/9/2026</td></tr><tr><td>Seule</td></tr></table></div>',
 )
 #: Where a marketplace says that it delivers, by page_id modulo their number; empty: it says nothing.
 DELIVERIES = ("Paris 75001", "France", "", "Livraison en Belgique", "Berlin, Deutschland", "", "à Lyon 69002")
 MARKET_HOSTS = ("www.amazon.fr", "www.amazon.fr", "www.amazon.de")
+MARKET_TLDS = ["fr", "de", "co.uk", "com", "es"]
 
 
 def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +382,7 @@ def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (n % len(of) + 1).cast("int"))
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     block = pick(MARKET_BLOCKS)
-    for mark, value in (("{n}", n.cast("string")), ("{p}", (n % 900 + 100).cast("string")), ("{t}", title)):
+    for mark, value in (("{n}", n.cast("string")), ("{p}", (n % 900 + 100).cast("string")), ("{t}", title), ("{a}", F.lpad(n.cast("string"), 8, "0")), ("{e}", F.lpad((n * 10).cast("string"), 13, "4"))):
         block = F.replace(block, F.lit(mark), value)
     data = F.when(n % 2 == 0, '<script type="application/ld+json">{"@type":"Product"}</script>').otherwise("")
     where = pick(DELIVERIES)
@@ -454,3 +455,58 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What searches would find, in the order of their keys; some keys a merchant can't be asked by."""
     found = tries(spark, sf_dir)
     return found.select("product_uuid", "site", "key_kind", "seq", F.when(F.col("seq") % 11 == 0, "unsupported").otherwise(F.col("status")).alias("status"), "confidence", "found_url")
+
+
+def market_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of articles in all the forms they are found in, and pages' own addresses."""
+    n = F.col("page_id")
+    article = F.concat(F.lit("B0"), F.lpad(n.cast("string"), 8, "0"))
+    tld = F.element_at(F.array(*map(F.lit, MARKET_TLDS)), (n % len(MARKET_TLDS) + 1).cast("int"))
+    url = (
+        F.when(n % 6 == 0, F.concat(F.lit("https://WWW.Amazon."), tld, F.lit("/Coffret-Rare/dp/"), F.lower(article), F.lit("/ref=x?th=1#top")))
+        .when(n % 6 == 1, F.concat(F.lit("http://amazon."), tld, F.lit("/gp/product/"), article))
+        .when(n % 6 == 2, F.concat(F.lit("https://www.amazon."), tld, F.lit("/s?k="), n, F.lit("&asin="), article, F.lit("#f")))
+        .when(n % 6 == 3, F.concat(F.lit("https://www.amazon."), tld, F.lit("/dp/SHORT"), n, F.lit("?language=es_US")))
+        .when(n % 6 == 4, F.col("url")).otherwise(F.concat(F.lit("https://notamazon."), tld, F.lit("/dp/"), article))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+
+
+def market_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of text for every page: prices, dates, sellers, titles, tokens."""
+    n, title = F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    text = (
+        F.when(n % 7 == 0, F.concat(F.lit("Prix : 1 "), n % 900 + 100, F.lit(",99 € le "), n % 28 + 1, F.lit("/"), n % 12 + 1, F.lit("/2026")))
+        .when(n % 7 == 1, F.concat(title, F.lit(" $"), n % 97, F.lit(".50, release 2026-08-"), n % 20 + 10, F.lit(" or 1.2.2020")))
+        .when(n % 7 == 2, F.concat(F.lit("£"), n % 97, F.lit(".99 on "), n % 9 + 1, F.lit("-4-2025"))).when(n % 7 == 3, title)
+        .when(n % 7 == 4, F.concat(F.lit("Vendu par : "), title, F.lit(" "), title, F.lit(" Expédié par Autre"))).when(n % 7 == 5, F.concat(F.lit("sans prix "), n, F.lit(" €"))).otherwise(F.md5(title))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), text.alias("text"))
+
+
+def delivery_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of destinations: all known countries in turn, postcodes, a word of the page between."""
+    from shelfline.functions.market import COUNTRIES
+
+    n = F.col("page_id")
+    name = F.element_at(F.array(*[F.lit(c) for c, _ in COUNTRIES]), (n % len(COUNTRIES) + 1).cast("int"))
+    word = F.get(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " "), 0)
+    label = (
+        F.when(n % 5 == 0, F.concat(F.lit("Livrer à "), name)).when(n % 5 == 1, F.concat(F.lit("Deliver to : "), F.upper(name)))
+        .when(n % 5 == 2, F.concat(F.lit("  Livraison à "), n * 37 % 90000 + 10000, F.lit(" "), word)).when(n % 5 == 3, F.concat(F.lit("Livrer à 75001 "), name))
+        .otherwise(F.concat(F.lit("vers "), word, F.lit(" "), name, F.lit(" demain")))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", label.alias("label"))
+
+
+def analysed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages of offers were found to say, one for each line of an order."""
+    from shelfline.functions.market import STATES
+
+    line = F.col("l_linenumber")
+    action = F.element_at(F.array(*map(F.lit, STATES)), ((F.col("l_orderkey") + line) % len(STATES) + 1).cast("int"))
+    seller = F.when(F.col("l_suppkey") % 3 == 0, "Amazon EU").when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit("Boutique "), "l_suppkey")).otherwise("")
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + line).alias("id"), action.alias("action"), seller.alias("seller"), F.expr("cast(l_quantity * 2 as int)").alias("confidence"),
+        F.when(line % 4 == 1, "US").when(line % 4 != 3, "FR").alias("country"),
+    )
