@@ -70,6 +70,8 @@ ADAPTERS = {
     "stored_attempts": """SELECT *, 'ean' AS key_kind, CASE WHEN status IN ('not_found', 'error') THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(substr(product_uuid, 2) AS INTEGER)) END AS next_retry_at FROM search_attempts""",
     "fetches": f"""SELECT event_id AS id, CASE {_K} % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'browser' WHEN 2 THEN 'api' END AS source, CASE WHEN {_K} < 6 THEN 403 END AS blocked_status,
   CASE WHEN {_K} % 7 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN {_K} % 5 = 0 THEN true WHEN {_K} % 5 <> 1 THEN false END AS fallback FROM events""",
+    "catalog_events": """SELECT event_id AS id, 'u' || user_id AS product_uuid, ['catalog_created', 'catalog_merged', 'catalog_pending', 'discovery_found', 'discovery_imported', 'http_error', 'screenshot'][event_id % 7 + 1] AS kind,
+  CASE WHEN event_id % 7 <> 2 THEN 'e=' || event_id END AS detail, ts AS created_at FROM events""",
     "now": "SELECT max(ts) AS t FROM events",
 }
 NEEDS = {

@@ -10,6 +10,7 @@ from shelfline.operators import changes as G
 from shelfline.operators import relational as R
 from shelfline.operators import resolution as E
 from shelfline.operators import telemetry as T
+from shelfline.operators import stories as Y
 from shelfline.operators import views as V
 from shelfline.plans import sql as S
 from shelfline.plans.register import query, with_ctes
@@ -348,6 +349,36 @@ def product_merchants(spark, d):
     return V.merchants(_offers(spark, d))
 
 
+def _monitored(rows):
+    """Rows of watched products under the names that offers monitor them by."""
+    return rows.withColumn("monitored_uuid", F.concat(F.lit("m"), F.substring("product_uuid", 2, 20))).drop("product_uuid")
+
+
+_MON = S.RUNS + f""",
+{_CH},
+mon AS (SELECT monitored_uuid, product_uuid, min(site) AS site FROM state WHERE monitored_uuid IS NOT NULL GROUP BY ALL),
+mch AS (SELECT 'm' || substr(product_uuid, 2) AS monitored_uuid, * EXCLUDE (product_uuid) FROM lab)"""
+_TOLD = "concat_ws(' · ', coalesce(old_value, '—') || ' → ' || coalesce(new_value, '—'), CASE WHEN change_type LIKE 'price%' THEN new_value END)"
+
+
+@query(*with_ctes("offer_events readings catalog_events", _MON, f"""SELECT product_uuid, first_seen_at AS "at", site, 'Nouvelle fiche' AS label, canonical_url AS detail, 'discovery' AS origin FROM state
+  UNION ALL SELECT m.product_uuid, c.checked_at, m.site, c.label, {_TOLD}, 'monitoring' FROM mch c JOIN mon m USING (monitored_uuid)
+  UNION ALL SELECT m.product_uuid, e.created_at, m.site, CASE kind {' '.join("WHEN '{}' THEN '{}'".format(k, V.EVENT_LABELS[k].replace("'", "''")) for k in Y.STORY_KINDS)} END, e.detail, 'intelligence' FROM catalog_events e JOIN mon m ON m.monitored_uuid = 'm' || substr(e.product_uuid, 2) WHERE kind IN {_listed(Y.STORY_KINDS)}"""))
+def product_stories(spark, d):
+    return Y.stories(_offers(spark, d), _monitored(_changes(spark, d)), _monitored(A.catalog_events(spark, d)))
+
+
+@query(*with_ctes("offer_events readings alerts stored_attempts", _MON, """SELECT s.*, coalesce(c.changes, 0) AS changes, coalesce(c.price_changes, 0) AS price_changes, coalesce(c.back_in_stock, 0) AS back_in_stock, coalesce(c.out_of_stock, 0) AS out_of_stock,
+    coalesce(c.preorders, 0) AS preorders, coalesce(c.invitations, 0) AS invitations, coalesce(a.notifications, 0) AS notifications, coalesce(a.screenshots, 0) AS screenshots, coalesce(t.searches, 0) AS searches, coalesce(t.searches_found, 0) AS searches_found, t.next_retry_at
+  FROM (SELECT product_uuid, count(*) AS merchants, arg_min(site, (first_seen_at, site, canonical_url)) AS first_merchant, min(first_seen_at) AS first_seen_at, arg_max(site, (first_seen_at, site, canonical_url)) AS last_merchant, max(first_seen_at) AS last_merchant_at FROM state GROUP BY 1) s
+  LEFT JOIN (SELECT m.product_uuid, count(*) AS changes, count(*) FILTER (change_type = 'price_changed') AS price_changes, count(*) FILTER (change_type = 'back_in_stock') AS back_in_stock, count(*) FILTER (change_type = 'went_out_of_stock') AS out_of_stock,
+    count(*) FILTER (change_type = 'preorder_opened') AS preorders, count(*) FILTER (change_type = 'invitation_opened') AS invitations FROM mch JOIN mon m USING (monitored_uuid) GROUP BY 1) c USING (product_uuid)
+  LEFT JOIN (SELECT m.product_uuid, count(*) AS notifications, count(screenshot_path) AS screenshots FROM alerts a JOIN mon m ON m.monitored_uuid = 'm' || substr(a.product_uuid, 2) GROUP BY 1) a USING (product_uuid)
+  LEFT JOIN (SELECT product_uuid, count(*) AS searches, count(*) FILTER (status = 'found') AS searches_found, min(next_retry_at) AS next_retry_at FROM stored_attempts GROUP BY 1) t USING (product_uuid)"""))
+def product_metrics(spark, d):
+    return Y.metrics(_offers(spark, d), _monitored(_changes(spark, d)), _monitored(A.alerts(spark, d)), A.stored_attempts(spark, d))
+
+
 @query(*with_ctes("readings", _CH, "SELECT product_uuid, count(*) AS changes, count(*) FILTER (change_type = 'price_changed') AS price_changes, count(*) FILTER (change_type = 'back_in_stock') AS back_in_stock, count(*) FILTER (change_type = 'went_out_of_stock') AS out_of_stock, count(*) FILTER (change_type = 'preorder_opened') AS preorders, count(*) FILTER (change_type = 'invitation_opened') AS invitations FROM ch GROUP BY 1"))
 def product_counters(spark, d):
     return V.change_counters(_changes(spark, d))

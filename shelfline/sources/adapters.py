@@ -510,3 +510,14 @@ def analysed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + line).alias("id"), action.alias("action"), seller.alias("seller"), F.expr("cast(l_quantity * 2 as int)").alias("confidence"),
         F.when(line % 4 == 1, "US").when(line % 4 != 3, "FR").alias("country"),
     )
+
+
+def catalog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of discovery and of the catalogue about watched products, and others that tell no story."""
+    kinds = ("catalog_created", "catalog_merged", "catalog_pending", "discovery_found", "discovery_imported", "http_error", "screenshot")
+    k = F.col("event_id") % len(kinds)
+    rows = table(spark, sf_dir, "events")
+    return rows.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id")).alias("product_uuid"), F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")).alias("kind"),
+        F.when(k != 2, F.concat(F.lit("e="), "event_id")).alias("detail"), F.col("ts").alias("created_at"),
+    )
