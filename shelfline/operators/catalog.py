@@ -97,6 +97,42 @@ def attempts_upsert(tries: DataFrame) -> DataFrame:
     )
 
 
+def with_next_retry(attempts: DataFrame) -> DataFrame:
+    """`attempts` (status, attempts, last_attempt_at) with next_retry_at: null for what was found or is no failure."""
+    due = retry_schedule(attempts)
+    moment = F.timestamp_add("SECOND", F.col("retry_seconds").cast("int"), F.col("last_attempt_at"))
+    return due.withColumn("next_retry_at", moment.cast("timestamp_ntz")).drop("retry_seconds")
+
+
+def sighting_upsert(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """`known` discoveries after further sightings: (fingerprint, site, title, image_url, price, status, decision_reason, times_seen, first_seen_at, last_seen_at).
+
+    A sighting fills in what it tells and leaves what it doesn't; what was gone is pending again, and every other
+    decision stays.  What isn't known becomes pending.  `seen` may hold a fingerprint many times, in the order of seq.
+    """
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    newest = lambda c: F.max_by(filled(c), F.when(filled(c).isNotNull(), F.struct("seen_at", "seq"))).alias(f"new_{c}")
+    fresh = seen.groupBy("fingerprint").agg(
+        newest("title"), newest("image_url"), newest("price"), F.min_by("site", F.struct("seen_at", "seq")).alias("new_site"),
+        F.count(F.lit(1)).alias("again"), F.min("seen_at").alias("from"), F.max("seen_at").alias("to"),
+    )
+    rows = known.withColumn("__known", F.lit(True)).join(fresh, "fingerprint", "full")
+    old, back = F.col("__known").isNotNull(), (F.col("status") == "gone") & F.col("again").isNotNull()
+    return rows.select(
+        "fingerprint", F.coalesce("site", "new_site").alias("site"), F.coalesce("new_title", "title").alias("title"), F.col("new_image_url").alias("image_url"), F.coalesce("new_price", "price").alias("price"),
+        F.when(old & ~back, F.col("status")).otherwise("pending").alias("status"), F.when(old & back, "réapparue sur le site").alias("decision_reason"),
+        (F.when(old, 1).otherwise(0) + F.coalesce("again", F.lit(0))).alias("times_seen"), F.coalesce("first_seen_at", "from").alias("first_seen_at"), F.greatest("first_seen_at", "to").alias("last_seen_at"),
+    )
+
+
+def scan_reports(after: DataFrame) -> DataFrame:
+    """A report for each site of what `sighting_upsert` gives: rows seen, new ones, and where decisions stand."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return after.groupBy("site").agg(
+        F.sum("times_seen").alias("products_seen"), F.count_if(F.col("decision_reason").isNotNull()).alias("back"), of("imported"), of("pending"), of("ignored"), of("blocked"), of("gone"),
+    )
+
+
 def retry_schedule(attempts: DataFrame, base: float = 1800, factor: float = 1.5, longest: float = 21600) -> DataFrame:
     """Seconds until the next try of each failed attempt, of which `attempts` were made; null for all others."""
     made = F.greatest(F.lit(0.0), F.col("attempts").cast("double") - 1)

@@ -341,6 +341,34 @@ def merged_tags(spark, d):
     return R.tags_union(rows, "product_uuid", "tags", "seq")
 
 
+_AFTER = """fresh AS (SELECT fingerprint, arg_max(title, (seen_at, seq)) FILTER (title <> '') AS new_title, arg_max(image_url, (seen_at, seq)) FILTER (image_url <> '') AS image_url, arg_max(price, (seen_at, seq)) FILTER (price <> '') AS new_price, arg_min(site, (seen_at, seq)) AS new_site,
+  count(*) AS again, min(seen_at) AS first_at, max(seen_at) AS last_at FROM resightings GROUP BY 1),
+after AS (SELECT coalesce(k.fingerprint, f.fingerprint) AS fingerprint, coalesce(k.site, f.new_site) AS site, coalesce(f.new_title, k.title) AS title, f.image_url, coalesce(f.new_price, k.price) AS price,
+  CASE WHEN k.fingerprint IS NULL OR (k.status = 'gone' AND f.again IS NOT NULL) THEN 'pending' ELSE k.status END AS status, CASE WHEN k.status = 'gone' AND f.again IS NOT NULL THEN 'réapparue sur le site' END AS decision_reason,
+  CASE WHEN k.fingerprint IS NULL THEN 0 ELSE 1 END + coalesce(f.again, 0) AS times_seen, coalesce(k.first_seen_at, f.first_at) AS first_seen_at, greatest(k.first_seen_at, f.last_at) AS last_seen_at
+  FROM (SELECT fingerprint, site, title, price, status, first_seen_at FROM discovered) k FULL JOIN fresh f ON f.fingerprint = k.fingerprint)"""
+
+
+def _after(spark, d):
+    known = A.discovered(spark, d).select("fingerprint", "site", "title", "price", "status", "first_seen_at")
+    return C.sighting_upsert(known, A.resightings(spark, d))
+
+
+@query(*with_ctes("discovered resightings", _AFTER, "SELECT * FROM after"))
+def discovery_upsert(spark, d):
+    return _after(spark, d)
+
+
+@query(*with_ctes("discovered resightings", _AFTER, "SELECT site, sum(times_seen) AS products_seen, count(decision_reason) AS back, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("imported", "pending", "ignored", "blocked", "gone")) + " FROM after GROUP BY site"))
+def discovery_scan_reports(spark, d):
+    return C.scan_reports(_after(spark, d))
+
+
+@query("tries", "SELECT *, CASE WHEN status IN ('not_found', 'error') THEN last_attempt_at + to_seconds(CAST(floor(least(1800 * pow(1.5, greatest(attempts - 1, 0)), 21600)) AS BIGINT)) END AS next_retry_at FROM (SELECT product_uuid, site, key_kind, key_value, CAST(count(*) AS INTEGER) AS attempts, arg_max(status, (tried_at, seq)) AS status, arg_max(confidence, (tried_at, seq)) AS confidence, arg_max(found_url, (tried_at, seq)) FILTER (found_url <> '') AS found_url, max(tried_at) AS last_attempt_at FROM tries GROUP BY ALL)")
+def attempts_to_retry(spark, d):
+    return C.with_next_retry(C.attempts_upsert(A.tries(spark, d)))
+
+
 # --- stories and bundles -----------------------------------------------------------------------------------
 
 

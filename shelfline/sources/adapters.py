@@ -521,3 +521,14 @@ def catalog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id")).alias("product_uuid"), F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")).alias("kind"),
         F.when(k != 2, F.concat(F.lit("e="), "event_id")).alias("detail"), F.col("ts").alias("created_at"),
     )
+
+
+def resightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further sightings of discovered listings, and of listings that aren't known yet."""
+    key = F.col("l_orderkey") + F.when(F.col("l_linenumber") % 5 == 0, 10**9).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("f"), key).alias("fingerprint"), F.concat(F.lit("shop"), F.col("l_suppkey") % 8).alias("site"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("Titre "), "l_partkey")).otherwise("").alias("title"),
+        F.when(F.col("l_quantity") > 25, F.concat(F.lit("https://i.example/"), "l_partkey")).alias("image_url"), F.when(F.col("l_quantity") < 20, F.concat(F.col("l_suppkey"), F.lit(",00 €"))).alias("price"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("seen_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )

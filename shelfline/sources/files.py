@@ -62,3 +62,36 @@ def absent_only(states: DataFrame, known: DataFrame) -> DataFrame:
 
 def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def seeded(existing: DataFrame, configured: DataFrame) -> DataFrame:
+    """The products that are stored; where there are none yet, those that are configured."""
+    return configured if existing.isEmpty() else existing
+
+
+MODES = ("auto", "review", "rules")
+
+
+def discovery_settings(text: str | None) -> dict:
+    """What a YAML document says of discovery, each value within its bounds; nothing readable leaves discovery off.
+
+    Unknown modes mean review, unknown priorities normal; site names, tags and modes are lower-cased.
+    """
+    import yaml
+
+    from shelfline.operators.resolution import rules_of
+
+    try:
+        raw = yaml.safe_load(text or "") or {}
+        defaults = raw.get("defaults") or {}
+        mode, priority = str(raw.get("mode", "review")).strip().lower(), str(defaults.get("priority", "high")).strip().lower()
+        tags = [str(t).strip().lower() for t in defaults.get("tags") or ["auto-découvert"] if str(t).strip()]
+        sites = {str(name).strip().lower(): dict(site or {}) for name, site in (raw.get("sites") or {}).items()}
+        return {
+            "enabled": bool(raw.get("enabled", False)), "mode": mode if mode in MODES else "review", "scan_interval": max(60, int(raw.get("scan_interval", 900))),
+            "max_new_per_scan": max(1, int(raw.get("max_new_per_scan", 50))), "rules": rules_of(raw.get("rules")),
+            "defaults": {"check_interval": max(10, int(defaults.get("check_interval", 60))), "priority": priority if priority in PRIORITIES else "normal", "tags": tags, "enabled": bool(defaults.get("enabled", True))},
+            "sites": {name: {"enabled": bool(site.pop("enabled", True)), "options": site} for name, site in sites.items()},
+        }
+    except (yaml.YAMLError, ValueError, TypeError, AttributeError):
+        return discovery_settings("") if text else {}

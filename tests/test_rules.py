@@ -127,3 +127,17 @@ def test_configuration_and_saved_states(spark, tmp_path):
     states = S.saved_states(spark, f"{tmp_path}/a.json")
     assert [r.product_uuid for r in states.collect()] == ["p1"]
     assert S.absent_only(states, states).count() == 0
+
+
+def test_discovery_settings_and_seeds(spark):
+    yaml = pytest.importorskip("yaml")
+    off = S.discovery_settings(None)
+    assert (off["enabled"], off["mode"], off["scan_interval"], off["max_new_per_scan"], off["defaults"]["tags"]) == (False, "review", 900, 50, ["auto-découvert"])
+    assert S.discovery_settings("a: [") == off and S.discovery_settings("scan_interval: often") == off
+    text = yaml.safe_dump({"enabled": True, "mode": " AUTO ", "scan_interval": 5, "max_new_per_scan": 0, "rules": {"include": ["Éte ", "ete"]}, "sites": {"Shop": {"enabled": False, "depth": 2}, "b": None}, "defaults": {"check_interval": 1, "priority": "?", "tags": [" X ", ""]}})
+    got = S.discovery_settings(text)
+    assert (got["mode"], got["scan_interval"], got["max_new_per_scan"], got["rules"]["include"]) == ("auto", 60, 1, ["ete"])
+    assert got["sites"] == {"shop": {"enabled": False, "options": {"depth": 2}}, "b": {"enabled": True, "options": {}}}
+    assert got["defaults"] == {"check_interval": 10, "priority": "normal", "tags": ["x"], "enabled": True}
+    some, none = spark.range(2), spark.range(0)
+    assert S.seeded(none, some).count() == 2 and S.seeded(some, none).count() == 2 and S.seeded(none, none).count() == 0
