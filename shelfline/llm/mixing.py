@@ -5,7 +5,9 @@ Each source's tokens (words), document after document in a seeded order, are one
 number of slots of each source is drawn: a multinomial draw whose probabilities are what each source still
 has to give, so the draws of all shards together meet the targets.  Slot j of a source holds the block that a
 seeded permutation of the source's block numbers puts at j, pass after pass over the source; joining slots to
-blocks by (source, block) gives the mixture.
+blocks by (source, block) gives the mixture.  A source's last slot uses as much of its block as its target still
+needs, so that short blocks, which a small source may have nothing but, cost it nothing: the mixture holds
+exactly the target of every source, rounded to a token.
 
 Positions in a stream are sums over buckets of documents, so no task ever holds a whole source.
 """
@@ -102,55 +104,101 @@ def draw_slots(seed: int, slots: list[int]):
         shard += 1
 
 
+def _rounds(n: int, key: int) -> tuple[int, np.ndarray]:
+    """(half the bits, the keys of the Feistel rounds) of the permutation of 0..n-1."""
+    return max(1, (max(1, n - 1).bit_length() + 1) // 2), np.random.default_rng(key).integers(1, 1 << 63, 4, dtype=np.uint64)
+
+
+def _mixed(low: np.ndarray, key: np.uint64, half: int) -> np.ndarray:
+    mixed = (low + key) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)) & np.uint64((1 << half) - 1)
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..n-1 at `index`: Feistel rounds over an even number of bits, walked until under n."""
-    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    keys = np.random.default_rng(key).integers(1, 1 << 63, 4, dtype=np.uint64)
+    half, keys = _rounds(n, key)
     out = index.astype(np.uint64)
     walking = np.arange(len(out))
     while len(walking):
-        x = out[walking]
-        high, low = x >> np.uint64(half), x & mask
+        high, low = out[walking] >> np.uint64(half), out[walking] & np.uint64((1 << half) - 1)
         for k in keys:
-            mixed = (low + k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            high, low = low, high ^ ((mixed >> np.uint64(32)) & mask)
+            high, low = low, high ^ _mixed(low, k, half)
         out[walking] = (high << np.uint64(half)) | low
         walking = walking[out[walking] >= n]
     return out.astype(np.int64)
 
 
-COUNTS = pa.schema([("shard", pa.int32()), ("source_no", pa.int32()), ("source", pa.string()), ("blocks", pa.int64()), ("first", pa.int64()), ("slots", pa.int64())])
-SLOTS = pa.schema([("shard", pa.int32()), ("source", pa.string()), ("slot", pa.int64()), ("pass", pa.int32()), ("block", pa.int64())])
+def place_of(value: int, n: int, key: int) -> int:
+    """Where `permuted` puts `value`: the same rounds backwards."""
+    half, keys = _rounds(n, key)
+    x = np.array([value], dtype=np.uint64)
+    while True:
+        high, low = x >> np.uint64(half), x & np.uint64((1 << half) - 1)
+        for k in keys[::-1]:
+            high, low = low ^ _mixed(high, k, half), high
+        x = (high << np.uint64(half)) | low
+        if x[0] < n:
+            return int(x[0])
+
+
+def _pass_key(seed: int, source_no: int, turn: int) -> int:
+    return hash((seed, source_no, turn)) & 0x7FFFFFFF
+
+
+def slots_for(target: int, size: int, block: int, seed: int, source_no: int) -> tuple[int, int]:
+    """(slots, tokens that the last of them uses) that hold exactly `target` tokens of a source of `size`."""
+    blocks = -(-size // block)
+    turns, rest = divmod(target, size)
+    last = size - (blocks - 1) * block  # the tokens of the stream's last block
+    if not rest:
+        at_end = int(permuted(np.array([blocks - 1]), blocks, _pass_key(seed, source_no, turns - 1))[0]) if turns else 0
+        return turns * blocks, last if at_end == blocks - 1 else block
+    missing = block - last
+    short_at = place_of(blocks - 1, blocks, _pass_key(seed, source_no, turns))
+    n = -(-rest // block)
+    held = n * block - (missing if short_at < n else 0)
+    if held < rest:
+        n, held = n + 1, held + (last if short_at == n else block)
+    used = (last if short_at == n - 1 else block) - (held - rest)
+    return turns * blocks + n, used
+
+
+COUNTS = pa.schema([("shard", pa.int32()), ("source_no", pa.int32()), ("source", pa.string()), ("blocks", pa.int64()), ("first", pa.int64()), ("slots", pa.int64()), ("all_slots", pa.int64()), ("last_uses", pa.int64())])
+SLOTS = pa.schema([("shard", pa.int32()), ("source", pa.string()), ("slot", pa.int64()), ("pass", pa.int32()), ("block", pa.int64()), ("uses", pa.int64())])
 
 
 def drawn_counts(targets: DataFrame, block: int, seed: int) -> DataFrame:
-    """(shard, source_no, source, blocks, first, slots): slots of each source in each output shard.
+    """(shard, source_no, source, blocks, first, slots, all_slots, last_uses): slots of each source in each output shard.
 
-    The draws run in one task over the sources alone: a row for each source in, one for each source and shard out.
+    The draws run in one task over the sources alone, which it holds (a row each); what it draws leaves it in batches.
     """
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    wanted = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
-    numbered = targets.filter("source_size > 0").select(
-        "source", blocks.alias("blocks"), F.least(wanted, blocks * MOST_PASSES).alias("slots")
-    )
+    numbered = targets.filter("source_size > 0").select("source", "source_size", F.round("target").cast("long").alias("target"))
 
     def draw(batches):
         rows = [r for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        out = [
-            {"shard": shard, "source_no": k, "source": rows[k]["source"], "blocks": rows[k]["blocks"], "first": first, "slots": n}
-            for shard, k, first, n in draw_slots(seed, [r["slots"] for r in rows])
-        ]
-        yield pa.RecordBatch.from_pylist(out, COUNTS)
+        wanted = [slots_for(r["target"], r["source_size"], block, seed, k) for k, r in enumerate(rows)]
+        held = []
+        for shard, k, first, n in draw_slots(seed, [slots for slots, _ in wanted]):
+            held.append((shard, k, rows[k]["source"], -(-rows[k]["source_size"] // block), first, n, *wanted[k]))
+            if len(held) == BUCKET_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), COUNTS)], schema=COUNTS)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), COUNTS)], schema=COUNTS)
+
+    kinds = "shard int, source_no int, source string, blocks long, first long, slots long, all_slots long, last_uses long"
+    return numbered.coalesce(1).mapInArrow(draw, kinds)
 
-    return numbered.coalesce(1).mapInArrow(draw, "shard int, source_no int, source string, blocks long, first long, slots long")
 
+def placed_slots(counts: DataFrame, block: int, seed: int) -> DataFrame:
+    """(shard, source, slot, pass, block, uses): every slot with the block its source's permutation puts there.
 
-def placed_slots(counts: DataFrame, seed: int) -> DataFrame:
-    """(shard, source, slot, pass, block): every slot with the block its source's permutation puts there."""
+    uses: how many of the block's tokens the slot takes, from its first on.
+    """
+    whole = block
 
     def place(batches):
         for batch in batches:
@@ -161,15 +209,16 @@ def placed_slots(counts: DataFrame, seed: int) -> DataFrame:
                     block = np.empty_like(slot)
                     for t in np.unique(turn):
                         own = turn == t
-                        block[own] = permuted(slot[own] % r["blocks"], r["blocks"], hash((seed, r["source_no"], int(t))) & 0x7FFFFFFF)
+                        block[own] = permuted(slot[own] % r["blocks"], r["blocks"], _pass_key(seed, r["source_no"], int(t)))
                     n = len(slot)
+                    uses = np.where(slot == r["all_slots"] - 1, r["last_uses"], whole)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["source"]] * n, pa.string()), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block)],
+                        [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["source"]] * n, pa.string()), pa.array(slot), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(uses)],
                         schema=SLOTS,
                     )
 
     spread = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism * 4, "shard", "source_no")
-    return spread.mapInArrow(place, "shard int, source string, slot long, pass int, block long")
+    return spread.mapInArrow(place, "shard int, source string, slot long, pass int, block long, uses long")
 
 
 @dataclass
@@ -201,17 +250,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     targets = stored(source_targets(sized), "mixing-targets")
     n_rows = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     placed = placed_documents(sized.select("uid", "id", "source", "size", "content"), seed, n_rows)
-    slots = placed_slots(drawn_counts(targets, block, seed), seed)
+    slots = placed_slots(drawn_counts(targets, block, seed), block, seed)
     pieces = placed.filter("size > 0").select(
         "uid", "id", "source", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block")
     )
     start = F.greatest(F.col("block") * block, F.col("at"))
     pieces = pieces.select(
         "uid", "id", F.col("source").alias("of"), F.col("block").alias("part"), (start - F.col("at")).alias("start"),
-        (F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - start).alias("taken"),
+        (F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - start).alias("taken"), (start - F.col("block") * block).alias("inside"),
     )
     # Spark takes the size of the slots for that of the few counts they come from, and would broadcast them.
     rows = slots.hint("merge").join(pieces, slots["source"].eqNullSafe(pieces["of"]) & (slots["block"] == pieces["part"])).drop("of", "part")
+    rows = rows.withColumn("taken", F.least(F.col("taken"), F.col("uses") - F.col("inside"))).filter("taken > 0").drop("uses", "inside")
     own = targets.select(F.col("source").alias("of"), "source_size", "target")
     documents = placed.join(own, placed["source"].eqNullSafe(own["of"])).drop("of")
     return Mixture(documents, targets, rows)

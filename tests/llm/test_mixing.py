@@ -1,5 +1,7 @@
 import re
 
+import random
+
 import numpy as np
 import pytest
 
@@ -80,8 +82,13 @@ def test_layout_of_the_table_plays_no_part(spark):
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
 
 
+def str_then_slot(item):
+    (source, slot), _ = item
+    return str(source), slot
+
+
 def test_taken_by_brute_force(spark):
-    """Every slot's block, cut out of plain lists of words, gives what each document is taken for."""
+    """Slot after slot, a block cut out of plain lists of words, until a source's target is met to a token."""
     rows, docs = corpus(spark)
     mixture = M.mix(docs.filter("doc_id <> 500"))
     at = {r.id: (r.source, r.at, r.size) for r in mixture.documents.collect()}
@@ -91,9 +98,12 @@ def test_taken_by_brute_force(spark):
         assert start == len(stream) or not size
         stream += [i] * size
     want = dict.fromkeys(at, 0)
-    for source, block in {(r.source, r.slot): (r.source, r.block) for r in mixture.rows.collect()}.values():
-        for i in streams[source][block * M.BLOCK : (block + 1) * M.BLOCK]:
+    needed = {r.source: round(r.target) for r in mixture.targets.collect()}
+    for (source, _), block in sorted({(r.source, r.slot): r.block for r in mixture.rows.collect()}.items(), key=str_then_slot):
+        for i in streams[source][block * M.BLOCK : (block + 1) * M.BLOCK][: needed[source]]:
             want[i] += 1
+            needed[source] -= 1
+    assert not any(needed.values())
     assert {r.id: r.taken for r in M.taken_by_document(mixture).collect()} == want
 
 
@@ -101,3 +111,27 @@ def test_very_long_text(spark):
     docs = documents(spark, [(1, "word " * 50_000, "a"), (2, "b", "b")])
     taken = {r.id: r.taken for r in M.taken_by_document(M.mix(docs)).collect()}
     assert taken[2] == 3 and abs(taken[1] - 49_998) <= M.BLOCK
+
+
+def test_small_sources_get_their_target_to_a_token(spark):
+    """Three hundred sources of a single text, none of which fills its blocks."""
+    rows = [(i, sentence(i, 65 if i % 3 else 1 + i % 130), f"s{i:03}") for i in range(300)]
+    taken = M.taken_by_document(M.mix(documents(spark, rows))).collect()
+    assert all(r.taken == round(r.target) and r.taken <= 3 * r["size"] for r in taken) and len(taken) == 300
+
+
+def test_slots_hold_exactly_the_target():
+    rng = random.Random(1)
+    for _ in range(600):
+        size, block, k = rng.randint(1, 400), 64, rng.randint(0, 9)
+        target = rng.randint(0, 3 * size)
+        slots, used = M.slots_for(target, size, block, 17, k)
+        blocks = -(-size // block)
+        held = 0
+        for s in range(slots):
+            (b,) = M.permuted(np.array([s % blocks]), blocks, M._pass_key(17, k, s // blocks)).tolist()
+            assert M.place_of(b, blocks, M._pass_key(17, k, s // blocks)) == s % blocks
+            length = min(block, size - b * block)
+            held += used if s == slots - 1 else length
+            assert s < slots - 1 or 0 < used <= length
+        assert held == target
