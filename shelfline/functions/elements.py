@@ -111,7 +111,7 @@ def steps(selector: str) -> list[Step]:
     return out
 
 
-def _fits(step: Step, e: Column) -> Column:
+def fits(step: Step, e: Column) -> Column:
     tests = [e["tag"] == step.tag] if step.tag else []
     for name, how, value in step.tests:
         held = e[name]
@@ -136,14 +136,14 @@ def selected(elements: Column | str, selector: str) -> Column:
     elements = F.col(elements) if isinstance(elements, str) else elements
     above, own = steps(selector)[:-1], steps(selector)[-1]
     if not above:
-        return F.filter(elements, lambda e: _fits(own, e))
+        return F.filter(elements, lambda e: fits(own, e))
 
     def below(k: int, holders: Column) -> Column:
         step = [*above, own][k]
-        found = F.filter(elements, lambda e: _fits(step, e) & F.exists(holders, lambda a: inside(e, a)))
+        found = F.filter(elements, lambda e: fits(step, e) & F.exists(holders, lambda a: inside(e, a)))
         return found if k == len(above) else let(found, lambda h: below(k + 1, h))
 
-    return let(F.filter(elements, lambda e: _fits(above[0], e)), lambda h: below(1, h))
+    return let(F.filter(elements, lambda e: fits(above[0], e)), lambda h: below(1, h))
 
 
 def without(elements: str, texts: str, noise: str) -> tuple[Column, Column]:

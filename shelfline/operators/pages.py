@@ -65,7 +65,7 @@ ABSENT = "absent du DOM"
 USED = "retenu : c'est lui qui fixe l'état"
 IN_NOISE = "retiré avec le bruit avant analyse (carrousel, recommandations, produits sponsorisés, navigation ou pied de page)"
 OUTSIDE = "présent dans la page mais hors du périmètre retenu ({}) — il appartient à un autre bloc"
-UNREAD = "dans le périmètre retenu, mais aucun mot-clé d'invitation reconnu à la classification (libellé inconnu de keywords.py ?)"
+UNREAD = "dans le périmètre retenu, mais aucun mot-clé d'invitation reconnu à la classification (libellé inconnu ?)"
 UNREADABLE = "page non analysée (contenu non exploitable)"
 STATE_LABELS = {
     "available": "disponible", "invitation": "demande d'invitation", "preorder": "précommande", "coming_soon": "bientôt disponible",
@@ -104,7 +104,7 @@ def _texts_in(where: str, texts: str, selectors: tuple[str, ...], scope: str | N
 
 def _cleaned(pages: DataFrame) -> DataFrame:
     """`pages` (html) with elements, texts, data, noise, and alive and said: the elements and texts outside the noise."""
-    read = E.with_elements(pages).withColumn("noise", E.held(F.filter("elements", lambda e: _any([E._fits(E.steps(s)[0], e) for s in NOISE]))))
+    read = E.with_elements(pages).withColumn("noise", E.held(F.filter("elements", lambda e: _any([E.fits(E.steps(s)[0], e) for s in NOISE]))))
     alive, said = E.without("elements", "texts", "noise")
     return read.withColumns({"alive": E.held(alive), "said": E.held(said)})
 
