@@ -73,7 +73,7 @@ ADAPTERS = {
     "catalog_events": """SELECT event_id AS id, 'u' || user_id AS product_uuid, ['catalog_created', 'catalog_merged', 'catalog_pending', 'discovery_found', 'discovery_imported', 'http_error', 'screenshot'][event_id % 7 + 1] AS kind,
   CASE WHEN event_id % 7 <> 2 THEN 'e=' || event_id END AS detail, ts AS created_at FROM events""",
     "resightings": """SELECT 'f' || (l_orderkey + CASE WHEN l_linenumber % 5 = 0 THEN 1000000000 ELSE 0 END) AS fingerprint, 'shop' || (l_suppkey % 8) AS site, CASE WHEN l_linenumber % 3 <> 0 THEN 'Titre ' || l_partkey ELSE '' END AS title,
-  CASE WHEN l_quantity > 25 THEN 'https://i.example/' || l_partkey END AS image_url, CASE WHEN l_quantity < 20 THEN l_suppkey || ',00 €' END AS price, CAST(l_shipdate AS TIMESTAMP) AS seen_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem""",
+  CASE WHEN l_quantity > 25 THEN 'https://i.example/' || l_partkey END AS image_url, CASE WHEN l_quantity < 20 THEN l_suppkey || ',00 €' END AS price, CAST(l_shipdate AS TIMESTAMP) AS seen_at, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 8 * 60 + CAST(l_quantity AS INTEGER) AS seq FROM lineitem""",
     "now": "SELECT max(ts) AS t FROM events",
 }
 NEEDS = {

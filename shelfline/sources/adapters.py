@@ -530,5 +530,5 @@ def resightings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("f"), key).alias("fingerprint"), F.concat(F.lit("shop"), F.col("l_suppkey") % 8).alias("site"),
         F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("Titre "), "l_partkey")).otherwise("").alias("title"),
         F.when(F.col("l_quantity") > 25, F.concat(F.lit("https://i.example/"), "l_partkey")).alias("image_url"), F.when(F.col("l_quantity") < 20, F.concat(F.col("l_suppkey"), F.lit(",00 €"))).alias("price"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("seen_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("seen_at"), F.expr("((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 8 * 60 + cast(l_quantity as int)").alias("seq"),
     )
