@@ -35,19 +35,28 @@ def _filled(fields: list[str]) -> F.Column:
 
 def _firsts(facts: DataFrame, key: list[str]) -> DataFrame:
     """Of `facts` (key, since, born, product) those that were born before all of the same key with an earlier since."""
-    thin = facts.groupBy(*key, "since").agg(F.min(F.struct("born", "product")).alias("p")).withColumn("span", F.expr(f"since div {SPAN}"))
+    thin = facts.groupBy(*key, "since").agg(F.min(F.struct("born", "product")).alias("p")).withColumn("span", F.expr(f"since.seq div {SPAN}"))
     for part in (["span"], []):  # within a span first, so that no value's whole list is sorted at once
         before = Window.partitionBy(*key, *part).orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
-        thin = thin.withColumn("least", F.min("p.born").over(before)).filter("least IS NULL OR p.born < least")
+        thin = thin.withColumn("least", F.min("p").over(before)).filter("least IS NULL OR p < least")
     return thin.select(*key, "since", "p.born", "p.product")
 
 
+def _turn() -> F.Column:
+    """A listing's place in the order: equal numbers are taken by draft_id."""
+    return F.struct(F.col("seq").cast("long").alias("seq"), "draft_id")
+
+
+def _before_all() -> F.Column:
+    return F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("draft_id"))
+
+
 def _known(catalog: DataFrame, drafts: DataFrame, placed: DataFrame | None, fields: list[str]) -> DataFrame:
     """(product, born, field, value, since): the first that is known of each field, and since which listing."""
-    facts = catalog.select(F.col("uuid").alias("product"), F.struct(F.lit(0).alias("made"), F.col("created_seq").cast("long").alias("at")).alias("born"), F.lit(-1).cast("long").alias("since"), _filled(fields))
+    facts = catalog.select(F.col("uuid").alias("product"), F.struct(F.lit(0).alias("made"), F.col("created_seq").cast("long").alias("at")).alias("born"), _before_all().alias("since"), _filled(fields))
     if placed is not None:
         told = drafts.select("draft_id", "seq", _filled(fields)).join(placed.select("draft_id", "product", "born"), "draft_id")
-        facts = facts.unionByName(told.select("product", "born", F.col("seq").alias("since"), "f"))
+        facts = facts.unionByName(told.select("product", "born", _turn().alias("since"), "f"))
     firsts = facts.groupBy("product", "f.field").agg(F.min(F.struct("since", "f.value", "born")).alias("x"))
     return firsts.select("product", "x.born", "field", "x.value", "x.since")
 
@@ -60,8 +69,8 @@ def _alone() -> list[F.Column]:
 def placements(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(draft_id, seq, product, born, score, method): the product of every listing; score is null where it makes one.
 
-    `drafts` have draft_id and seq (distinct, which is their order); of the identifying fields those count that both
-    sides carry.  Null and empty values are no key; an empty catalogue or no listings are as they are.
+    `drafts` have distinct draft_id, and seq, which is their order; those of one seq go by draft_id.  Of the
+    identifying fields those count that both sides carry.  Null and empty values are no key; an empty catalogue or no listings are as they are.
     """
     carried = set(drafts.columns) & set(catalog.columns)
     merging = [(f, s) for f, s in IDENTIFIERS if f in carried and s >= MERGE]
@@ -72,7 +81,7 @@ def placements(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     placed, seen = None, None
     while True:
         facts = _firsts(_known(catalog, drafts, placed, fields), ["field", "value"])
-        hits = wanted.join(facts, ["field", "value"]).filter("since < seq").groupBy("draft_id")
+        hits = wanted.join(facts, ["field", "value"]).filter(F.col("since") < _turn()).groupBy("draft_id")
         best = hits.agg(F.min(F.struct((-F.col("score")).alias("less"), "born", "product", "field")).alias("m"))
         own = drafts.select("draft_id", "seq", F.struct(*_alone()).alias("own")).join(best, "draft_id", "left")
         placed = stored(
@@ -118,14 +127,14 @@ def ingested(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     known = _known(catalog, drafts, placed, [*ATTRIBUTES, "model_number"])
     listed = with_names(drafts).join(placed, ["draft_id"]).drop(drafts["seq"])
     made = listed.filter("score IS NULL")
-    names = with_names(catalog).select(F.col("uuid").alias("product"), F.struct(F.lit(0).alias("made"), F.col("created_seq").cast("long").alias("at")).alias("born"), "name", "name_norm", "name_key", F.lit(-1).cast("long").alias("made_at"))
-    names = stored(names.unionByName(made.select("product", "born", "name", "name_norm", "name_key", F.col("seq").alias("made_at"))), "product-names")
+    names = with_names(catalog).select(F.col("uuid").alias("product"), F.struct(F.lit(0).alias("made"), F.col("created_seq").cast("long").alias("at")).alias("born"), "name", "name_norm", "name_key", _before_all().alias("made_at"))
+    names = stored(names.unionByName(made.select("product", "born", "name", "name_norm", "name_key", _turn().alias("made_at"))), "product-names")
     key = ["score", "method", "block", "name"]
     found_by = stored(_firsts(_rungs(stored(known, "known"), names), key), "product-rungs")
 
-    asked = made.select("product", "born", F.col("draft_id"), "seq", "name_norm", "name_key", F.col("seq").alias("made_at"))
+    asked = made.select("product", "born", F.col("draft_id"), "seq", "name_norm", "name_key", _turn().alias("made_at"))
     own = made.select("draft_id", F.col("product").alias("self"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in (*ATTRIBUTES, "model_number")])).alias("x"))
-    own = own.filter("coalesce(x.value, '') <> ''").select(F.col("self").alias("product"), F.struct(F.lit(1).alias("made"), F.lit(0).cast("long").alias("at")).alias("born"), "x.field", "x.value", F.lit(-1).cast("long").alias("since"))
+    own = own.filter("coalesce(x.value, '') <> ''").select(F.col("self").alias("product"), F.struct(F.lit(1).alias("made"), F.lit(0).cast("long").alias("at")).alias("born"), "x.field", "x.value", _before_all().alias("since"))
     wanted = _rungs(own, asked.select("product", "born", "name_norm", "name_key", "made_at")).select("product", *key)
     wanted = stored(wanted.join(asked.select("product", "draft_id", "seq"), "product"), "wanted-rungs")
     block = F.struct("method", "block").alias("block")
@@ -135,7 +144,7 @@ def ingested(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
     close = close.join(found_by.withColumnRenamed("name", "other").withColumnRenamed("product", "candidate").drop("score"), ["method", "block", "other"])
     exact = wanted.filter("name = ''").join(found_by.withColumnRenamed("product", "candidate"), key)
     cols = ["draft_id", "seq", "score", "method", "candidate", "born", "since"]
-    hits = exact.select(*cols).unionByName(close.select(*cols)).filter("since < seq").groupBy("draft_id")
+    hits = exact.select(*cols).unionByName(close.select(*cols)).filter("since.seq < seq").groupBy("draft_id")
     proposed = hits.agg(F.min(F.struct((-F.col("score")).alias("less"), "born", "candidate", "method")).alias("m"))
 
     titles = names.select("product", F.col("name").alias("title"))

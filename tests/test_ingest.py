@@ -127,3 +127,11 @@ def test_fields_spread_in_the_order_of_merges(spark):
                 known[target][f] = known[target][f] or known[source][f]
     got = M.learnt(spark.createDataFrame(products, "uuid string, ean string, brand string"), spark.createDataFrame(merges, "id long, source string, target string"), ["ean", "brand"])
     assert {(r["product"], r.field): r.value for r in got.collect()} == {(p, f): v for p, own in known.items() for f, v in own.items() if v}
+
+
+def test_listings_of_one_number_come_one_after_another(spark):
+    drafts = [(f"d{i}", 5, "x", "E1", ["M1", None, None][i], None, None, None, None, None, None) for i in (2, 0, 1)]
+    catalog = [("p1", 1, "y", *[None] * len(FIELDS))]
+    arrived = spark.createDataFrame(drafts, DRAFTS)
+    got = {r.draft_id: (r.product, r.score) for r in I.placements(arrived, spark.createDataFrame(catalog, CATALOG)).collect()}
+    assert got == {"d0": ("n:d0", None), "d1": ("n:d0", 100), "d2": ("n:d0", 100)}
