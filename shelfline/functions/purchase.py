@@ -8,7 +8,7 @@ A null page is an empty one: no action.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,8 +138,8 @@ def offered(html: str | None, scope: int = 0, gone: Iterable[int] = ()) -> dict:
 
 
 @F.pandas_udf(PAGE)
-def page_offer(html: pd.Series, scope: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([offered(*row) for row in zip(html, scope, gone)], columns=PAGE.fieldNames())
+def page_offer(pages: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    return X.in_steps(pages, lambda *columns: pd.DataFrame([offered(*row) for row in zip(*columns)], columns=PAGE.fieldNames()))
 
 
 def holds(text: Column, words_: tuple[str, ...]) -> Column:
