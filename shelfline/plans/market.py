@@ -29,7 +29,7 @@ def _expected(rows: list, *names: str) -> str:
 
 def _forms(spark, d, rows: list, *names: str):
     """The parts, each with one of the forms in turn."""
-    own = A.table(spark, d, "part").select(F.col("p_partkey").alias("key"))
+    own = A.spread(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("key"))
     pick = lambda i: F.element_at(F.array(*[F.lit(r[i] if len(names) > 1 else r[0]) for r in rows]), (F.col("key") % len(rows) + 1).cast("int"))
     return own.select("key", *[pick(i).alias(n) for i, n in enumerate(names)])
 
