@@ -135,3 +135,28 @@ def test_listings_of_one_number_come_one_after_another(spark):
     arrived = spark.createDataFrame(drafts, DRAFTS)
     got = {r.draft_id: (r.product, r.score) for r in I.placements(arrived, spark.createDataFrame(catalog, CATALOG)).collect()}
     assert got == {"d0": ("n:d0", None), "d1": ("n:d0", 100), "d2": ("n:d0", 100)}
+
+
+def test_a_long_chain_takes_few_passes(spark, monkeypatch):
+    """Listings that depend on each other in a row are written a few times, not once for each link of the chain.
+
+    Only numbers of keys are written in rounds.
+    """
+    drafts = [(f"d{i:02}", i, f"n {i}", f"e{(i + 1) // 2}", f"m{i // 2}", *[None] * 6) for i in range(24)]
+    written, plain = [], I.stored
+    monkeypatch.setattr(I, "stored", lambda df, kind: written.append(kind) or plain(df, kind))
+    got = I.placements(spark.createDataFrame(drafts, DRAFTS), spark.createDataFrame([], CATALOG)).collect()
+    assert sorted((r.draft_id, r["product"], r.score, r.method) for r in got) == [(w[0], w[1], *((w[3], w[4]) if w[6] == "merge" else (None, None))) for w in one_by_one(drafts, [])[0]]
+    assert len([kind for kind in written if not kind.startswith("key-")]) <= 5, written
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_groups_too_large_for_a_task_are_placed_alike(spark, monkeypatch, most):
+    rng = random.Random(7)
+    some = lambda kind: rng.choice([None, "", *[f"{kind}{rng.randrange(12)}"] * 2])
+    drafts = [(f"d{i}", rng.randrange(10**6) * 100 + i, "n", some("e"), some("m"), some("a"), some("s"), *[None] * 4) for i in range(25)]
+    catalog = [(f"p{i}", i, "n", some("e"), some("m"), some("a"), some("s"), *[None] * 4) for i in range(5)]
+    left, right = spark.createDataFrame(drafts, DRAFTS), spark.createDataFrame(catalog, CATALOG)
+    whole = sorted(map(str, I.placements(left, right).collect()))
+    monkeypatch.setattr(I, "MOST_FOLDED", most)
+    assert sorted(map(str, I.placements(left, right).collect())) == whole
