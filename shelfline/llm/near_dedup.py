@@ -19,7 +19,9 @@ shingles, so the k smallest of a set (its bottom-k sketch) are a sample that two
    that meet within the HEAD rarest values of both are taken once.  A signature of BITS bits travels with every
    entry: one bit of the smallest value in each part of the hashes' range.  Bits that differ estimate similarity
    where two entries meet, so that texts put together from common blocks, which share every list and no more
-   than a part, become no pair.  Before the exact comparison the union of both sketches estimates it again.
+   than a part, become no pair.  Where the bits leave it open, DEEP bits of the values of PARTS parts decide: most
+   of what differs shows, so that copies of one text just below the threshold become no pair either, unless
+   they are long.  Before the exact comparison the union of both sketches estimates it again.
 6. Links, all confirmed on full sets, are joined to components.
 
 Nodes are classes of equal sets under numbers of their own; ids come back when components are known, so rows that
@@ -52,6 +54,8 @@ HEAD = 16
 #: Bits of the signature that travels with each entry, and the words of 64 bits that hold them.
 BITS = 1024
 WORDS = BITS // 64
+#: Parts, and bits of each one's smallest value (4, packed two a byte), for pairs whose single bits leave it open.
+PARTS, DEEP = 2048, 4
 #: Ids that are sent to every task to thin a table out before it is joined, at most (8 bytes each).
 MOST_SENT = 2_000_000
 #: The chance of overlooking a pair exactly at the threshold, for each of both sketches.
@@ -230,32 +234,38 @@ def entries(listed: DataFrame) -> DataFrame:
 
 
 def signatures(sets: DataFrame) -> DataFrame:
-    """(uid, s0, s1, ...): a bit of the smallest hash in each of BITS parts of the hashes' range, 0 for an empty part."""
-    names = [f"s{i}" for i in range(WORDS)]
+    """(uid, s0, s1, ..., deep): a bit of the smallest hash in each of BITS parts of the hashes' range, and DEEP bits in each of PARTS, 0 for an empty part."""
+    names, width = [f"s{i}" for i in range(WORDS)], PARTS * DEEP // 64
 
     def signed(batches):
         for batch in batches:
             rows = np.zeros((batch.num_rows, WORDS), dtype=np.int64)
+            deep = np.zeros((batch.num_rows, width), dtype=np.int64)
             for i, raw in enumerate(batch.column(1)):
                 values = np.frombuffer(raw.as_buffer(), dtype="<u8")
                 part, first = np.unique(values >> np.uint64(64 - (BITS - 1).bit_length()), return_index=True)
                 bits = np.zeros(BITS, dtype=np.uint8)
                 bits[part.astype(np.int64)] = (_mixed(values[first] + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(63)).astype(np.uint8)
                 rows[i] = np.packbits(bits).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["uid", *names])
+                part, first = np.unique(values >> np.uint64(64 - (PARTS - 1).bit_length()), return_index=True)
+                fours = np.zeros(PARTS, dtype=np.uint8)
+                fours[part.astype(np.int64)] = (_mixed(values[first] + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - DEEP)).astype(np.uint8)
+                deep[i] = (fours[0::2] << 4 | fours[1::2]).view("<i8")
+            more = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(deep.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T], more], names=["uid", *names, "deep"])
 
-    return sets.select("uid", "hashes").mapInArrow(signed, "uid long, " + ", ".join(f"{n} long" for n in names))
+    return sets.select("uid", "hashes").mapInArrow(signed, "uid long, " + ", ".join(f"{n} long" for n in names) + ", deep array<long>")
 
 
 @cache
-def most_differing(similarity: float) -> list[int]:
-    """By the size of the union, up to BITS: how many bits of two sets that reach the similarity differ at most.
+def most_differing(similarity: float, deep: int = 1, parts: int = BITS) -> list[int]:
+    """By the size of the union, up to `parts`: in how many parts two sets that reach the similarity differ at most.
 
-    A part that both fill alike has equal bits, and of the others half.  What the sets don't share is at most
+    A part that both fill alike has equal bits, and of the others one in 2**deep.  What the sets don't share is at most
     (1 - similarity) of the union, and no more parts can differ; more than that many do with a chance under MISS.
     """
-    p, out = (1 - similarity) / 2, []
-    for union in range(BITS + 1):
+    p, out = (1 - similarity) * (1 - 0.5**deep), []
+    for union in range(parts + 1):
         most, chance, term = int((1 - similarity) * union + 1e-9), 1.0, (1 - p) ** union
         for k in range(most + 1):
             chance -= term
@@ -272,10 +282,26 @@ def _alike(x: str, y: str, similarity: float) -> F.Column:
     differ = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0")))
     for i in range(1, WORDS):
         differ = differ + F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}")))
+    return differ <= _limit(x, y, similarity, 1, BITS)
+
+
+def _limit(x: str, y: str, similarity: float, deep: int, parts: int) -> F.Column:
     union = F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(1 + similarity) + F.lit(1e-9))
     # Unions of more values fill all parts at most, and the limit doesn't fall with the size.
-    limit = F.get(F.lit(most_differing(similarity)), F.least(union, F.lit(BITS)).cast("int"))
-    return differ <= limit
+    return F.get(F.lit(most_differing(similarity, deep, parts)), F.least(union, F.lit(parts)).cast("int"))
+
+
+def _deeply_alike(x: str, y: str, similarity: float) -> F.Column:
+    """`_alike` by DEEP bits of each part: a group of four bits counts once, whichever of them differ."""
+
+    def parts(a: F.Column, b: F.Column) -> F.Column:
+        z = a.bitwiseXOR(b)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = F.aggregate(F.zip_with(f"{x}.deep", f"{y}.deep", parts), F.lit(0), lambda total, n: total + n)
+    return differ <= _limit(x, y, similarity, DEEP, PARTS)
 
 
 def only(df: DataFrame, uids: DataFrame) -> DataFrame:
@@ -424,6 +450,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         )
         & _alike("x", "y", similarity)
         & F.coalesce(F.get(common, F.lit(0)) == F.col("x.value"), F.lit(True))
+        & _deeply_alike("x", "y", similarity)
     )
     others = x.join(y, met).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     second = linked(checkpointed(others), sets, LONG, similarity)

@@ -139,3 +139,34 @@ def test_distant_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(N, "linked", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
     assert found(spark, rows, words=3, similarity=0.85)[0] == brute(rows, 3, 85)
     assert sum(compared) < 10 * len(rows) < len(rows) ** 2 / 4
+
+
+def test_copies_just_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    """Copies of one text at 0.8 from each other, where 0.85 is asked: far too many for pairs, and each pair is near."""
+    rng, base, rows = random.Random(9), sentence(12, 620).split(), []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(0, 620, 4), 12):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    compared, plain = [], N.linked
+    monkeypatch.setattr(N, "linked", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    assert found(spark, rows, words=3, similarity=0.85)[0] == brute(rows, 3, 85)
+    assert compared[1] < 4 * len(rows), compared
+
+
+def test_deep_signatures_keep_sets_at_the_similarity(spark):
+    rng = random.Random(10)
+    draw = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    pack = lambda values: b"".join(v.to_bytes(8, "little") for v in sorted(values))
+    rows, kinds = [], {}
+    for k, (n, share) in enumerate([(n, s) for n in (7, 40, 300, 700, 3000, 20000) for s in (0.85, 0.85, 0.85, 0.7)]):
+        both = draw(int(-(-share * n // 1)))
+        rest = n - len(both)
+        rows += [(2 * k, len(both) + rest // 2, pack(both + draw(rest // 2))), (2 * k + 1, len(both) + rest - rest // 2, pack(both + draw(rest - rest // 2)))]
+        kinds[k] = share
+    sets = spark.createDataFrame(rows, "uid long, n long, hashes binary")
+    signed = sets.select("uid", "n").join(N.signatures(sets), "uid")
+    x, y = signed.alias("x"), signed.alias("y")
+    near = {r.k for r in x.join(y, F.expr("x.uid + 1 = y.uid AND x.uid % 2 = 0")).filter(N._deeply_alike("x", "y", 0.85)).selectExpr("x.uid div 2 AS k").collect()}
+    assert all((k in near) == (share == 0.85) for k, share in kinds.items() if share == 0.85 or k > 4)
