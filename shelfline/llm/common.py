@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: What an Arrow batch may hold; by rows alone ten thousand texts, or sets of them, of any size would be one batch.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of the data set at `sf_dir` (any path Spark can read)."""
+    """The Parquet table `name` of the data set at `sf_dir` (any path Spark can read); bounds the session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

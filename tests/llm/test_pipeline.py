@@ -1,6 +1,9 @@
 """Every stage and the whole pipeline against plain Python on a small corpus."""
 
+import pyarrow as pa
+
 import corpus_pipeline as P
+from shelfline.llm.common import table
 from tests.llm.helpers import documents, save, sentence
 from tests.llm.test_near_dedup import brute
 
@@ -57,3 +60,16 @@ def test_odd_rows_go_through_every_stage(spark, tmp_path):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Long texts come to Python a few at a time, not ten thousand at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    data = save(spark, tmp_path, documents=spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('long text ', 10000) AS text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    found = table(spark, data, "documents").mapInArrow(sizes, "n long").collect()
+    assert len(found) > 5 and max(r.n for r in found) < 2 * 4 * 2**20
