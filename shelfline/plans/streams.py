@@ -14,8 +14,8 @@ from shelfline.streaming import late as L
 from shelfline.streaming import monitor as M
 
 
-def _arriving(spark, d, name):
-    return M.arriving(spark, f"{d}/{name}.parque[t]", A.table(spark, d, name))
+def _arriving(spark, d, name, per_trigger=1):
+    return M.arriving(spark, f"{d}/{name}.parque[t]", A.table(spark, d, name), per_trigger)
 
 
 @query(*with_ctes("offer_events", S.RUNS, "SELECT * FROM state"))
@@ -54,4 +54,4 @@ _STEPS, _, _TOLD = S.CONFIRM.replace("readings", "settled").rpartition("\nSELECT
 @query(*with_ctes("readings", f"{_SETTLED},\n{_STEPS}", "SELECT w." + _TOLD))
 def stream_late_readings(spark, d):
     """Confirmation of readings that may be a day late: what the watermark has passed, in the order of event time."""
-    return M.run_to_table(L.confirmed(A.readings_of(_arriving(spark, d, "events")), "1 day"))
+    return M.run_to_table(L.confirmed(A.readings_of(_arriving(spark, d, "events", None)), "1 day"))

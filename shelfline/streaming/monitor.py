@@ -19,13 +19,15 @@ from shelfline.sources.files import work_dir
 STATE = "state string, waiting string"
 
 
-def arriving(spark: SparkSession, table: str, like: DataFrame, per_trigger: int = 1) -> DataFrame:
+def arriving(spark: SparkSession, table: str, like: DataFrame, per_trigger: int | None = 1) -> DataFrame:
     """The Parquet table at the glob `table` (one file, or a folder of part files) as a stream with the schema of `like`.
 
-    A glob, since Spark takes a plain path for that of a folder.
+    A glob, since Spark takes a plain path for that of a folder.  Files come `per_trigger` at a time in the order of
+    their modification, or all that are there at once (None): a table's parts are in no order of event time, so that what
+    depends on it would lose or misplace the readings of later files.
     """
-    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger)
-    return stream.parquet(table)
+    stream = spark.readStream.schema(like.schema)
+    return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(table)
 
 
 def checks_per_hour(checks: DataFrame, late: str = "1 hour") -> DataFrame:

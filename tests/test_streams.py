@@ -3,14 +3,17 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shelfline.operators import catalog as C
 from shelfline.operators import changes as G
+from shelfline.plans import registry
 from shelfline.streaming import journal as J
 from shelfline.streaming import late as L
 from shelfline.streaming import monitor as M
+from tests.test_oracle import rows as compared
 from tests.test_rules import READING, readings
 
 EVENTS = "product_uuid string, site string, canonical_url string, price string, availability string, monitored_uuid string, seen_at timestamp_ntz, seq long"
@@ -92,3 +95,53 @@ def test_readings_out_of_order_are_confirmed_in_the_order_of_time(spark, tmp_pat
     stream = M.arriving(spark, f"{tmp_path}/r", spark.createDataFrame([], READING))
     found = M.run_to_table(L.confirmed(stream, "3000 days"))
     assert rows(found) == want and len(want) > 20
+
+
+def events(n, seed=4):
+    """Rows of `events` over five days that end on a full millisecond."""
+    rng, start = random.Random(seed), dt.datetime(2024, 1, 1)
+    kinds = ["view", "click", "signup", "purchase", "purchase", "error"]
+    found = [(i, start + dt.timedelta(microseconds=rng.randrange(5 * 86_400_000_000)), rng.randrange(9), rng.choice(kinds), rng.randrange(1, 4) * 1.5) for i in range(n)]
+    return [*found, (n, start + dt.timedelta(days=5), 3, "click", 1.0)]
+
+
+def agree_over_parts(spark, tmp_path, name, given):
+    """The query's rows, which its SQL has to give, over events that lie in three files, each of which spans all times."""
+    for i in range(3):
+        part = spark.createDataFrame(given[i::3], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").withColumn("props", F.lit("{}"))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in expected.description]
+    df = registry.queries()[name](spark, str(tmp_path))
+    found = df.collect()
+    assert compared(df.columns, [tuple(r) for r in found]) == compared(names, expected.fetchall())
+    return found
+
+
+@pytest.mark.parametrize("name", ["stream_late_readings", "stream_confirmed_changes"])
+def test_files_that_overlap_in_time_lose_no_reading(spark, tmp_path, name):
+    assert len(agree_over_parts(spark, tmp_path, name, events(600))) > 100
+
+
+def test_readings_of_one_millisecond_and_at_the_watermark(spark, tmp_path):
+    at = dt.datetime(2024, 1, 2, 12)
+    later = dt.timedelta(microseconds=1)
+    # a later id is read earlier within one millisecond; two products have but readings at the watermark or past it
+    given = [(1, at + 2 * later, 50, "click", 1.0), (2, at + later, 50, "purchase", 2.0), (3, at, 50, "signup", 2.0)]
+    given += [(4, dt.datetime(2024, 1, 5), 60, "click", 1.0), (6, dt.datetime(2024, 1, 5, 0, 0, 1), 70, "click", 1.0), (8, None, 60, "click", 1.0), (None, at, 80, "click", 1.0)]
+    found = agree_over_parts(spark, tmp_path, "stream_late_readings", [*given, *events(30)])
+    told = {r.product_uuid: r for r in found}
+    assert told["u60"].id == 4 and told["u80"].id is None and "u70" not in told
+    assert [r.id for r in found if r.product_uuid == "u50" and r.outcome == "baseline"] == [3]
+
+
+def test_products_of_one_bucket_are_folded_apart(spark, tmp_path):
+    given = readings(5, 300)
+    end = ("end", 10**6, max(r[2] for r in given) + dt.timedelta(days=4000), "in_stock", *[None] * 5)
+    for part in (given[1::2], given[::2], [end]):
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/r")
+    stream = M.arriving(spark, f"{tmp_path}/r", spark.createDataFrame([], READING))
+    found = rows(M.run_to_table(L.confirmed(stream, "3000 days", buckets=1)))
+    assert found == rows(G.confirmed(spark.createDataFrame(given, READING))) and len({r.split("'")[1] for r in found}) == 3
